@@ -8,7 +8,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 #: Text bytes handled by one vectorised step (one longer text is a step of its own).
@@ -146,3 +149,47 @@ def spread(counts: np.ndarray) -> np.ndarray:
 
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
+
+
+#: Bits of a set of ids that goes to every task: a fixed 4 MB. A crowded set only lets more rows through.
+BITS = 1 << 25
+
+
+def bit_of(*cols):
+    return F.pmod(F.xxhash64(*cols), F.lit(BITS))
+
+
+def bit_set(rows: DataFrame, *cols):
+    """Broadcast bit set of the hashes of cols, BITS bits whatever the number of rows."""
+    bit = bit_of(*cols)
+    parts = rows.groupBy((bit / 32768).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("b")).collect()
+    out = bytearray(BITS // 8)
+    for r in parts:
+        out[r.k * 4096 : (r.k + 1) * 4096] = r.b
+    return rows.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def packed(docs: DataFrame, text_col: str, bits, wanted: bool = True) -> DataFrame:
+    """Rows of docs whose column __bit is (not) in the bit set, without __bit; wanted rows carry their text as zstd bytes, for a shuffle."""
+    names = [c for c in docs.columns if c != "__bit"]
+
+    def run(batches):
+        has = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            rows = np.flatnonzero(has[np.asarray(batch.column("__bit"))] == wanted)
+            part = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([None if t is None else squeeze(t.encode()) for t in part.column(c).to_pylist()], pa.binary()) if c == text_col and wanted else part.column(c) for c in names], names=names)
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType(), True) if f.name == text_col and wanted else f for f in docs.schema if f.name != "__bit"])
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches with the packed text column as strings again, in runs of bounded size."""
+    inflate = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = pa.array([None if z is None else inflate(z).decode() for z in part.column(text_col).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == text_col else part.column(c) for c in part.schema.names], names=part.schema.names)

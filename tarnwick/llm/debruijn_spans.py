@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, buffers, spread, steps, table
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, packed, spread, steps, table, unpacked
 
 SPAN = 50
 KMER = 16
@@ -115,7 +115,7 @@ def _windows(span: int, k: int):
     """Per window outside every path: its hashes and start; per run of windows inside paths: start and end of the words that go."""
 
     def run(batches):
-        for batch in batches:
+        for batch in unpacked(batches):
             for part in steps(batch):
                 p = _Picks(*buffers(part.column("text")), span, k)
                 if not len(p.pos):
@@ -168,15 +168,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = src.mapInArrow(_nodes(span, k), "h1 long, h2 long, sid long, th long, pos int, rgt long, lft long")
     shared = nodes.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("rgt").alias("r0"), F.max("rgt").alias("r1"), F.min("lft").alias("l0"), F.max("lft").alias("l1")).where("first < last").select("h1", "h2", "first", F.expr("r0 = r1").alias("r"), F.expr("l0 = l1").alias("l"))
     placed = nodes.select("h1", "h2", "sid", "th", "pos").join(shared, ["h1", "h2"]).select("sid", "th", F.struct("pos", "first", "r", "l").alias("x"))
-    got = placed.groupBy("sid", "th").agg(F.collect_set("x").alias("got"))
-    found = src.join(got, ["sid", "th"]).mapInArrow(_windows(span, k), "h1 long, h2 long, sid long, th long, s int, e int").checkpoint()
+    got = placed.groupBy("sid", "th").agg(F.collect_set("x").alias("got")).checkpoint()
+    texts = packed(src.withColumn("__bit", bit_of("sid")), "text", bit_set(got, "sid"))
+    found = texts.join(got, ["sid", "th"]).mapInArrow(_windows(span, k), "h1 long, h2 long, sid long, th long, s int, e int").checkpoint()
     loose = found.where("e = 0")
     first = loose.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").drop("last")
     late = loose.join(first, ["h1", "h2"]).where("first < sid").select("sid", "th", "s", (F.col("s") + span).alias("e"))
     return late.unionByName(found.where("e > 0").select("sid", "th", "s", "e")).groupBy("sid", "th").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
 
 
-def _keep(text: str | None, gone, words: list[str]) -> list[str]:
+def _keep(gone, words: list[str]) -> list[str]:
     if not len(gone):
         return words
     depth = np.zeros(len(words) + 1, np.int32)
@@ -187,17 +188,15 @@ def _keep(text: str | None, gone, words: list[str]) -> list[str]:
     return [w for w, ok in zip(words, keep.tolist(), strict=True) if ok]
 
 
-def _kept(columns: list[str], digest: bool, text_col: str):
+def _kept(columns: list[str], digest: bool, text_col: str, joined: bool):
     def run(batches):
-        for batch in batches:
-            texts, gone = batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist()
-            n, kept = [], []
-            for t, g in zip(texts, gone, strict=True):
-                words = _SPLIT.findall(t or "")
-                n.append(len(words))
-                kept.append(_keep(t, g or (), words))
+        for batch in unpacked(batches, text_col) if joined else batches:
+            texts = batch.column(text_col).to_pylist()
+            gone = batch.column("__gone").to_pylist() if joined else [()] * len(texts)
+            words = [_SPLIT.findall(t or "") for t in texts]
+            kept = [_keep(g or (), w) for w, g in zip(words, gone, strict=True)]
             if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([a - len(b) for a, b in zip(n, kept, strict=True)], pa.int64()), pa.array([hashlib.sha256(" ".join(x).encode()).hexdigest() for x in kept])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([len(w) - len(x) for w, x in zip(words, kept, strict=True)], pa.int64()), pa.array([hashlib.sha256(" ".join(x).encode()).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
                 new = [" ".join(x) if g else t for t, g, x in zip(texts, gone, kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text_col else batch.column(c) for c in columns], names=columns)
@@ -205,20 +204,25 @@ def _kept(columns: list[str], digest: bool, text_col: str):
     return run
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
-    gone = repeated_spans(docs, id_col, text_col, span).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
-    return keyed.join(gone, (F.col("__id") == F.col("__sid")) & (F.col("__th") == F.col("__th2")), "left").drop("__sid", "__th2", "__id", "__th")
+def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, digest: bool, schema) -> DataFrame:
+    """Only texts that may lose words are shuffled to their spans; the others go straight through."""
+    gone = repeated_spans(docs, id_col, text_col, span).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("gone").alias("__gone")).checkpoint()
+    bits = bit_set(gone, "__sid")
+    keyed = docs.withColumns({"__bit": bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))})
+    whole = packed(keyed, text_col, bits, False).mapInArrow(_kept(docs.columns, digest, text_col, False), schema)
+    keyed = keyed.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
+    cut = packed(keyed, text_col, bits).join(gone, (F.col("__id") == F.col("__sid")) & (F.col("__th") == F.col("__th2")), "left")
+    return whole.unionByName(cut.mapInArrow(_kept(docs.columns, digest, text_col, True), schema))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """docs with the words of later copies of `span`-word windows removed; changed texts are their kept words joined by a space, others stay as they are."""
-    return _with_spans(docs, id_col, text_col, span).mapInArrow(_kept(docs.columns, False, text_col), docs.schema)
+    return _apply(docs, id_col, text_col, span, False, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _with_spans(docs, "doc_id", "text", SPAN).mapInArrow(_kept([], True, "text"), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _apply(docs, "doc_id", "text", SPAN, True, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = r"""
