@@ -4,6 +4,7 @@ from importlib import import_module
 
 #: Query name -> module. Each module has query(spark, sf_dir) and ORACLE (DuckDB SQL, or None where SQL can't express it).
 MODULES = {
+    "op3_piece_codec": "piece_codec",
     "op8_debruijn_spans": "debruijn_spans",
     "op10_count_rtree": "count_rtree",
 }
