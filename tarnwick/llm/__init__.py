@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op3_piece_codec": "piece_codec",
     "op8_debruijn_spans": "debruijn_spans",
+    "op9_bestfit_pack": "bestfit_pack",
     "op10_count_rtree": "count_rtree",
 }
 
