@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, buffers, mix, spread, steps, table
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, mix, packed, spread, steps, table, unpacked
 from tarnwick.llm.components import components
 
 GRAM = 5
@@ -294,35 +294,41 @@ def classes(sets: list[np.ndarray], label: np.ndarray, ask: np.ndarray) -> np.nd
     return label
 
 
+def _unpacked_sets(batches):
+    """(region, rep, set) of packed rows; a row whose text isn't the member's, as one id has several, is left out."""
+    for batch in unpacked(batches):
+        for part in steps(batch):
+            h, at = shingles(*buffers(part.column("text")))
+            g, _ = _identity(h, at)
+            ok = g.view(np.int64) == np.asarray(part.column("g"))
+            for i, region, rep in zip(range(part.num_rows), part.column("region").to_pylist(), part.column("rep").to_pylist(), strict=True):
+                if ok[i]:
+                    yield region, rep, h[at[i] : at[i + 1]]
+
+
 def _regions(batches):
-    """Rows sorted by region: each member's smallest linked id inside the region."""
+    """Rows sorted by region and member: each member's smallest linked id inside the region."""
     region, ids, sets = None, [], []
 
     def done():
         label = classes(sets, np.array(ids), np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label)], names=["rep", "low"])
 
-    for batch in batches:
-        for r, i, s in zip(batch.column("region").to_pylist(), batch.column("rep").to_pylist(), batch.column("hs").to_pylist(), strict=True):
-            if r != region and ids:
-                yield done()
-                ids, sets = [], []
-            region = r
+    for r, i, s in _unpacked_sets(batches):
+        if r != region and ids:
+            yield done()
+            ids, sets = [], []
+        region = r
+        if not ids or ids[-1] != i:
             ids.append(i)
-            sets.append(np.frombuffer(s, np.uint64))
+            sets.append(s.copy())
     if ids:
         yield done()
 
 
 def _members(batches):
-    for batch in batches:
-        for part in steps(batch):
-            h, at = shingles(*buffers(part.column("text")))
-            g, _ = _identity(h, at)
-            ok = g.view(np.int64) == np.asarray(part.column("g"))
-            rows = np.flatnonzero(ok)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in ("region", "rep", "n")] + [pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows.tolist()], pa.binary())], names=["region", "rep", "n", "hs"])
+    for region, rep, s in _unpacked_sets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([region], pa.int64()), pa.array([rep], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["region", "rep", "n", "hs"])
 
 
 def _to_pivots(batches):
@@ -383,28 +389,32 @@ def _crowded_regions(members: DataFrame) -> DataFrame:
     return label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
 
 
+def _texts(src: DataFrame, placed: DataFrame) -> DataFrame:
+    """(region, rep, g, text) of the placed members, texts packed."""
+    texts = packed(src.withColumn("__bit", bit_of("doc_id")), "text", bit_set(placed, "rep"))
+    return texts.join(placed, (texts.doc_id == placed.rep) & (texts.th == placed.rth)).select("region", "rep", "g", "text")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, n_shingles, component_id) for each row of docs; th is xxhash64 of its text."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = src.where("doc_id is not null and text is not null")
     sets = src.mapInArrow(_sets, "doc_id long, th long, n long, g long, g2 long").checkpoint()
-    reps = sets.where("n > 0 and doc_id is not null").groupBy("g", "g2").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("g", "g2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("rth"))
+    reps = sets.where("n > 0 and doc_id is not null").groupBy("g", "g2").agg(F.min(F.struct("doc_id", "th", "n")).alias("x")).select("g", "g2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("rth"), F.col("x.n").alias("n"))
     bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(texts.select("text")))
     tokens = texts.select("text").mapInArrow(_prefixes(bits), "token long, g long, n int")
     pairs = tokens.repartition("token").sortWithinPartitions("token", "n", "g").mapInArrow(_pairs, "a long, b long, na int, nb int, c long")
     least = "ceil(4 * (na + nb) / 9) - ceil(0.8 * greatest(na, nb)) + 1"
     near = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(f"c >= {least}").select("a", "b").checkpoint()
     region = components(near, "a", "b")
-    placed = reps.join(region, reps.g == region.node).select("g", "rep", "rth", F.col("label").alias("region"))
-    members = src.join(placed, (src.doc_id == placed.rep) & (src.th == placed.rth)).withColumn("n", F.lit(0).cast("long")).select("region", "rep", "n", "g", "text")
-    members = members.mapInArrow(_members, "region long, rep long, n long, hs binary").withColumn("n", F.expr("length(hs) div 8")).dropDuplicates(["region", "rep", "hs"]).checkpoint()
-    size = members.groupBy("region").agg(F.sum("n").alias("total"))
-    members = members.join(size, "region")
-    small = members.where(f"total <= {REGION}").select("region", "rep", "hs").repartition("region").sortWithinPartitions("region").mapInArrow(_regions, "rep long, low long")
+    placed = reps.join(region, reps.g == region.node).select("g", "rep", "rth", "n", F.col("label").alias("region"))
+    placed = placed.join(placed.groupBy("region").agg(F.sum("n").alias("total")), "region").checkpoint()
+    small = _texts(src, placed.where(f"total <= {REGION}")).repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_regions, "rep long, low long")
     edges = small.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    large = members.where(f"total > {REGION}")
+    large = placed.where(f"total > {REGION}")
     if not large.isEmpty():
-        edges = edges.unionByName(_crowded_regions(large.select("region", "rep", "n", "hs")))
+        members = _texts(src, large).mapInArrow(_members, "region long, rep long, n long, hs binary").checkpoint()
+        edges = edges.unionByName(_crowded_regions(members))
     # an id in several rows ties their sets together
     several = sets.where("n > 0").groupBy("doc_id").agg(F.countDistinct("g").alias("k")).where("k > 1").select("doc_id")
     ties = sets.where("n > 0").join(several, "doc_id").join(reps, ["g", "g2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
