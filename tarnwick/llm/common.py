@@ -15,11 +15,16 @@ from pyspark.sql import types as T
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 #: Text bytes handled by one vectorised step (one longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 640 << 10
+
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package; set a checkpoint folder only where none is set."""
+    """Let Python workers import this package; keep Arrow batches of long texts small; set a checkpoint folder only where none is set."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     have = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):
