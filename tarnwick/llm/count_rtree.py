@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, mix, packed, spread, steps, table, unpacked
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, mix, packed, saved, spread, steps, table, unpacked
 from tarnwick.llm.components import components
 
 GRAM = 5
@@ -413,8 +413,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = small.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     large = placed.where(f"total > {REGION}")
     if not large.isEmpty():
-        members = _texts(src, large).mapInArrow(_members, "region long, rep long, n long, hs binary").checkpoint()
-        edges = edges.unionByName(_crowded_regions(members))
+        members = _texts(src, large).mapInArrow(_members, "region long, rep long, n long, hs binary")
+        edges = edges.unionByName(_crowded_regions(saved(members)))
     # an id in several rows ties their sets together
     several = sets.where("n > 0").groupBy("doc_id").agg(F.countDistinct("g").alias("k")).where("k > 1").select("doc_id")
     ties = sets.where("n > 0").join(several, "doc_id").join(reps, ["g", "g2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

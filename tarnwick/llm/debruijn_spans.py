@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, packed, spread, steps, table, unpacked
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, dropped, packed, saved, spread, steps, table, unpacked
 
 SPAN = 50
 KMER = 16
@@ -112,7 +112,7 @@ def _nodes(span: int, k: int):
 
 
 def _windows(span: int, k: int):
-    """Per window outside every path: its hashes and start; per run of windows inside paths: start and end of the words that go."""
+    """Per window outside every path: its hashes and start, and own if no smaller document has its k-mer; per run of windows inside paths: start and end of the words that go."""
 
     def run(batches):
         for batch in unpacked(batches):
@@ -157,7 +157,7 @@ def _windows(span: int, k: int):
                 h1, h2 = (np.concatenate([p.roll.of(w, w + span, f), none]) for f in (0, 1))
                 start = np.concatenate([w - base[p.window_text[out]], p.windows[a] - base[p.window_text[a]]])
                 end = np.concatenate([np.zeros(len(out), np.int64), p.windows[b] + span - base[p.window_text[a]]])
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), part.column("sid").take(rows), part.column("th").take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h1", "h2", "sid", "th", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), part.column("sid").take(rows), part.column("th").take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.concatenate([first[p.at][out] >= sid[p.window_text[out]], np.zeros(len(a), bool)]))], names=["h1", "h2", "sid", "th", "s", "e", "own"])
 
     return run
 
@@ -167,14 +167,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).cast("long").alias("sid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("sid is not null and text is not null")
     nodes = src.mapInArrow(_nodes(span, k), "h1 long, h2 long, sid long, th long, pos int, rgt long, lft long")
     shared = nodes.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("rgt").alias("r0"), F.max("rgt").alias("r1"), F.min("lft").alias("l0"), F.max("lft").alias("l1")).where("first < last").select("h1", "h2", "first", F.expr("r0 = r1").alias("r"), F.expr("l0 = l1").alias("l"))
+    shared = saved(shared)  # so that the join below is of two exchanges, whose crowded k-mers Spark can split
     placed = nodes.select("h1", "h2", "sid", "th", "pos").join(shared, ["h1", "h2"]).select("sid", "th", F.struct("pos", "first", "r", "l").alias("x"))
-    got = placed.groupBy("sid", "th").agg(F.collect_set("x").alias("got")).checkpoint()
+    got = placed.groupBy("sid", "th").agg(F.collect_set("x").alias("got"))
+    got = saved(got)
     texts = packed(src.withColumn("__bit", bit_of("sid")), "text", bit_set(got, "sid"))
-    found = texts.join(got, ["sid", "th"]).mapInArrow(_windows(span, k), "h1 long, h2 long, sid long, th long, s int, e int").checkpoint()
+    found = texts.join(got, ["sid", "th"]).mapInArrow(_windows(span, k), "h1 long, h2 long, sid long, th long, s int, e int, own boolean")
+    found = saved(found)
     loose = found.where("e = 0")
     first = loose.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").drop("last")
-    late = loose.join(first, ["h1", "h2"]).where("first < sid").select("sid", "th", "s", (F.col("s") + span).alias("e"))
-    return late.unionByName(found.where("e > 0").select("sid", "th", "s", "e")).groupBy("sid", "th").agg(F.collect_set(F.struct("s", "e")).alias("gone"))
+    late = loose.where("not own").join(first, ["h1", "h2"]).where("first < sid").select("sid", "th", "s", (F.col("s") + span).alias("e"))
+    gone = saved(late.unionByName(found.where("e > 0").select("sid", "th", "s", "e")).groupBy("sid", "th").agg(F.collect_set(F.struct("s", "e")).alias("gone")))
+    dropped(shared, got, found)
+    return gone
 
 
 def _keep(gone, words: list[str]) -> list[str]:
@@ -206,7 +211,7 @@ def _kept(columns: list[str], digest: bool, text_col: str, joined: bool):
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, digest: bool, schema) -> DataFrame:
     """Only texts that may lose words are shuffled to their spans; the others go straight through."""
-    gone = repeated_spans(docs, id_col, text_col, span).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("gone").alias("__gone")).checkpoint()
+    gone = repeated_spans(docs, id_col, text_col, span).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
     bits = bit_set(gone, "__sid")
     keyed = docs.withColumns({"__bit": bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))})
     whole = packed(keyed, text_col, bits, False).mapInArrow(_kept(docs.columns, digest, text_col, False), schema)
