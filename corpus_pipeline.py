@@ -1,24 +1,67 @@
-"""Corpus cleaning pipeline: each stage takes (spark, docs, sf_dir) and returns the next stage's documents."""
+"""Corpus cleaning pipeline. Each stage takes (spark, docs, sf_dir) and returns the next stage's documents.
+
+1. quality: documents the pairwise-ranked classifier rejects go.
+2. line_dedup: later copies of repeated runs of lines go; a text may become empty, its document stays.
+3. near_duplicates: one document of each class of near-equal texts stays.
+4. substring_dedup: later copies of 50-word windows go.
+5. packing: what is left is tokenised and packed into sequences; one row per piece.
+
+All stages but the last return the columns of documents, with n_chars of the text as it is then. Nulls, repeated rows
+and empty tables are treated as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwick.llm import debruijn_spans
+from tarnwick.llm import bestfit_pack, count_rtree, debruijn_spans, line_suffix, quality_bt
 from tarnwick.llm.common import prepare
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality_bt.keep_good(docs, quality_bt.model_of(spark, sf_dir))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return _measured(line_suffix.dedup_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return count_rtree.drop_near_duplicates(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return debruijn_spans.dedup_substrings(docs)
+    return _measured(debruijn_spans.dedup_substrings(docs))
 
 
-STAGES = [("substring_dedup", substring_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bestfit_pack.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written as Parquet in the checkpoint folder and read again."""
+    import uuid
+
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            schema = docs.schema
+            docs.write.parquet(f"{at}/{k}-{name}")
+            docs = spark.read.schema(schema).parquet(f"{at}/{k}-{name}")
     return docs

@@ -4,11 +4,13 @@ from importlib import import_module
 
 #: Query name -> module. Each module has query(spark, sf_dir) and ORACLE (DuckDB SQL, or None where SQL can't express it).
 MODULES = {
+    "op1_html_mincut": "html_mincut",
     "op2_impact_topk": "impact_topk",
     "op3_piece_codec": "piece_codec",
     "op4_toxicity_kn": "toxicity_kn",
     "op5_media_audio": "media_audio",
     "op6_quality_pairs": "quality_bt",
+    "op7_line_suffix": "line_suffix",
     "op8_debruijn_spans": "debruijn_spans",
     "op9_bestfit_pack": "bestfit_pack",
     "op10_count_rtree": "count_rtree",

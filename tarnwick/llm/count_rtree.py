@@ -424,6 +424,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least("doc_id", "low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the smallest id, left of each class; rows of one id and text go or stay together."""
+    gone = saved(near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__sid"), F.col("th").alias("__th2")).distinct())
+    bits = bit_set(gone, "__sid")
+    keyed = docs.withColumn("__bit", bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
+    maybe = packed(keyed.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)}), text_col, bits)
+    left = maybe.join(gone, (F.col("__id") == F.col("__sid")) & (F.col("__th") == F.col("__th2")), "left_anti").drop("__id", "__th")
+    return packed(keyed, text_col, bits, False).unionByName(left.mapInArrow(lambda it: unpacked(it, text_col), docs.schema))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
