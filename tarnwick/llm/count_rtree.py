@@ -32,10 +32,10 @@ from tarnwick.llm.components import components
 
 GRAM = 5
 #: Cells of the frequency sketch that orders shingles: a fixed size whatever the corpus.
-CELLS = 1 << 22
+CELLS = 1 << 23
 _CHUNKS = 64
 #: A shingle held by more members than this links them in a star instead of in pairs.
-CROWD = 32
+CROWD = 96
 #: Shingles that one task holds for one region, or for one side of a block pair.
 REGION = 2_000_000
 PIVOTS = 16
@@ -81,12 +81,13 @@ def _sets(batches):
 
 
 def _cells(batches):
-    """This task's counts of shingles by cell."""
+    """This task's counts of shingles by cell, of the half of all shingles that prefixes are taken from first."""
     total = np.zeros(CELLS, np.uint32)
     for batch in batches:
         for part in steps(batch):
             h, _ = shingles(*buffers(part.column("text")))
-            total += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            h = h[mix(h) < np.uint64(1 << 63)]
+            np.add.at(total, (h & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
     for i, x in enumerate(np.split(total, _CHUNKS)):
         if x.any():
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(x.tobytes(), 1)])], names=["chunk", "cells"])
@@ -98,7 +99,7 @@ def _frequent(batches):
 
     def done():
         mean = total.mean()
-        bits = np.packbits(total > mean + 6 * mean**0.5 + 12)
+        bits = np.packbits(total > mean + 4 * mean**0.5 + 12)
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bits.tobytes()])], names=["chunk", "bits"])
 
     for batch in batches:
@@ -374,18 +375,18 @@ def _crowded_regions(members: DataFrame) -> DataFrame:
     pivots = members.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(order, "rep"))).where(f"k <= {PIVOTS}").groupBy("region").agg(F.collect_list(F.struct("rep", "hs")).alias("pivots"))
     first = members.join(pivots, "region").mapInArrow(_to_pivots, "a long, b long").checkpoint()
     label = components(first, "a", "b")
-    named = members.join(label, members.rep == label.node, "left").select("region", "rep", "n", "hs", F.coalesce("label", "rep").alias("label"))
-    sizes = named.groupBy("region", "label").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    blocks = named.groupBy("region").agg(F.ceil(F.sum("n") / REGION).alias("nb"))
-    named = named.join(sizes, "region").join(blocks, "region").withColumn("ask", F.col("label") != F.col("main"))
-    asks = named.groupBy("region").agg(F.ceil(F.sum(F.when(F.col("ask"), F.col("n")).otherwise(0)) / REGION).alias("na"))
-    named = named.join(asks, "region").where("na > 0")
-    cell = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(n))
-    common = ["region", "rep", "label", "hs"]
-    held = named.withColumn("bb", cell("nb")).withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select(*common, "ab", "bb", F.lit(False).alias("ask"))
-    asking = named.where("ask").withColumn("ab", cell("na")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(*common, "ab", "bb", F.lit(True).alias("ask"))
-    cast = lambda d: d.withColumns({"ab": F.col("ab").cast("long"), "bb": F.col("bb").cast("long")})
-    more = cast(held).unionByName(cast(asking)).repartition("region", "ab", "bb").sortWithinPartitions("region", "ab", "bb").mapInArrow(_block_pairs, "a long, b long")
+    # places are settled on ids alone; the sets are joined once, to the blocks that are searched
+    light = members.select("region", "rep", "n")
+    named = light.join(label, light.rep == label.node, "left").select("region", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    main = named.groupBy("region", "label").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    named = named.join(main, "region").withColumn("ask", F.col("label") != F.col("main"))
+    blocks = named.groupBy("region").agg(F.ceil(F.sum("n") / REGION).alias("nb"), F.ceil(F.sum(F.when(F.col("ask"), F.col("n")).otherwise(0)) / REGION).alias("na"))
+    named = saved(named.join(blocks, "region").where("na > 0"))
+    cell = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(n)).cast("long")
+    held = named.select("region", "rep", "label", cell("nb").alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("ab"), F.lit(False).alias("ask"))
+    asking = named.where("ask").select("region", "rep", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("bb"), cell("na").alias("ab"), F.lit(True).alias("ask"))
+    more = held.unionByName(asking).join(members.select("rep", "hs"), "rep").select("region", "ab", "bb", "rep", "label", "hs", "ask")
+    more = more.repartition("region", "ab", "bb").sortWithinPartitions("region", "ab", "bb").mapInArrow(_block_pairs, "a long, b long")
     return label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
 
 
