@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -201,11 +202,18 @@ def unpacked(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Itera
             yield pa.RecordBatch.from_arrays([texts if c == text_col else part.column(c) for c in part.schema.names], names=part.schema.names)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages: its cleaner acts on what the driver has collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df from a Parquet table in the checkpoint folder: lineage is cut, any executor can read it, and it takes less room than checkpoint()."""
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    settle(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -174,11 +174,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = packed(src.withColumn("__bit", bit_of("sid")), "text", bit_set(got, "sid"))
     found = texts.join(got, ["sid", "th"]).mapInArrow(_windows(span, k), "h1 long, h2 long, sid long, th long, s int, e int, own boolean")
     found = saved(found)
+    dropped(shared, got)
     loose = found.where("e = 0")
     first = loose.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").drop("last")
     late = loose.where("not own").join(first, ["h1", "h2"]).where("first < sid").select("sid", "th", "s", (F.col("s") + span).alias("e"))
     gone = saved(late.unionByName(found.where("e > 0").select("sid", "th", "s", "e")).groupBy("sid", "th").agg(F.collect_set(F.struct("s", "e")).alias("gone")))
-    dropped(shared, got, found)
+    dropped(found)
     return gone
 
 
