@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tarnwick.plans import queries as Q
+
 
 def queries():
-    return {}
+    return dict(Q.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(Q.ORACLE)
