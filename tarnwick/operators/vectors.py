@@ -27,7 +27,7 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
 
 
-def similar(queries: DataFrame, vectors: DataFrame, top_k: int = 10, threshold: float | None = None, skip_self: bool = False) -> DataFrame:
+def similar(queries: DataFrame, vectors: DataFrame, top_k: int = 10, threshold: float | None = None, skip_self: bool = False, digits: int | None = 6) -> DataFrame:
     """(query_id, id, score, rank): best vectors (id, vector) of each query (query_id, vector), ties to the smaller id.
 
     Exact search compares each stated query with each vector. Up to SMALL queries are broadcast, so vectors are read once
@@ -40,7 +40,8 @@ def similar(queries: DataFrame, vectors: DataFrame, top_k: int = 10, threshold:
     pairs = v.crossJoin(F.broadcast(q) if few else q)
     if skip_self:
         pairs = pairs.where("query_id <> id")
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")), 6).alias("score"))
+    score = cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn"))
+    scored = pairs.select("query_id", "id", (score if digits is None else F.round(score, digits)).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

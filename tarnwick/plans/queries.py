@@ -95,12 +95,12 @@ EDGES = f"""{TRIPLES}, both_ways AS (SELECT subj_id AS a, obj_id AS b, confidenc
 directed AS (SELECT a AS src, b AS dst, w FROM both_ways UNION ALL SELECT b, a, w FROM both_ways), summed AS (SELECT src, dst, sum(w) AS w FROM directed WHERE src <> dst GROUP BY ALL),
 edges AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS weight FROM summed)"""
 COS = "coalesce(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / nullif(sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))), 0), 0)"
+SIM_FULL = f"sim AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {COS} AS score FROM embeddings q JOIN embeddings v ON true)"
 SIM = f"sim AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({COS}, 6) AS score FROM embeddings q JOIN embeddings v ON true)"
 
 
 def _round(x: str, n: int = 6) -> str:
-    """Half up on the decimal digits, as Spark rounds doubles."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 18)), {n}) AS DOUBLE)"
+    return f"round({x}, {n})"
 
 
 def _bm25(where: str = "true", k: int = 200, q: str = QUERY) -> str:
@@ -226,11 +226,11 @@ def normalize_keyword(spark, d):
     return fusion.normalize_keyword(lexical.bm25(_chunks(spark, d), QUERY)).select("chunk_id", F.round("norm", 6).alias("norm"))
 
 
-@query(f"WITH {SIM} SELECT id, {_round("greatest(0, least(1, (score + 1) / 2))")} AS norm FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings)")
+@query(f"WITH {SIM_FULL} SELECT id, {_round("greatest(0, least(1, (score + 1) / 2))")} AS norm FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings)")
 def normalize_semantic(spark, d):
     v = _vectors(spark, d)
     q = v.join(v.agg(F.min("id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
-    return vectors.similar(q, v, top_k=1 << 30).select("id", F.round(fusion.semantic(F.col("score")), 6).alias("norm"))
+    return vectors.similar(q, v, top_k=1 << 30, digits=None).select("id", F.round(fusion.semantic(F.col("score")), 6).alias("norm"))
 
 
 def _branches(spark, d):
@@ -238,11 +238,11 @@ def _branches(spark, d):
     kw = lexical.bm25(_chunks(spark, d), QUERY)
     v = _vectors(spark, d)
     q = v.join(v.agg(F.min("id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
-    sem = vectors.similar(q, v, top_k=200).select(F.concat(F.col("id").cast("string"), F.lit(":0")).alias("chunk_id"), "score", "rank")
+    sem = vectors.similar(q, v, top_k=200, digits=None).select(F.concat(F.col("id").cast("string"), F.lit(":0")).alias("chunk_id"), "score", "rank")
     return kw, sem
 
 
-_SEM = f"{_bm25()}, {SIM}, sem AS (SELECT id || ':0' AS chunk_id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings) QUALIFY rank <= 200)"
+_SEM = f"{_bm25()}, {SIM_FULL}, sem AS (SELECT id || ':0' AS chunk_id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings) QUALIFY rank <= 200)"
 _NORM = "(SELECT chunk_id, (score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0) AS kw FROM kw)"
 
 
