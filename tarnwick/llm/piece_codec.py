@@ -69,6 +69,8 @@ class PieceCodec:
                 self.auto.add_word(p, p)
         self.auto.make_automaton()
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.id_text = {p: str(i) for p, i in self.ids.items()}
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes the piece out of its characters; None if merging them makes something else."""
@@ -101,15 +103,23 @@ class PieceCodec:
 
     def tokens(self, run: str) -> list[str]:
         """Pieces of a run of known characters with at most one leading space mark."""
-        n = len(run)
+        n, pairs = len(run), self.pairs
         last: list[str] = [""] * (n + 1)
         for end, piece in self.auto.iter(run):
             end += 1
             if last[end]:
                 continue
             start = end - len(piece)
-            if start == 0 or (last[start] and self._joins(last[start], piece)):
+            if start == 0:
                 last[end] = piece
+            elif before := last[start]:
+                ok = pairs.get((before, piece))
+                if ok is None:
+                    if len(pairs) > REMEMBERED:
+                        pairs.clear()
+                    ok = pairs[before, piece] = self._joins(before, piece)
+                if ok:
+                    last[end] = piece
         out, at = [], n
         while at:
             out.append(last[at])
@@ -135,6 +145,9 @@ class PieceCodec:
         """(ids as text, number, decoded text) of a run of spaces and what follows; key lacks the run's first space."""
         body = key.lstrip(" ")
         blanks = len(key) - len(body)
+        if not blanks and self.known.issuperset(body):
+            t = self.tokens(SPACE + body)
+            return " ".join([self.id_text[p] for p in t]), len(t), "".join(t).replace(SPACE, " ")
         ids: list[int] = []
         run = SPACE
         for c in body:
