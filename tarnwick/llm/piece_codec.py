@@ -69,6 +69,7 @@ class PieceCodec:
                 self.auto.add_word(p, p)
         self.auto.make_automaton()
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.id_text = {p: str(i) for p, i in self.ids.items()}
 
@@ -184,13 +185,13 @@ class PieceCodec:
             return []
         text = text.replace(SPACE, " ") if SPACE in text else text
         keys = [m[1:] for m in _RUN.findall(" " + text)] if "  " in text or text[0] == " " else text.split(" ")
-        words, out = self.words, []
+        if len(self.words) > REMEMBERED:  # two generations: frequent words stay
+            self.older, self.words = self.words, {}
+        words, older, out = self.words, self.older, []
         for k in keys:
             got = words.get(k)
             if got is None:
-                if len(words) > REMEMBERED:
-                    words.clear()
-                got = words[k] = self._word(k)
+                got = words[k] = older.get(k) or self._word(k)
             out.append(got)
         return out
 
