@@ -177,9 +177,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dropped(shared, got)
     loose = found.where("e = 0")
     first = loose.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).where("first < last").drop("last")
+    first = saved(first)
     late = loose.where("not own").join(first, ["h1", "h2"]).where("first < sid").select("sid", "th", "s", (F.col("s") + span).alias("e"))
     gone = saved(late.unionByName(found.where("e > 0").select("sid", "th", "s", "e")).groupBy("sid", "th").agg(F.collect_set(F.struct("s", "e")).alias("gone")))
-    dropped(found)
+    dropped(found, first)
     return gone
 
 
