@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import table
+from tarnwick.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -228,6 +228,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each document: where it comes from and its place in a sequence."""
+    prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return pack(src.mapInArrow(_pieces(path or tokenizer_path(), capacity), _PIECE).checkpoint(), capacity)
 

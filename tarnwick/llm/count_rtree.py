@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, mix, packed, saved, spread, steps, table, unpacked
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, mix, packed, prepare, saved, spread, steps, table, unpacked
 from tarnwick.llm.components import components
 
 GRAM = 5
@@ -398,6 +398,7 @@ def _texts(src: DataFrame, placed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, n_shingles, component_id) for each row of docs; th is xxhash64 of its text."""
+    prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = src.where("doc_id is not null and text is not null")
     sets = src.mapInArrow(_sets, "doc_id long, th long, n long, g long, g2 long").checkpoint()

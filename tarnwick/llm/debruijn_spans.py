@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, dropped, packed, saved, spread, steps, table, unpacked
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, dropped, packed, prepare, saved, spread, steps, table, unpacked
 
 SPAN = 50
 KMER = 16
@@ -164,6 +164,7 @@ def _windows(span: int, k: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = KMER) -> DataFrame:
     """(sid, th, gone): for each document that loses words, array of struct(s, e), word ranges to remove, perhaps overlapping. th: xxhash64 of the text, so repeated ids stay apart."""
+    prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("sid"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where("sid is not null and text is not null")
     nodes = src.mapInArrow(_nodes(span, k), "h1 long, h2 long, sid long, th long, pos int, rgt long, lft long")
     shared = nodes.groupBy("h1", "h2").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.min("rgt").alias("r0"), F.max("rgt").alias("r1"), F.min("lft").alias("l0"), F.max("lft").alias("l1")).where("first < last").select("h1", "h2", "first", F.expr("r0 = r1").alias("r"), F.expr("l0 = l1").alias("l"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import table
+from tarnwick.llm.common import prepare, table
 
 K, SCALE, EVERY = 5, 256, 50
 BLOCK, QUERIES = 4096, 1024
@@ -120,6 +120,7 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of integer vectors (vec_id, e)."""
+    prepare(vectors.sparkSession)
     schema = "ids binary, width long, data binary"
     blocks = vectors.mapInArrow(_blocks(BLOCK), schema)
     asked = queries.dropDuplicates(["vec_id", "e"]).mapInArrow(_blocks(QUERIES), schema).toDF("qids", "qwidth", "qdata").checkpoint()
