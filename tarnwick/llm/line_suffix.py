@@ -6,10 +6,13 @@ places in an order: suffixes of equal name are an interval of the suffix array w
 level's length, and the intervals of the levels are nested, which is all that repeated runs need. A level keeps only
 suffixes of intervals with several members, so the table shrinks, and doubling ends when none is left: the last level
 a run reaches bounds its length within a factor of two. Lines of a run of at least two lines that also starts earlier
-are deleted. Earlier is a smaller (document id, line).
+are deleted: its pairs of lines all start earlier too, so the pairs cover every maximal run. Earlier is a smaller (document
+id, line). `dedup_lines`, and so the pipeline, also deletes runs of one line, whatever stands around it, if it has SHORT
+characters or more between its outer white space; blank and shorter lines go only in longer runs. The query, as its SQL says, leaves all
+single repeated lines.
 
 Defined results: a null text has no lines and stays null, an empty text is one empty line; lines are compared exactly, blank
-ones too; single repeated lines stay; rows of one id and text are one document, and rows of one id with different texts
+ones too; rows of one id and text are one document, and rows of one id with different texts
 are ordered by their text's hash; a row with a null id is left as it is; an empty table gives an empty result; further
 columns are carried through `dedup_lines`.
 """
@@ -22,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import bit_of, bit_set, packed, prepare, table, unpacked
+from tarnwick.llm.common import bit_of, bit_set, packed, prepare, saved, table, unpacked
 
 LEVELS = 40
+#: Characters of the shortest line that goes without a neighbour.
+SHORT = 5
 
 
 def _named(suffixes: DataFrame) -> DataFrame:
@@ -33,13 +38,22 @@ def _named(suffixes: DataFrame) -> DataFrame:
     return suffixes.join(first, "name").select("sid", "th", "i", "name", (F.col("f") < F.struct("sid", "th", "i")).alias("early"))
 
 
-def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
-    """For run lengths 2, 4, 8, ...: suffixes (sid, th, i, name, early) whose run of that length repeats."""
+def _single(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sid, th, i): lines of SHORT characters or more that also stand earlier."""
+    lines = docs.select(F.col(id_col).cast("long").alias("sid"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("i", "x")).where(F.col("sid").isNotNull() & (F.length(F.btrim("x", F.lit(" \t\r\v\f\u00a0"))) >= SHORT))
+    lines = lines.select("sid", "th", "i", F.xxhash64("x").alias("name"))
+    # saved, so that the join has an exchange of its own and a very common line is split over tasks
+    first = saved(lines.groupBy("name").agg(F.min(F.struct("sid", "th", "i")).alias("f"), F.max(F.struct("sid", "th", "i")).alias("l")).where("f < l").drop("l"))
+    return lines.join(first, "name").where(F.col("f") < F.struct("sid", "th", "i")).select("sid", "th", "i")
+
+
+def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LEVELS) -> list[DataFrame]:
+    """For run lengths 2, 4, 8, ... (most of them): suffixes (sid, th, i, name, early) whose run of that length repeats."""
     prepare(docs.sparkSession)
     lines = docs.select(F.col(id_col).cast("long").alias("sid"), F.xxhash64(text_col).alias("th"), F.expr(f"transform(split({text_col}, '\\n', -1), x -> xxhash64(x))").alias("h")).where("sid is not null and size(h) > 1")
     pairs = lines.select("sid", "th", F.posexplode(F.expr("transform(sequence(0, size(h) - 2), k -> xxhash64(h[k], h[k + 1]))")).alias("i", "name")).dropDuplicates(["sid", "th", "i"])
     found = [_named(pairs).checkpoint()]
-    for k in range(1, LEVELS):
+    for k in range(1, most):
         last = found[-1]
         if last.isEmpty():
             break
@@ -49,18 +63,23 @@ def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> l
     return found
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sid, th, at, longest): starts of two-line runs that go, and the longest level of any run of the document that also starts earlier."""
-    found = levels(docs, id_col, text_col)
-    out = found[0].where("early").select("sid", "th", "i", F.lit(2).cast("long").alias("n"))
-    longest = out.select("sid", "th", "n")
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", single: bool = False) -> DataFrame:
+    """(sid, th, at, longest): lines that go, and the longest level of any run of the document that also starts earlier.
+
+    With single, runs of one line go too and longest is not looked for.
+    """
+    found = levels(docs, id_col, text_col, 1 if single else LEVELS)
+    out = found[0].where("early").select("sid", "th", F.explode(F.expr("array(i, i + 1)")).alias("i"))
+    if single:
+        return out.unionByName(_single(docs, id_col, text_col)).groupBy("sid", "th").agg(F.collect_set("i").alias("at"), F.lit(0).cast("long").alias("longest"))
+    longest = out.select("sid", "th", F.lit(2).cast("long").alias("n"))
     for k, level in enumerate(found[1:], 2):
         longest = longest.unionByName(level.where("early").select("sid", "th", F.lit(2**k).cast("long").alias("n")))
     return out.groupBy("sid", "th").agg(F.collect_set("i").alias("at")).join(longest.groupBy("sid", "th").agg(F.max("n").alias("longest")), ["sid", "th"])
 
 
 def _kept(text: str, at: list[int]) -> tuple[list[str], int]:
-    gone = {j for i in at for j in (i, i + 1)}
+    gone = set(at)
     lines = text.split("\n")
     return [x for j, x in enumerate(lines) if j not in gone], len(lines)
 
@@ -82,7 +101,7 @@ def _rows(columns: list[str], digest: bool, text_col: str, joined: bool):
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, digest: bool, schema) -> DataFrame:
-    gone = later_copies(docs, id_col, text_col).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("at").alias("__at"), F.col("longest").alias("__longest")).checkpoint()
+    gone = later_copies(docs, id_col, text_col, not digest).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("at").alias("__at"), F.col("longest").alias("__longest")).checkpoint()
     bits = bit_set(gone, "__sid")
     keyed = docs.withColumn("__bit", bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
     whole = packed(keyed, text_col, bits, False).mapInArrow(_rows(docs.columns, digest, text_col, False), schema)
@@ -92,7 +111,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, digest: bool, schema) ->
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the lines of later copies of repeated runs; other lines stay joined by \\n."""
+    """docs without the lines of later copies of repeated runs, single lines included; other lines stay joined by \\n."""
     return _apply(docs, id_col, text_col, False, docs.schema)
 
 

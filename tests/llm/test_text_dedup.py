@@ -173,3 +173,29 @@ def test_line_rows(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0, r.text) for r in out.where("text is not null").collect()) == [(0, "a\nb"), (1, "a\nb\nkeep"), (2, ""), (2, "")]
     assert line_suffix.dedup_lines(df.limit(0)).count() == 0
+
+
+def runs_expected(rows):
+    """Kept texts when every maximal run with an earlier start goes; a run of one line only if it has SHORT characters."""
+    docs = [(i, t.split("\n")) for i, t in sorted(r for r in rows if r[1] is not None)]
+    starts = [(d, k) for d, (_, ls) in enumerate(docs) for k in range(len(ls))]
+    gone = {i: set() for i, _ in docs}
+    for at, (d, k) in enumerate(starts):
+        for e, j in starts[:at]:
+            a, b, n = docs[d][1], docs[e][1], 0
+            while k + n < len(a) and j + n < len(b) and a[k + n] == b[j + n]:
+                n += 1
+            if n > 1 or n == 1 and len(a[k].strip()) >= line_suffix.SHORT:
+                gone[docs[d][0]] |= set(range(k, k + n))
+    return {i: "\n".join(x for k, x in enumerate(ls) if k not in gone[i]) for i, ls in docs}
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_single_lines_go(spark, seed):
+    r = random.Random(seed)
+    lines = ["", "}", " \t  x\r", "Share this page now", "All rights reserved.", "Read more here", "one line", "another line"]
+    rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.5 else f"own line {i} {k}" for k in range(r.randint(1, 9)))) for i in range(40)]
+    rows += [(100, "a one\nAll rights reserved.\nb one"), (101, "c one\nAll rights reserved.\nd one"), (102, None)]
+    got = {x.doc_id: x.text for x in line_suffix.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {**runs_expected(rows), 102: None}
+    assert got[101] == "c one\nd one"
