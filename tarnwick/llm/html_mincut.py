@@ -5,7 +5,9 @@ odds of content; they are the capacities to the two terminals. Neighbouring bloc
 joined by smoothness edges, the stronger the nearer they are in the DOM. The minimum cut, found by augmenting paths,
 labels all blocks at once: a short block amid content stays, a long one amid boilerplate goes.
 
-Defined results: null, empty and text-less pages give an empty text; unclosed and stray tags are tolerated as browsers do;
+Defined results: null, empty and text-less pages give an empty text; unclosed and stray tags are tolerated as browsers do, so an
+unclosed svg or math ends at the next block, an unclosed button or object shows its content, and other unclosed elements without text end with
+the element around them;
 white space (also non-breaking) inside a block is one space; blocks hidden from readers, comments, scripts and styles
 are no text; repeated rows give equal rows; an empty table gives an empty result; further columns are carried
 through `extract`.
@@ -22,7 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.llm.common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|button|math|canvas|audio|video|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_ATTRS = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)"
+# Raw text runs to its end tag, or to the end of the page, as in browsers.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|iframe|textarea|title)(?=[\s/>])" + _ATTRS.replace("(", "(?:", 1) + r">.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][\w:-]*)" + _ATTRS + r">|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+# Elements whose content is no text of the page; an unclosed button or object shows its content.
+_DROPPED = frozenset("template svg object select button math canvas audio video".split())
+_FOREIGN, _SHOWN = frozenset(("svg", "math")), frozenset(("button", "object"))
+_DROPS = re.compile(r"<(?:template|svg|object|select|button|math|canvas|audio|video)(?=[\s/>])", re.I)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -78,6 +86,30 @@ def _open(tag: str, attrs: str, up: _Node, uid: int) -> _Node:
     return _Node(tag, uid, odds, story, hide)
 
 
+def _closed(tokens: list[re.Match]) -> set[int]:
+    """Places of the dropped elements that end with their own end tag, not with an element around them."""
+    stack, out = [], set()
+    for k, m in enumerate(tokens):
+        tag = (m[3] or "").lower()
+        if tag not in _BLOCKS and tag not in _DROPPED:
+            continue
+        if m[2]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    if tag in _DROPPED:
+                        out.add(stack[i][1])
+                    del stack[i:]
+                    break
+        elif _opens(tag, m[4]):
+            stack.append((tag, k))
+    return out
+
+
+def _opens(tag: str, attrs: str) -> bool:
+    """Whether a start tag leaves its element open."""
+    return tag not in _VOID and not (attrs.endswith("/") and (tag in _BLOCKS or tag in _FOREIGN))
+
+
 def blocks(page: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
     """(text, log odds of content, container, path of containers) of the page's blocks in order."""
     stack = [_Node("#page", 0, 0.0, False, False)]
@@ -103,16 +135,37 @@ def blocks(page: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
                     out.append((text, odds, top.uid, tuple(x.uid for x in stack)))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
+    tokens, closed = _TOKEN.finditer(page), set()
+    if _DROPS.search(page):
+        tokens = list(tokens)
+        closed = _closed(tokens)
+    hidden: list[str] = []  # the open dropped element and what is open in it
+    breaks = False  # an unclosed svg or math ends at the next block
+    for k, m in enumerate(tokens):
         name = m[3]
         if name is None:
             s = m[0]
-            if s[0] != "<" or s == "<":
+            if not hidden and (s[0] != "<" or s == "<"):
                 parts.append(s)
                 if links:
                     linked += len(s)
             continue
         tag = name.lower()
+        if hidden:
+            if m[2] and tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
+            if m[2] and any(x.tag == tag for x in stack) or not m[2] and breaks and tag in _BLOCKS:
+                hidden = []
+            else:
+                if not m[2] and (tag in _BLOCKS or tag in _DROPPED) and _opens(tag, m[4]):
+                    hidden.append(tag)
+                continue
+        if tag in _DROPPED:
+            if not m[2] and _opens(tag, m[4]) and (k in closed or tag not in _SHOWN):
+                hidden, breaks = [tag], k not in closed and tag in _FOREIGN
+            continue
         if tag not in _BLOCKS:
             if tag == "a":
                 links = 0 if m[2] else 1

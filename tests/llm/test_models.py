@@ -112,3 +112,20 @@ def test_pipeline(spark, tmp_path):
     assert len(ids & bad) <= 3 and 9000 not in ids and 10 in ids
     assert len(ids) >= 0.9 * (len(docs) - len(bad) - 2)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def texts(page):
+    return [b[0] for b in html_mincut.blocks(page)]
+
+
+def test_dropped_elements_end():
+    assert html_mincut.main_text("<p>a</p><svg class=i /><p>main text</p>").endswith("main text")
+    assert texts("<video-js></video-js><p>a</p><button-group>b</button-group><p>c</p>") == ["a", "b", "c"]
+    assert texts("<div><canvas/></div><p>a</p><div><button>b</div><p>c</p><div><object>d</div><p>e</p><div><audio>f</div><p>g</p>") == ["a", "b", "c", "d", "e", "g"]
+    assert texts("<p>a<svg class=i><p>b</p>") == ["a", "b"]
+    assert texts("<p>a <button><div>x</div><svg/>y</button>b</p><select><option>z</select><p>c<svg><p>no</p></svg></p>") == ["a b", "c"]
+    assert texts("<p>a</p><script>x</scripts>y</script ><p>b</p><style>c") == ["a", "b"]
+
+
+def test_long_attribute_values():
+    assert texts(f"<p>a</p><p data-x=\"{'v' * 5000}>{'w' * 50}\">b</p><p don't>c</p>") == ["a", "b", "c"]
