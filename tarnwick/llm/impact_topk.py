@@ -113,20 +113,20 @@ def _search(k: int):
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, e): components floor(scale * x) of the vectors that take part, repeated rows once."""
+    """(vec_id, e): components floor(scale * x) of the vectors that take part."""
     fit = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(fit).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("e"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of integer vectors (vec_id, e)."""
+    """(query_id, rank, vec_id, score) of integer vectors (vec_id, e), repeated rows once."""
     prepare(vectors.sparkSession)
     schema = "ids binary, width long, data binary"
-    blocks = vectors.mapInArrow(_blocks(BLOCK), schema)
+    blocks = vectors.dropDuplicates(["vec_id", "e"]).mapInArrow(_blocks(BLOCK), schema)
     asked = queries.dropDuplicates(["vec_id", "e"]).mapInArrow(_blocks(QUERIES), schema).toDF("qids", "qwidth", "qdata").checkpoint()
     size = asked.agg(F.sum(F.length("qdata") + F.length("qids"))).first()[0] or 0
     pairs = blocks.crossJoin(F.broadcast(asked) if size <= SENT else asked)
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

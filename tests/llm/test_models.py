@@ -129,3 +129,10 @@ def test_dropped_elements_end():
 
 def test_long_attribute_values():
     assert texts(f"<p>a</p><p data-x=\"{'v' * 5000}>{'w' * 50}\">b</p><p don't>c</p>") == ["a", "b", "c"]
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(1, [1, 0])] + [(9, [90, 0])] * 12 + [(i, [i, 0]) for i in range(2, 8)] + [(8, [80, 0]), (8, [80, 1])]
+    v = spark.createDataFrame(rows, "vec_id long, e array<long>").coalesce(1)
+    got = sorted((r.rank, r.vec_id, r.score) for r in impact_topk.top_k(v, v.where("vec_id = 1")).collect())
+    assert got == [(1, 9, 90), (2, 8, 80), (3, 8, 80), (4, 7, 7), (5, 6, 6)]
