@@ -3,8 +3,8 @@
 Two character models, one of toxic and one of ordinary documents, give every word a log likelihood: interpolated
 Kneser-Ney of order ORDER over the word's lower-case letters and its borders. The lowest orders are one model of both
 classes, so an expression that is rare in both backs off to the same values and says little, while a rare form of a
-toxic stem is still told by its letters. A document's log-likelihood ratio is the sum over its words, divided by its length;
-a logistic curve, fitted on labelled documents the models haven't seen, turns it into a score.
+toxic stem is still told by its letters. A document's log-likelihood ratio is the sum over all its words, divided by its length;
+it and three features of the words that stand out of chance go to a logistic curve, which, fitted on labelled documents the models haven't seen, turns them into a score.
 
 Only labels of documents whose crc32 modulo 4 is not 2 are learned from, at most about SAMPLE of each class, chosen by
 a hash of the id: six tenths make the models, the rest the curve. Labels, language, source and id are no features.
@@ -141,14 +141,14 @@ class KneserNey:
             r = self.words[word] = self.ratio(word) if r is None else r
         return r
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Length-normalised ratio of what stands out of the words' noise, and the mean of the three and one highest words."""
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """Length-normalised ratio of all words, of what stands out of the words' noise, and the mean of the three and one highest words."""
         v = [self.word_ratio(w) for w in words_of(text)]
         if not v:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         high = sorted((r for r in v if r > NOISE), reverse=True)
         top = high[:3] + [0.0] * (3 - len(high[:3]))
-        return math.sqrt(sum(r - NOISE for r in high) / len(v)), sum(top) / 3, top[0]
+        return sum(v) / len(v), math.sqrt(sum(r - NOISE for r in high) / len(v)), sum(top) / 3, top[0]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict:
     got = rows.where("part >= 6").select("doc_id", "text", "y").mapInArrow(_features(model), "doc_id long, y int, f array<double>").orderBy("doc_id").collect()
     # the curve sees the classes as often as the labels have them
     y = np.array([r.y for r in got], float)
-    w = _curve(np.array([r.f for r in got]).reshape(-1, 3), y)
+    w = _curve(np.array([r.f for r in got]).reshape(-1, 4), y)
     share = counts[1] / (counts[0] + counts[1])
     seen = y.mean() if len(y) else share
     w[-1] += math.log(share / (1 - share)) - math.log(max(seen, 1e-6) / max(1 - seen, 1e-6))
@@ -223,7 +223,7 @@ def _score(model):
             if m["kn"] is None:
                 s = np.zeros(len(texts))
             else:
-                f = np.array([m["kn"].features(t) for t in texts]).reshape(-1, 3)
+                f = np.array([m["kn"].features(t) for t in texts]).reshape(-1, 4)
                 s = 1 / (1 + np.exp(-np.clip(f @ m["w"][:-1] + m["w"][-1], -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "__score"])
 

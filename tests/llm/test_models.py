@@ -136,3 +136,14 @@ def test_top_k_of_repeated_rows(spark):
     v = spark.createDataFrame(rows, "vec_id long, e array<long>").coalesce(1)
     got = sorted((r.rank, r.vec_id, r.score) for r in impact_topk.top_k(v, v.where("vec_id = 1")).collect())
     assert got == [(1, 9, 90), (2, 8, 80), (3, 8, 80), (4, 7, 7), (5, 6, 6)]
+
+
+def test_all_words_count_in_the_ratio():
+    from collections import Counter
+
+    kn = toxicity_kn.KneserNey((Counter({"kato": 50, "mire": 40, "sola": 9}), Counter({"kato": 40, "mire": 50, "vida": 9})))
+    for text in ("kato mire kato", "sola sola kato", "vida mire"):
+        ratios = [kn.ratio(w) for w in text.split()]
+        assert kn.features(text)[0] == pytest.approx(sum(ratios) / len(ratios)) != 0
+    assert kn.features("sola sola kato")[0] < 0 < kn.features("vida mire")[0]
+    assert kn.features("") == (0.0,) * 4
