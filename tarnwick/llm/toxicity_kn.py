@@ -32,8 +32,8 @@ SAMPLE = 3000
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.75
 THRESHOLD = 0.3
-#: Words of each class that the models are made of, the most frequent.
-VOCABULARY = 150_000
+#: Damped counts are summed as whole multiples of 1 / UNIT, so the sums don't depend on the order.
+UNIT = 1 << 32
 #: Ratios of single words up to this are what chance makes of ordinary words.
 NOISE = 4.0
 REMEMBERED = 300_000
@@ -41,15 +41,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class KneserNey:
-    """Log-likelihood ratio of words between two classes. words: one Counter of word counts for each class, ordinary first."""
+    """Log-likelihood ratio of words between two classes. words: one Counter of word counts for each class, ordinary first; or grams: their damped counts."""
 
-    def __init__(self, words: tuple[Counter, Counter], order: int = ORDER, shared: int = SHARED):
+    def __init__(self, words: tuple[Counter, Counter] | None = None, order: int = ORDER, shared: int = SHARED, grams: list[dict[str, float]] | None = None):
         self.order = order
         self.words: dict[str, float] = {}
         self.older: dict[str, float] = {}
         self.grams: dict[str, float] = {}
         self.probs: list[list] = []
-        grams = [self._counts(w, order) for w in words]
+        grams = grams or [self._counts(w, order) for w in words]
         lower = self._shared(grams, shared)
         for g in grams:
             self.probs.append(self._class(g, lower, order, shared))
@@ -59,10 +59,9 @@ class KneserNey:
         """Damped counts of n-grams of the highest order; a word's start is filled up with \\x02."""
         out: dict[str, float] = defaultdict(float)
         for w, c in words.items():
-            s = "\x02" * (order - 1) + w + "\x03"
             c = math.log2(1 + c)
-            for i in range(len(w) + 1):
-                out[s[i : i + order]] += c
+            for g in grams_of(w, order):
+                out[g] += c
         return out
 
     @staticmethod
@@ -151,6 +150,11 @@ class KneserNey:
         return sum(v) / len(v), math.sqrt(sum(r - NOISE for r in high) / len(v)), sum(top) / 3, top[0]
 
 
+def grams_of(word: str, order: int = ORDER) -> list[str]:
+    s = "\x02" * (order - 1) + word + "\x03"
+    return [s[i : i + order] for i in range(len(word) + 1)]
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -165,6 +169,18 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([y] * len(by[y]), pa.int32()), pa.array(list(by[y]), pa.string()), pa.array(list(by[y].values()), pa.int64())], names=["y", "word", "c"])
 
 
+def _grams(batches):
+    for batch in batches:
+        by: tuple[dict[str, int], dict[str, int]] = (defaultdict(int), defaultdict(int))
+        for y, word, c in zip(*(batch.column(k).to_pylist() for k in ("y", "word", "c")), strict=True):
+            c = round(math.log2(1 + c) * UNIT)
+            for g in grams_of(word):
+                by[y][g] += c
+        for y in (0, 1):
+            if by[y]:
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(by[y]), pa.int32()), pa.array(list(by[y]), pa.string()), pa.array(list(by[y].values()), pa.int64())], names=["y", "gram", "c"])
+
+
 def _features(model):
     def run(batches):
         m = model.value["kn"]
@@ -191,19 +207,19 @@ def _curve(f: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict:
-    """Models and curve. Word counts of the sampled documents, at most VOCABULARY a class, and their features reach the driver."""
+    """Models and curve. Counts of the n-grams of all words of the sampled documents, and the documents' features, reach the driver."""
     some, counts = sampled(labels, "toxic", per_class)
     if not counts.get(0) or not counts.get(1):
         return {"kn": None, "w": None}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)))
     words = rows.where("part < 6").select("text", "y").mapInArrow(_count, "y int, word string, c long").groupBy("y", "word").agg(F.sum("c").alias("c"))
-    by = []
-    for y in (0, 1):
-        top = words.where(F.col("y") == y).orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()
-        by.append(Counter({r.word: r.c for r in top}))
+    found = words.mapInArrow(_grams, "y int, gram string, c long").groupBy("y", "gram").agg(F.sum("c").alias("c")).toArrow()
+    by: tuple[dict[str, float], dict[str, float]] = ({}, {})
+    for y, g, c in sorted(zip(*(found.column(k).to_pylist() for k in ("y", "gram", "c")), strict=True)):
+        by[y][g] = c / UNIT
     if not by[0] or not by[1]:
         return {"kn": None, "w": None}
-    kn = KneserNey((by[0], by[1]))
+    kn = KneserNey(grams=[*by])
     model = docs.sparkSession.sparkContext.broadcast({"kn": kn})
     got = rows.where("part >= 6").select("doc_id", "text", "y").mapInArrow(_features(model), "doc_id long, y int, f array<double>").orderBy("doc_id").collect()
     # the curve sees the classes as often as the labels have them

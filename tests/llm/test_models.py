@@ -147,3 +147,21 @@ def test_all_words_count_in_the_ratio():
         assert kn.features(text)[0] == pytest.approx(sum(ratios) / len(ratios)) != 0
     assert kn.features("sola sola kato")[0] < 0 < kn.features("vida mire")[0]
     assert kn.features("") == (0.0,) * 4
+
+
+def test_models_hold_all_words(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity_kn, "VOCABULARY", 20, raising=False)
+    docs, labels = documents(200)
+    df = spark.createDataFrame(docs[:200], "doc_id long, text string")
+    kn = toxicity_kn.train(df, spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int"))["kn"]
+    words = (Counter(), Counter())
+    for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)) < 6).collect():
+        words[labels[r.doc_id][2]].update(toxicity_kn.words_of(r.text))
+    want = toxicity_kn.KneserNey(words)
+    assert max(map(len, words)) > 20
+    for w in [*words[0], *words[1], "zzunheard"]:
+        assert kn.ratio(w) == pytest.approx(want.ratio(w), abs=1e-6)
