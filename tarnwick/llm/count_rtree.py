@@ -244,7 +244,7 @@ class CountTree:
         self.sizes, self.fan = sizes, fan
 
     def point(self, s: np.ndarray) -> np.ndarray:
-        return np.minimum(np.bincount((s >> np.uint64(40) & np.uint64(self.groups - 1)).astype(np.int64), minlength=self.groups), 1 << 20).astype(np.int32)
+        return np.bincount((s >> np.uint64(40) & np.uint64(self.groups - 1)).astype(np.int64), minlength=self.groups).astype(np.int32)
 
     def search(self, s: np.ndarray) -> np.ndarray:
         """Members that no bound rules out as links of set s, best bound first."""
@@ -296,7 +296,7 @@ def classes(sets: list[np.ndarray], label: np.ndarray, ask: np.ndarray) -> np.nd
 
 
 def _unpacked_sets(batches):
-    """(region, rep, set) of packed rows; a row whose text isn't the member's, as one id has several, is left out."""
+    """(region, rep, g, set) of packed rows; a row whose text isn't the member's, as one id has several, is left out."""
     for batch in unpacked(batches):
         for part in steps(batch):
             h, at = shingles(*buffers(part.column("text")))
@@ -304,23 +304,26 @@ def _unpacked_sets(batches):
             ok = g.view(np.int64) == np.asarray(part.column("g"))
             for i, region, rep in zip(range(part.num_rows), part.column("region").to_pylist(), part.column("rep").to_pylist(), strict=True):
                 if ok[i]:
-                    yield region, rep, h[at[i] : at[i + 1]]
+                    yield region, rep, int(g[i]), h[at[i] : at[i + 1]]
 
 
 def _regions(batches):
     """Rows sorted by region and member: each member's smallest linked id inside the region."""
-    region, ids, sets = None, [], []
+    region, ids, sets, seen = None, [], [], set()
 
     def done():
         label = classes(sets, np.array(ids), np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label)], names=["rep", "low"])
 
-    for r, i, s in _unpacked_sets(batches):
+    for r, i, g, s in _unpacked_sets(batches):
         if r != region and ids:
             yield done()
             ids, sets = [], []
         region = r
         if not ids or ids[-1] != i:
+            seen = set()
+        if g not in seen:  # an id may have several sets, and a set several rows
+            seen.add(g)
             ids.append(i)
             sets.append(s.copy())
     if ids:
@@ -328,7 +331,7 @@ def _regions(batches):
 
 
 def _members(batches):
-    for region, rep, s in _unpacked_sets(batches):
+    for region, rep, _, s in _unpacked_sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([region], pa.int64()), pa.array([rep], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["region", "rep", "n", "hs"])
 
 

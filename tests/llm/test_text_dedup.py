@@ -199,3 +199,23 @@ def test_single_lines_go(spark, seed):
     got = {x.doc_id: x.text for x in line_suffix.dedup_lines(frame(spark, rows)).collect()}
     assert got == {**runs_expected(rows), 102: None}
     assert got[101] == "c one\nd one"
+
+
+def test_all_sets_of_an_id_are_compared():
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    x, y, z = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("x", 60), ("y", 60), ("y", 61)))
+    texts = pa.array([x, y, y, z])
+    g, _ = count_rtree._identity(*count_rtree.shingles(*count_rtree.buffers(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 4), pa.array([5, 5, 5, 9]), pa.array(g.view(np.int64)), pa.array([zstandard.compress(t.encode()) for t in texts.to_pylist()], pa.binary())], names=["region", "rep", "g", "text"])
+    (out,) = count_rtree._regions(iter([batch]))
+    assert list(zip(out.column("rep").to_pylist(), out.column("low").to_pylist(), strict=True)) == [(5, 5), (5, 5), (9, 5)]
+
+
+def test_large_counts_are_kept():
+    import numpy as np
+
+    tree = count_rtree.CountTree([np.arange(40, dtype=np.uint64)] * 3)
+    assert tree.point(np.zeros((1 << 20) + 5, np.uint64))[0] == (1 << 20) + 5
