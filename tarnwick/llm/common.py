@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,16 +25,31 @@ STEP_BYTES = 640 << 10
 BATCH_ROWS = 1000
 
 
+#: Settings of Python workers: large buffers go back to the system when they are freed, so workers that wait stay small.
+_WORKERS = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(2 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+_SAVED: dict[str, SparkSession] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package; keep Arrow batches of long texts small; set a checkpoint folder only where none is set."""
+    """Let Python workers import this package, keep Arrow batches of long texts small, and drop a query's shuffle files when it ends.
+
+    Tables between steps go to spark.checkpoint.dir. Where that is unset, a temporary folder serves a local master; on a
+    cluster, whose machines don't share one, it is an error.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     sc = spark.sparkContext
     have = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, _ROOT) if x)
+    for k, v in _WORKERS.items():
+        sc.environment.setdefault(k, v)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tarnwick-checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarnwick-"))
     return spark
 
 
@@ -86,10 +103,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        grown = np.full(max(n, 1 << 16), base, np.uint64)
+        grown = np.full(max(n, 1 << 14), base, np.uint64)
         grown[0] = 1
         have = np.multiply.accumulate(grown)
-        if len(have) <= 4 * STEP_BYTES:
+        if len(have) <= STEP_BYTES + 1:
             _POWERS[base] = have
     return have[:n]
 
@@ -176,22 +193,54 @@ def bit_set(rows: DataFrame, *cols):
     return rows.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def packed(docs: DataFrame, text_col: str, bits, wanted: bool = True) -> DataFrame:
-    """Rows of docs whose column __bit is (not) in the bit set, without __bit; wanted rows carry their text as zstd bytes, for a shuffle."""
-    names = [c for c in docs.columns if c != "__bit"]
+def unused(columns: list[str], *bases: str) -> list[str]:
+    """Column names like bases that none of columns has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in bases:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def holds(bits: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Which bits i of a set in packed bytes, lowest bit first, are set."""
+    return (bits[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def packed(docs: DataFrame, text_col: str, bits, bit_col: str, wanted: bool = True) -> DataFrame:
+    """Rows of docs whose bit_col is (not) in the bit set, without that column; wanted rows carry their text as zstd bytes, for a shuffle."""
+    names = [c for c in docs.columns if c != bit_col]
 
     def run(batches):
-        has = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        has = np.frombuffer(bits.value, np.uint8)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            rows = np.flatnonzero(has[np.asarray(batch.column("__bit"))] == wanted)
+            rows = np.flatnonzero(holds(has, np.asarray(batch.column(bit_col))) == wanted)
             part = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array([None if t is None else squeeze(t.encode()) for t in part.column(c).to_pylist()], pa.binary()) if c == text_col and wanted else part.column(c) for c in names], names=names)
 
-    schema = T.StructType([T.StructField(f.name, T.BinaryType(), True) if f.name == text_col and wanted else f for f in docs.schema if f.name != "__bit"])
+    schema = T.StructType([T.StructField(f.name, T.BinaryType(), True) if f.name == text_col and wanted else f for f in docs.schema if f.name != bit_col])
     return docs.mapInArrow(run, schema)
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str, marks: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs in two parts: rows surely without marks, and the others with packed texts and the columns of marks.
+
+    marks is a saved table of sid, th (xxhash64 of the text) and further columns, of which the second part has one
+    each, null where a row has no mark; their names there, which never clash with those of docs, are returned too.
+    """
+    more = [c for c in marks.columns if c not in ("sid", "th")]
+    bit, sid, th, sid2, th2, *names = unused(docs.columns, "bit", "sid", "th", "sid2", "th2", *more)
+    bits = bit_set(marks, "sid")
+    keyed = docs.withColumn(bit, bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
+    marks = marks.select(F.col("sid").alias(sid2), F.col("th").alias(th2), *(F.col(c).alias(n) for c, n in zip(more, names, strict=True)))
+    maybe = packed(keyed.withColumns({sid: F.col(id_col).cast("long"), th: F.xxhash64(text_col)}), text_col, bits, bit)
+    joined = maybe.join(marks, (F.col(sid) == F.col(sid2)) & (F.col(th) == F.col(th2)), "left").drop(sid, th, sid2, th2)
+    return packed(keyed, text_col, bits, bit, False), joined, names
+
+
 def unpacked(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches with the packed text column as strings again, in runs of bounded size."""
     inflate = zstandard.ZstdDecompressor().decompress
@@ -202,26 +251,36 @@ def unpacked(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Itera
             yield pa.RecordBatch.from_arrays([texts if c == text_col else part.column(c) for c in part.schema.names], names=part.schema.names)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages: its cleaner acts on what the driver has collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df from a Parquet table in the checkpoint folder: lineage is cut, any executor can read it, and it takes less room than checkpoint()."""
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    _SAVED[path] = spark
     df.write.parquet(path)
-    settle(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete saved tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df._saved_at, _SAVED.pop(df._saved_at))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all saved tables of the session: for when its results were written or read. Ends of the driver's Python do the same."""
+    for path in [p for p, s in _SAVED.items() if s is spark]:
+        _delete(path, _SAVED.pop(path))
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in set(_SAVED.values()):
+        with contextlib.suppress(Exception):  # the JVM may have ended
+            release(spark)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, mix, packed, prepare, saved, spread, steps, table, unpacked
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, dropped, holds, marked, mix, packed, prepare, saved, spread, steps, table, unpacked
 from tarnwick.llm.components import components
 
 GRAM = 5
@@ -99,7 +99,7 @@ def _frequent(batches):
 
     def done():
         mean = total.mean()
-        bits = np.packbits(total > mean + 4 * mean**0.5 + 12)
+        bits = np.packbits(total > mean + 4 * mean**0.5 + 12, bitorder="little")
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bits.tobytes()])], names=["chunk", "bits"])
 
     for batch in batches:
@@ -130,7 +130,7 @@ def _least(n: np.ndarray) -> np.ndarray:
 
 def _prefixes(bits):
     def run(batches):
-        often = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        often = np.frombuffer(bits.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for part in steps(batch):
@@ -148,7 +148,7 @@ def _prefixes(bits):
                 owner = np.repeat(np.arange(len(n)), n)
                 use = fresh[owner]
                 h, owner = h[use], owner[use]
-                rank = (mix(h) >> np.uint64(1)) | (often[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
+                rank = (mix(h) >> np.uint64(1)) | (holds(often, (h & np.uint64(CELLS - 1)).astype(np.int64)).astype(np.uint64) << np.uint64(63))
                 order = np.lexsort((rank, owner))
                 rank, owner = rank[order], owner[order]
                 count = np.where(fresh, n, 0)
@@ -376,7 +376,7 @@ def _crowded_regions(members: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of the links, for regions too large for one task."""
     order = F.xxhash64("rep")
     pivots = members.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy(order, "rep"))).where(f"k <= {PIVOTS}").groupBy("region").agg(F.collect_list(F.struct("rep", "hs")).alias("pivots"))
-    first = members.join(pivots, "region").mapInArrow(_to_pivots, "a long, b long").checkpoint()
+    first = saved(members.join(pivots, "region").mapInArrow(_to_pivots, "a long, b long"))
     label = components(first, "a", "b")
     # places are settled on ids alone; the sets are joined once, to the blocks that are searched
     light = members.select("region", "rep", "n")
@@ -395,7 +395,7 @@ def _crowded_regions(members: DataFrame) -> DataFrame:
 
 def _texts(src: DataFrame, placed: DataFrame) -> DataFrame:
     """(region, rep, g, text) of the placed members, texts packed."""
-    texts = packed(src.withColumn("__bit", bit_of("doc_id")), "text", bit_set(placed, "rep"))
+    texts = packed(src.withColumn("bit", bit_of("doc_id")), "text", bit_set(placed, "rep"), "bit")
     return texts.join(placed, (texts.doc_id == placed.rep) & (texts.th == placed.rth)).select("region", "rep", "g", "text")
 
 
@@ -404,16 +404,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = src.where("doc_id is not null and text is not null")
-    sets = src.mapInArrow(_sets, "doc_id long, th long, n long, g long, g2 long").checkpoint()
+    sets = saved(src.mapInArrow(_sets, "doc_id long, th long, n long, g long, g2 long"))
     reps = sets.where("n > 0 and doc_id is not null").groupBy("g", "g2").agg(F.min(F.struct("doc_id", "th", "n")).alias("x")).select("g", "g2", F.col("x.doc_id").alias("rep"), F.col("x.th").alias("rth"), F.col("x.n").alias("n"))
     bits = docs.sparkSession.sparkContext.broadcast(frequent_cells(texts.select("text")))
     tokens = texts.select("text").mapInArrow(_prefixes(bits), "token long, g long, n int")
     pairs = tokens.repartition("token").sortWithinPartitions("token", "n", "g").mapInArrow(_pairs, "a long, b long, na int, nb int, c long")
     least = "ceil(4 * (na + nb) / 9) - ceil(0.8 * greatest(na, nb)) + 1"
-    near = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(f"c >= {least}").select("a", "b").checkpoint()
+    near = saved(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(f"c >= {least}").select("a", "b"))
     region = components(near, "a", "b")
+    dropped(near)
     placed = reps.join(region, reps.g == region.node).select("g", "rep", "rth", "n", F.col("label").alias("region"))
-    placed = placed.join(placed.groupBy("region").agg(F.sum("n").alias("total")), "region").checkpoint()
+    placed = saved(placed.join(placed.groupBy("region").agg(F.sum("n").alias("total")), "region"))
     small = _texts(src, placed.where(f"total <= {REGION}")).repartition("region").sortWithinPartitions("region", "rep").mapInArrow(_regions, "rep long, low long")
     edges = small.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     large = placed.where(f"total > {REGION}")
@@ -431,12 +432,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, left of each class; rows of one id and text go or stay together."""
-    gone = saved(near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__sid"), F.col("th").alias("__th2")).distinct())
-    bits = bit_set(gone, "__sid")
-    keyed = docs.withColumn("__bit", bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
-    maybe = packed(keyed.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)}), text_col, bits)
-    left = maybe.join(gone, (F.col("__id") == F.col("__sid")) & (F.col("__th") == F.col("__th2")), "left_anti").drop("__id", "__th")
-    return packed(keyed, text_col, bits, False).unionByName(left.mapInArrow(lambda it: unpacked(it, text_col), docs.schema))
+    gone = saved(near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("sid"), "th", F.lit(True).alias("gone")).distinct())
+    whole, maybe, (mark,) = marked(docs, id_col, text_col, gone)
+    left = maybe.where(F.col(mark).isNull()).drop(mark)
+    return whole.unionByName(left.mapInArrow(lambda it: unpacked(it, text_col), docs.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

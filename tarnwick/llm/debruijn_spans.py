@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, dropped, packed, prepare, saved, spread, steps, table, unpacked
+from tarnwick.llm.common import Rolling, Words, bit_of, bit_set, buffers, dropped, marked, packed, prepare, saved, spread, steps, table, unpacked
 
 SPAN = 50
 KMER = 16
@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = nodes.select("h1", "h2", "sid", "th", "pos").join(shared, ["h1", "h2"]).select("sid", "th", F.struct("pos", "first", "r", "l").alias("x"))
     got = placed.groupBy("sid", "th").agg(F.collect_set("x").alias("got"))
     got = saved(got)
-    texts = packed(src.withColumn("__bit", bit_of("sid")), "text", bit_set(got, "sid"))
+    texts = packed(src.withColumn("bit", bit_of("sid")), "text", bit_set(got, "sid"), "bit")
     found = texts.join(got, ["sid", "th"]).mapInArrow(_windows(span, k), "h1 long, h2 long, sid long, th long, s int, e int, own boolean")
     found = saved(found)
     dropped(shared, got)
@@ -196,11 +196,11 @@ def _keep(gone, words: list[str]) -> list[str]:
     return [w for w, ok in zip(words, keep.tolist(), strict=True) if ok]
 
 
-def _kept(columns: list[str], digest: bool, text_col: str, joined: bool):
+def _kept(columns: list[str], digest: bool, text_col: str, gone_col: str | None):
     def run(batches):
-        for batch in unpacked(batches, text_col) if joined else batches:
+        for batch in unpacked(batches, text_col) if gone_col else batches:
             texts = batch.column(text_col).to_pylist()
-            gone = batch.column("__gone").to_pylist() if joined else [()] * len(texts)
+            gone = batch.column(gone_col).to_pylist() if gone_col else [()] * len(texts)
             words = [_SPLIT.findall(t or "") for t in texts]
             kept = [_keep(g or (), w) for w, g in zip(words, gone, strict=True)]
             if digest:
@@ -214,13 +214,8 @@ def _kept(columns: list[str], digest: bool, text_col: str, joined: bool):
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, digest: bool, schema) -> DataFrame:
     """Only texts that may lose words are shuffled to their spans; the others go straight through."""
-    gone = repeated_spans(docs, id_col, text_col, span).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
-    bits = bit_set(gone, "__sid")
-    keyed = docs.withColumns({"__bit": bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))})
-    whole = packed(keyed, text_col, bits, False).mapInArrow(_kept(docs.columns, digest, text_col, False), schema)
-    keyed = keyed.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
-    cut = packed(keyed, text_col, bits).join(gone, (F.col("__id") == F.col("__sid")) & (F.col("__th") == F.col("__th2")), "left")
-    return whole.unionByName(cut.mapInArrow(_kept(docs.columns, digest, text_col, True), schema))
+    whole, cut, (gone,) = marked(docs, id_col, text_col, repeated_spans(docs, id_col, text_col, span))
+    return whole.mapInArrow(_kept(docs.columns, digest, text_col, None), schema).unionByName(cut.mapInArrow(_kept(docs.columns, digest, text_col, gone), schema))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:

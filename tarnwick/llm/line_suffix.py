@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import bit_of, bit_set, packed, prepare, saved, table, unpacked
+from tarnwick.llm.common import marked, prepare, saved, table, unpacked
 
 LEVELS = 40
 #: Characters of the shortest line that goes without a neighbour.
@@ -52,14 +52,14 @@ def levels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     prepare(docs.sparkSession)
     lines = docs.select(F.col(id_col).cast("long").alias("sid"), F.xxhash64(text_col).alias("th"), F.expr(f"transform(split({text_col}, '\\n', -1), x -> xxhash64(x))").alias("h")).where("sid is not null and size(h) > 1")
     pairs = lines.select("sid", "th", F.posexplode(F.expr("transform(sequence(0, size(h) - 2), k -> xxhash64(h[k], h[k + 1]))")).alias("i", "name")).dropDuplicates(["sid", "th", "i"])
-    found = [_named(pairs).checkpoint()]
+    found = [saved(_named(pairs))]
     for k in range(1, most):
         last = found[-1]
         if last.isEmpty():
             break
         tail = last.select("sid", "th", (F.col("i") - 2**k).alias("i"), F.col("name").alias("more"))
         both = last.select("sid", "th", "i", "name").join(tail, ["sid", "th", "i"]).select("sid", "th", "i", F.xxhash64("name", "more").alias("name"))
-        found.append(_named(both).checkpoint())
+        found.append(saved(_named(both)))
     return found
 
 
@@ -84,14 +84,14 @@ def _kept(text: str, at: list[int]) -> tuple[list[str], int]:
     return [x for j, x in enumerate(lines) if j not in gone], len(lines)
 
 
-def _rows(columns: list[str], digest: bool, text_col: str, joined: bool):
+def _rows(columns: list[str], digest: bool, text_col: str, at_col: str | None, longest_col: str | None):
     def run(batches):
-        for batch in unpacked(batches, text_col) if joined else batches:
+        for batch in unpacked(batches, text_col) if at_col else batches:
             texts = batch.column(text_col).to_pylist()
-            at = batch.column("__at").to_pylist() if joined else [None] * len(texts)
+            at = batch.column(at_col).to_pylist() if at_col else [None] * len(texts)
             kept = [([], 0) if t is None else _kept(t, a or []) for t, a in zip(texts, at, strict=True)]
             if digest:
-                longest = batch.column("__longest").to_pylist() if joined else [None] * len(texts)
+                longest = batch.column(longest_col).to_pylist() if at_col else [None] * len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for _, n in kept], pa.int64()), pa.array([n - len(k) for k, n in kept], pa.int64()), pa.array([x or 0 for x in longest], pa.int64()), pa.array([hashlib.sha256("\n".join(k).encode()).hexdigest() for k, _ in kept], pa.string())], names=["doc_id", "n_lines", "n_removed", "longest_run_pow2", "kept_sha256"])
             else:
                 new = [t if not a else "\n".join(k) for t, a, (k, _) in zip(texts, at, kept, strict=True)]
@@ -101,13 +101,8 @@ def _rows(columns: list[str], digest: bool, text_col: str, joined: bool):
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, digest: bool, schema) -> DataFrame:
-    gone = later_copies(docs, id_col, text_col, not digest).select(F.col("sid").alias("__sid"), F.col("th").alias("__th2"), F.col("at").alias("__at"), F.col("longest").alias("__longest")).checkpoint()
-    bits = bit_set(gone, "__sid")
-    keyed = docs.withColumn("__bit", bit_of(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
-    whole = packed(keyed, text_col, bits, False).mapInArrow(_rows(docs.columns, digest, text_col, False), schema)
-    keyed = keyed.withColumns({"__id": F.col(id_col).cast("long"), "__th": F.xxhash64(text_col)})
-    cut = packed(keyed, text_col, bits).join(gone, (F.col("__id") == F.col("__sid")) & (F.col("__th") == F.col("__th2")), "left")
-    return whole.unionByName(cut.mapInArrow(_rows(docs.columns, digest, text_col, True), schema))
+    whole, cut, (at, longest) = marked(docs, id_col, text_col, saved(later_copies(docs, id_col, text_col, not digest)))
+    return whole.mapInArrow(_rows(docs.columns, digest, text_col, None, None), schema).unionByName(cut.mapInArrow(_rows(docs.columns, digest, text_col, at, longest), schema))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
