@@ -4,10 +4,12 @@ Documents become ids plus an end id. Full pieces are sequences of their own. The
 bounded size, and each partition packs its pieces by best-fit decreasing. Dual feasible functions over the length
 histogram give each partition a lower bound on its sequences. A partition that meets its bound is certified and
 settled. One with a gap keeps its full sequences and sends the rest to be dealt anew with the rest of the others;
-packing is run again until all is certified, nothing is left to exchange, or a round gains nothing.
+packing is run again until all is certified, one partition holds what is left, or a round settles nothing. What is
+packed then may have a gap; `certificate` compares all sequences with the bound of all pieces. Pieces are dealt by a
+hash of their place in the table, so equal pieces are spread like others.
 
 Defined results: null or empty text is the end id alone; equal ids and repeated rows are packed as rows of their
-own; an empty table gives an empty result; null ids stay null.
+own; an empty table gives an empty result; null ids stay null; further columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import prepare, table
+from tarnwick.llm.common import prepare, saved, table
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 #: Pieces that one task packs.
 PARTITION = 40_000
-ROUNDS = 5
-REMEMBERED = 300_000
+#: Bits of a sequence's number in its part, and of its part's number in a round.
+BIN_BITS, PART_BITS = 24, 30
+#: Words remembered by a worker, and characters of the longest of them, so that unspaced texts take no room.
+REMEMBERED, LONGEST = 300_000, 64
 #: White space in a row may be split across words, and a special token's text is one id: those texts go to the library whole.
 _WHOLE = re.compile(r"\s\s|<\|endoftext\|>")
 # Fixed value: the byte-level BPE's split of texts into words.
@@ -81,8 +85,10 @@ class WordIds:
         words, older = self.words, self.older
         split = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
         spaced = {w for s in split if s for w in s[1:]}
-        new = []
-        for w in spaced:
+        new, rare = [], {w: b"" for w in spaced if len(w) > LONGEST}
+        for w in rare:
+            rare[w] = array("I", self.one(" " + w)).tobytes()
+        for w in spaced - rare.keys():
             if w not in words:
                 if (known := older.get(w)) is None:
                     new.append(w)
@@ -92,7 +98,7 @@ class WordIds:
             words[w] = array("I", self.one(" " + w)).tobytes()
         first = iter(self._encode([s[0] for s in split if s is not None]))
         whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else next(first) + b"".join([words[w] for w in s[1:]]) for s in split]
+        return [next(whole) if s is None else next(first) + b"".join([words[w] if len(w) <= LONGEST else rare[w] for w in s[1:]]) for s in split]
 
 
 def _pieces(path: str, capacity: int):
@@ -123,10 +129,17 @@ def _pieces(path: str, capacity: int):
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Fewest bins of items of these lengths, as `lower_bound_of` has it."""
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return lower_bound_of(np.arange(capacity + 1), count, capacity)
+
+
+def lower_bound_of(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> int:
     """Fewest bins by dual feasible functions: the volume, and for each e <= capacity / 2 items over capacity - e counted whole, items under e not at all."""
-    if not len(lengths):
+    if not counts.sum():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, lengths, counts)
     number, volume = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     e = np.arange(capacity // 2 + 1)
     whole = number[-1] - number[capacity - e]
@@ -178,7 +191,9 @@ def _pack(capacity: int, base: int, last: bool):
             bins, offsets, fill = best_fit(lengths, capacity)
             sure = last or len(fill) == lower_bound(lengths, capacity)
             keep = sure | (fill == capacity)
-            ids = base + part * (2 * PARTITION + 64) + bins
+            if len(fill) >> BIN_BITS or part >> PART_BITS:
+                raise OverflowError("a part has too many sequences")
+            ids = base + (part << BIN_BITS) + bins
             cols = [t.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             out = pa.Table.from_arrays([*cols, pa.array(ids), pa.array(offsets), pa.array(keep[bins])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "settled"])
             yield from out.to_batches(max_chunksize=10_000)
@@ -205,32 +220,37 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset. pieces must be materialised: it is read several times."""
+    pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 61) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    rest, settled = pieces.where(F.col("length") < capacity), []
-    n = before = rest.count()
-    for k in range(ROUNDS):
-        if not n:
-            break
+    rest, out, k = pieces.where(F.col("length") < capacity), full, 0
+    n = rest.count()
+    before = n + 1
+    while n:
         parts = max(1, -(-n // PARTITION))
-        last = k == ROUNDS - 1 or parts == 1 or (k > 0 and n > 0.95 * before)
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k)), F.lit(parts)))
-        done = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "piece").mapInArrow(_pack(capacity, (k << 57), last), f"{_PIECE}, sequence_id long, offset long, settled boolean").checkpoint()
-        settled.append(done.where("settled").drop("settled"))
+        last = parts == 1 or n == before or k == 30
+        dealt = rest.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.pmod(F.xxhash64("place", F.lit(k)), F.lit(parts))).drop("place")
+        packed = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("length"), "doc_id", "piece").mapInArrow(_pack(capacity, k << (BIN_BITS + PART_BITS), last), f"{_PIECE}, sequence_id long, offset long, settled boolean")
+        done = saved(packed)
+        out = out.unionByName(done.where("settled").drop("settled"))
         if last:
             break
         rest = done.where("not settled").drop("sequence_id", "offset", "settled")
-        before, n = n, rest.count()
-    out = full
-    for x in settled:
-        out = out.unionByName(x)
+        before, n, k = n, rest.count(), k + 1
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, lower bound of all pieces together) of packed rows. Only counts by length reach the driver, capacity + 1 at most."""
+    sequences = packed.where("offset = 0").count()
+    counts = packed.groupBy("length").count().collect()
+    return sequences, lower_bound_of(np.array([r.length for r in counts], np.int64), np.array([r["count"] for r in counts], np.int64), capacity)
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each document: where it comes from and its place in a sequence."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pack(src.mapInArrow(_pieces(path or tokenizer_path(), capacity), _PIECE).checkpoint(), capacity)
+    return pack(saved(src.mapInArrow(_pieces(path or tokenizer_path(), capacity), _PIECE)), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

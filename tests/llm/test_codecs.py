@@ -84,6 +84,19 @@ def test_exchange_rounds(spark, monkeypatch):
     assert len(fill) <= 1.06 * bestfit_pack.lower_bound(np.array([x[3] for x in rows]))
 
 
+def test_repeated_pieces(spark):
+    """More equal rows than two partitions hold, and others: no sequence is overfull, and few are more than the bound."""
+    same = spark.range(90_000).selectExpr("cast(7 as bigint) as doc_id", "0 as piece", "cast(0 as bigint) as start", "cast(700 as bigint) as length", "cast(1 as bigint) as ids_crc32")
+    other = spark.range(30_000).selectExpr("id + 10 as doc_id", "0 as piece", "cast(0 as bigint) as start", "cast(1500 + id % 7 as bigint) as length", "id as ids_crc32")
+    out = bestfit_pack.pack(same.unionByName(other).repartition(6).checkpoint()).cache()
+    fill = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("starts"), F.count("*").alias("c"))
+    assert out.count() == 120_000
+    assert fill.where("n > 2048 or n <> end or starts <> c").count() == 0
+    sequences, bound = bestfit_pack.certificate(out)
+    assert sequences == fill.count() and bound <= sequences <= 1.001 * bound
+    out.unpersist()
+
+
 def test_lower_bound_is_one():
     import itertools
 
