@@ -114,8 +114,78 @@ def test_pipeline(spark, tmp_path):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def labelled_page(r):
+    """A page without any telling names, and its content blocks: divs of prose long and short, then divs of links with a few longer notes."""
+    say = lambda n: " ".join(r.choice(["stone", "river", "ever", "light", "walked", "under", "the", "and"]) for _ in range(n))
+    body, side = [], []
+    for _ in range(r.randint(6, 12)):
+        body.append(say(r.choice([1, 2, 25, 30, 40])) + ".")
+    body[0], body[-1] = say(30) + ".", say(30) + "."
+    for k in range(r.randint(6, 12)):
+        side.append((say(20), "") if k and r.random() < 0.2 else (say(2), " href=/"))
+    side.append((say(2), " href=/"))
+    rows = lambda: "".join(f"<div class=c7>{f'<a{a}>{t}</a>' if a else t}</div>" for t, a in side)
+    return f"<body><div class=x1>{rows()}</div><div class=x2>{''.join(f'<div class=c3>{t}</div>' for t in body)}</div><div class=x9><div>{rows()}</div></div></body>", body
+
+
+def test_cut_beats_threshold(monkeypatch):
+    r, flows = random.Random(8), []
+    side = html_mincut._source_side
+    monkeypatch.setattr(html_mincut, "_source_side", lambda free, *a: flows.append(len(free)) or side(free, *a))
+    wrong = [0, 0]
+    for _ in range(60):
+        page, want = labelled_page(r)
+        found, tree = html_mincut.parse(page)
+        plain = [b.text for b, c in zip(found, html_mincut.costs(found, tree, html_mincut.PRIOR), strict=True) if c > 0]
+        for k, got in enumerate((html_mincut.main_text(page).split("\n"), plain)):
+            wrong[k] += got != want
+    assert wrong[0] <= 3 and wrong[1] >= 50
+    assert len(flows) > 5
+
+
+def test_large_cut_is_that_of_brute_force_parts():
+    """Chains of many free blocks: no single change and no change of a run betters the cut."""
+    r = random.Random(5)
+    gain = [r.uniform(-1, 1) for _ in range(3000)]
+    edges = [(i, i + 1, r.uniform(0.3, 1.5)) for i in range(2999)]
+    label = html_mincut.min_cut(gain, edges)
+    cost = lambda l: sum(abs(g) for g, x in zip(gain, l, strict=True) if (g > 0) != x) + sum(w for i, j, w in edges if l[i] != l[j])  # noqa: E731, E741
+    best = [0.0, 0.0]  # by dynamic programming over the chain
+    for i, g in enumerate(gain):
+        here = [max(g, 0.0), max(-g, 0.0)]
+        w = edges[i - 1][2] if i else 0.0
+        best = [min(best[0], best[1] + w) + here[0], min(best[1], best[0] + w) + here[1]]
+    assert abs(cost(label) - min(best)) < 1e-6
+
+
+def test_names_of_the_page_say_nothing():
+    page = '<body class="page has-sidebar nav-open"><div class="wrap"><h1>Head</h1><p>Some long paragraph of text that is the article itself.</p><div class="sidebar"><p>Not this one, which stands aside.</p></div></div></body>'
+    assert html_mincut.main_text(page) == "Head\nSome long paragraph of text that is the article itself."
+
+
+def test_deep_pages_take_time_by_length():
+    import time
+
+    began = time.time()
+    assert html_mincut.main_text("<div>" * 100_000 + "<p>text that is here, at the very end of it all.</p>") == "text that is here, at the very end of it all."
+    assert len(html_mincut.blocks("<div>a" * 50_000 + "</section>" * 50_000 + "</div>b" * 50_000)) == 100_000
+    assert time.time() - began < 60
+
+
+def test_weights_are_fitted(spark):
+    page = "<body><div class=zone>" + "x " * 30 + "</div><article><h1>T</h1>" + "<p>word word word.</p>" * 4 + "</article></body>"
+    df = spark.createDataFrame([(i, page) for i in range(80)] + [(99, None)], "text long, html string")
+    w = html_mincut.fit(df)
+    assert w["word:zone"] < -0.5
+    assert w["tag:p"] > html_mincut.PRIOR["tag:p"]
+    assert html_mincut.fit(df.limit(0)) == html_mincut.PRIOR
+    out = html_mincut.extract(df)
+    assert out.columns == ["html", "text"] and out.where("text like 'T%'").count() == 80
+    assert html_mincut.extract(df.limit(0)).count() == 0
+
+
 def texts(page):
-    return [b[0] for b in html_mincut.blocks(page)]
+    return html_mincut.blocks(page)
 
 
 def test_dropped_elements_end():
