@@ -1,15 +1,18 @@
 """Exact top-k inner products on an impact-ordered, score-at-a-time index.
 
-Vectors are scaled to integers. A block of vectors is indexed by impact level, the bit length of a component's size;
-a level's posting segments hold the components of that level, and the block keeps each vector's norm over all lower
-levels. For a block of queries the segments are processed from the highest level down. After each, partial score plus
-or minus the product of norms bounds every score (Cauchy-Schwarz); a query stops only when no vector outside its
-possible members can be among its k best, and the possible members are scored again exactly. The queries are a
-stated set and meet all vectors block by block.
-
-Defined results: null vectors and vectors with a null or non-finite component take no part, as query or candidate;
-shorter vectors count as filled up with zeros; a query meets no row of its own id; repeated equal rows count once as
-queries and once as candidates; empty vectors score 0; an empty table gives an empty result.
+Vectors are scaled to integers. A block of vectors is indexed by posting segments: the components of one dimension, of
+one sign and quantised size (impact), each a list of vectors and values. A query gives every segment a weight, its own component's size times
+the largest value in the segment, and processes segments by falling weight. What the segments not yet processed could still add to
+any vector is at most the sum, over the dimensions, of the weight of the heaviest one left (one sign at a time, as a component has one sign). At each of
+several stops the k vectors ahead are scored exactly; a query ends as soon as few vectors could reach the last of these scores, proven by
+that bound, and those are scored exactly. The queries are a stated set and meet all vectors block by block; each vector block
+is read once for all queries as long as these take up to SENT bytes.
+
+Defined results: null vectors and vectors with a null or non-finite component, or one of 2 ** 20 or more in size, whose scores need not
+fit a long, take no part, as query or candidate;
+shorter vectors count as filled up with zeros; a query meets no row of its own id; every other row is a candidate, repeated ones too;
+repeated equal rows are one query; rows of one id with different vectors are queries whose results are ranked together; empty vectors
+score 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,114 +22,187 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import prepare, table
+from tarnwick.llm.common import prepare, saved, spread, table
 
 K, SCALE, EVERY = 5, 256, 50
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES = 16_384, 1024
 #: Bytes of query blocks up to which they are sent to every task; beyond it blocks are paired in tasks of their own.
 SENT = 32 << 20
-#: Lowest bit lengths of the posting levels, from the highest impact down.
-LEVELS = (7, 6, 5, 4, 0)
+#: Width of an impact level.
+STEP = 8
+#: Shares of the postings after which a query looks whether it can end: when scoring the possible members exactly takes half the products left.
+STOPS = (0.2, 0.3, 0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 1.0)
+#: Largest component, before scaling, of a vector that takes part.
+LARGEST = 1 << 20
 
 
 def _blocks(size: int):
     """Blocks of up to size integer vectors: ids, width, components."""
 
+    def rows(parts):
+        ids = np.concatenate([np.asarray(p.column("vec_id")) for p in parts])
+        n = np.concatenate([np.asarray(p.column("e").value_lengths()) for p in parts]).astype(np.int64)
+        width = int(n.max(initial=0))
+        x = np.zeros((len(n), width), np.int64)
+        x[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.concatenate([np.asarray(p.column("e").flatten()) for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()]), pa.array([width]), pa.array([x.astype("<i8").tobytes()])], names=["ids", "width", "data"])
+
     def run(batches):
+        held, have = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                e = part.column("e")
-                n = np.asarray(e.value_lengths()).astype(np.int64)
-                width = int(n.max(initial=0))
-                x = np.zeros((len(n), width), np.int64)
-                x[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.asarray(e.flatten())
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column("vec_id")).tobytes()]), pa.array([width]), pa.array([x.astype("<i8").tobytes()])], names=["ids", "width", "data"])
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - have)
+                held.append(part)
+                have += part.num_rows
+                at += part.num_rows
+                if have == size:
+                    yield rows(held)
+                    held, have = [], 0
+        if have:
+            yield rows(held)
 
     return run
 
 
 class ImpactIndex:
-    """One block: dense posting segments by level, and norms of what the levels below hold."""
+    """Posting segments of one block, by dimension, sign and impact level."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        size = np.abs(x)
-        bits = np.zeros(x.shape, np.int64)
-        for b in range(1, int(size.max(initial=0)).bit_length() + 1):
-            bits += size >= 1 << (b - 1)
-        self.segments, above = [], np.zeros(x.shape, bool)
-        for low in LEVELS:
-            here = (bits >= low) & ~above
-            above |= here
-            if here.any():
-                rest = np.where(above, 0, x).astype(np.float64)
-                self.segments.append((np.where(here, x, 0).astype(np.float64), np.sqrt((rest**2).sum(1)) * (1 + 1e-9)))
-
-    def top(self, qids: np.ndarray, q: np.ndarray, k: int):
-        """(query row, vec id, score) of each query's k best in this block, ties to the smaller id."""
-        width = max(self.x.shape[1], q.shape[1])
-        wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-        x, q = wide(self.x), wide(q)
-        norm = np.sqrt((q.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
-        score = np.zeros((len(q), len(x)))
-        same = qids[:, None] == self.ids[None, :]
-        open_, members = np.arange(len(q)), [None] * len(q)
-        enough = max(4 * k, len(x) // 64)
-        for step, (segment, below) in enumerate(self.segments):
-            score[open_] += q[open_].astype(np.float64) @ wide(segment).T
-            slack = norm[open_, None] * below[None, :] + 1e-6
-            worst = np.where(same[open_], -np.inf, score[open_] - slack)
-            bar = np.partition(worst, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(open_), -np.inf)
-            possible = (score[open_] + slack >= bar[:, None]) & ~same[open_]
-            done = (possible.sum(1) <= enough) | (step == len(self.segments) - 1)
-            for i in np.flatnonzero(done).tolist():
-                members[open_[i]] = np.flatnonzero(possible[i])
-            open_ = open_[~done]
-            if not len(open_):
-                break
-        out = []
-        for i, m in enumerate(members):
-            if m is None:
-                m = np.flatnonzero(~same[i])  # no segments: all components are zero
-            exact = x[m] @ q[i]
-            if len(m) > 4 * k:  # all ties of the k-th score stay
-                bar = np.partition(exact, len(m) - k)[len(m) - k]
-                m, exact = m[exact >= bar], exact[exact >= bar]
-            best = np.lexsort((self.ids[m], -exact))[:k]
-            out.append((np.full(len(best), i), self.ids[m[best]], exact[best]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _search(k: int):
+        row, dim = np.nonzero(x)
+        value = x[row, dim]
+        order = np.lexsort((np.abs(value) // STEP, value < 0, dim))
+        row, dim, value = row[order], dim[order], value[order]
+        key = np.stack([dim, (value < 0).astype(np.int64), np.abs(value) // STEP])
+        new = np.ones(len(row), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        self.at = np.append(np.flatnonzero(new), len(row))
+        self.rows, self.values = row.astype(np.int32), value.astype(np.float64)
+        self.dim, self.down = key[0, new], key[1, new]
+        self.size = np.maximum.reduceat(np.abs(value), self.at[:-1]) if len(row) else np.zeros(0, np.int64)
+        self.products = self.early = 0
+
+    def _plan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments by falling weight, and what those from each place on can add to, or take from, a score at most."""
+        weight = np.abs(q[self.dim]) * self.size.astype(np.float64)
+        order = np.argsort(-weight, kind="stable")
+        order = order[weight[order] > 0]
+        w = weight[order]
+        if not len(order):
+            return order, np.full(1, 1e-6)
+        # heaviest segment left of each dimension and sign: the next one in the order
+        lists = self.dim[order] * 2 + self.down[order]
+        up = (q[self.dim[order]] > 0) == (self.down[order] == 0)  # adds to the score
+        after = np.zeros(len(order))
+        by = np.lexsort((np.arange(len(order)), lists))
+        nxt = np.append(by[1:], -1)
+        same = np.append(lists[by][1:] == lists[by][:-1], False)
+        after[by] = np.where(same, w[nxt], 0.0)
+        first = np.ones(len(order), bool)
+        first[by[1:]] = lists[by][1:] != lists[by][:-1]
+        rest = []
+        for side in (up, ~up):
+            start = (w * (first & side)).sum()
+            rest.append(np.append(start, start - np.cumsum(np.where(side, w - after, 0.0))))
+        return order, np.maximum(*rest) * (1 + 1e-9) + 1e-6
+
+    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vec ids, scores) of the query's k best rows in this block, ties to the smaller id."""
+        n, width = self.x.shape
+        q = np.concatenate([q, np.zeros(max(0, width - len(q)), np.int64)])[:width]
+        allowed = self.ids != query_id
+        few = max(4 * k, n // 64)
+        members = np.flatnonzero(allowed)
+        if len(members) > few:
+            order, rest = self._plan(q)
+            score = np.where(allowed, 0.0, -np.inf)
+            done, ends = 0, np.cumsum((self.at[1:] - self.at[:-1])[order])
+            for share in STOPS:
+                to = int(np.searchsorted(ends, share * ends[-1])) + 1 if len(ends) else 0
+                to = min(to, len(order))
+                if to > done:
+                    some = order[done:to]
+                    pick = spread((self.at[1:] - self.at[:-1])[some]) + np.repeat(self.at[some], (self.at[1:] - self.at[:-1])[some])
+                    score += np.bincount(self.rows[pick], weights=self.values[pick] * np.repeat(q[self.dim[some]], (self.at[1:] - self.at[:-1])[some]), minlength=n)
+                    self.products += len(pick)
+                    done = to
+                ahead = np.argpartition(-score, k - 1)[:k]
+                bar = (self.x[ahead[allowed[ahead]]] @ q).min()
+                self.products += k * width
+                if done < len(order) and score.max() + rest[done] < bar:
+                    raise AssertionError("a bound was broken")
+                members = np.flatnonzero(score + rest[done] >= bar)
+                left = int(ends[-1] - ends[done - 1]) if done else 0
+                if len(members) <= few or 2 * len(members) * width <= left or done == len(order):
+                    self.early += done < len(order)
+                    break
+        exact = self.x[members] @ q
+        self.products += len(members) * width
+        if len(members) > 4 * k:  # all ties of the k-th score stay
+            bar = np.partition(exact, len(members) - k)[len(members) - k]
+            members, exact = members[exact >= bar], exact[exact >= bar]
+        best = np.lexsort((self.ids[members], -exact))[:k]
+        return self.ids[members[best]], exact[best]
+
+
+def _matrix(ids: bytes, width: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, "<i8")
+    return i, np.frombuffer(data, "<i8").reshape(len(i), width) if width else np.zeros((len(i), 0), np.int64)
+
+
+def _found(index: ImpactIndex, qi: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    out = [(i, *index.top(i, row, k)) for i, row in zip(qi.tolist(), q, strict=True)]
+    cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in ([np.full(len(v), i) for i, v, _ in out], [v for _, v, _ in out], [s for _, _, s in out])]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
+
+
+def _search_sent(sent, k: int):
+    """Blocks against the queries that every task holds."""
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "width", "data")), strict=True):
+                index = ImpactIndex(*_matrix(*row))
+                for asked in sent.value:
+                    yield _found(index, *_matrix(*asked), k)
+
+    return run
+
+
+def _search_paired(k: int):
+    """Blocks each beside a block of queries."""
+
     def run(batches):
+        last = None
         for batch in batches:
-            last = None
-            for ids, width, data, qids, qwidth, qdata in zip(*(batch.column(c).to_pylist() for c in ("ids", "width", "data", "qids", "qwidth", "qdata")), strict=True):
-                if last is None or last[0] != (ids, data):
-                    last = (ids, data), ImpactIndex(np.frombuffer(ids, np.int64), np.frombuffer(data, "<i8").reshape(-1, width) if width else np.zeros((len(ids) // 8, 0), np.int64))
-                qi = np.frombuffer(qids, np.int64)
-                row, vec, score = last[1].top(qi, np.frombuffer(qdata, "<i8").reshape(-1, qwidth) if qwidth else np.zeros((len(qi), 0), np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(vec.astype(np.int64)), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "width", "data", "qids", "qwidth", "qdata")), strict=True):
+                if last is None or last[0] != row[:3]:
+                    last = row[:3], ImpactIndex(*_matrix(*row[:3]))
+                yield _found(last[1], *_matrix(*row[3:]), k)
 
     return run
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, e): components floor(scale * x) of the vectors that take part."""
-    fit = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    fit = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < " + str(LARGEST) + ")"
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(fit).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("e"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of integer vectors (vec_id, e), repeated rows once."""
-    prepare(vectors.sparkSession)
+    """(query_id, rank, vec_id, score) of integer vectors (vec_id, e)."""
+    spark = prepare(vectors.sparkSession)
     schema = "ids binary, width long, data binary"
-    blocks = vectors.dropDuplicates(["vec_id", "e"]).mapInArrow(_blocks(BLOCK), schema)
-    asked = queries.dropDuplicates(["vec_id", "e"]).mapInArrow(_blocks(QUERIES), schema).toDF("qids", "qwidth", "qdata").checkpoint()
-    size = asked.agg(F.sum(F.length("qdata") + F.length("qids"))).first()[0] or 0
-    pairs = blocks.crossJoin(F.broadcast(asked) if size <= SENT else asked)
-    found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    blocks = vectors.select("vec_id", "e").mapInArrow(_blocks(BLOCK), schema)
+    asked = queries.select("vec_id", "e").dropDuplicates(["vec_id", "e"])
+    asked = saved(asked.repartition(max(1, -(-asked.count() // QUERIES))).mapInArrow(_blocks(QUERIES), schema))
+    size = asked.agg(F.sum(F.length("data") + F.length("ids"))).first()[0] or 0
+    if size <= SENT:
+        sent = spark.sparkContext.broadcast([(bytes(r.ids), r.width, bytes(r.data)) for r in asked.collect()])
+        found = blocks.mapInArrow(_search_sent(sent, k), "query_id long, vec_id long, score long")
+    else:
+        found = blocks.crossJoin(asked.toDF("qids", "qwidth", "qdata")).mapInArrow(_search_paired(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -139,7 +215,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM (SELECT DISTINCT * FROM v) q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -202,10 +202,39 @@ def test_long_attribute_values():
 
 
 def test_top_k_of_repeated_rows(spark):
-    rows = [(1, [1, 0])] + [(9, [90, 0])] * 12 + [(i, [i, 0]) for i in range(2, 8)] + [(8, [80, 0]), (8, [80, 1])]
+    """Every row but the query's own is a candidate, repeated ones too; repeated equal rows are one query."""
+    rows = [(1, [1, 0])] * 2 + [(9, [90, 0])] * 3 + [(i, [i, 0]) for i in range(2, 8)] + [(8, [80, 0]), (8, [80, 1])]
     v = spark.createDataFrame(rows, "vec_id long, e array<long>").coalesce(1)
     got = sorted((r.rank, r.vec_id, r.score) for r in impact_topk.top_k(v, v.where("vec_id = 1")).collect())
-    assert got == [(1, 9, 90), (2, 8, 80), (3, 8, 80), (4, 7, 7), (5, 6, 6)]
+    assert got == [(1, 9, 90), (2, 9, 90), (3, 9, 90), (4, 8, 80), (5, 8, 80)]
+
+
+def test_impact_order_ends_early():
+    """Exact results, from fewer products than brute force, and most queries end before the last segment."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 64))
+    x = centres[r.integers(0, 40, 4000)] + 0.5 * r.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    x[5], x[6] = 0, x[7]
+    ids = r.permutation(4000).astype(np.int64)
+    index = impact_topk.ImpactIndex(ids, x)
+    for i in range(0, 400, 4):
+        got = list(zip(*(a.tolist() for a in index.top(int(ids[i]), x[i], 5)), strict=True))
+        exact = x @ x[i]
+        order = [j for j in np.lexsort((ids, -exact)) if ids[j] != ids[i]][:5]
+        assert got == [(int(ids[j]), int(exact[j])) for j in order]
+    assert index.early >= 80
+    assert index.products < 0.9 * 100 * x.size
+
+
+def test_query_blocks_beyond_the_bound(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, [int(a) for a in r.integers(-99, 99, 8)]) for i in range(200)], "vec_id long, e array<long>").repartition(3)
+    want = sorted(impact_topk.top_k(v, v.where("vec_id % 7 = 0")).collect())
+    monkeypatch.setattr(impact_topk, "SENT", 0)
+    monkeypatch.setattr(impact_topk, "BLOCK", 30)
+    monkeypatch.setattr(impact_topk, "QUERIES", 5)
+    assert sorted(impact_topk.top_k(v, v.where("vec_id % 7 = 0")).collect()) == want
 
 
 def test_all_words_count_in_the_ratio():
