@@ -1,16 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models, one of toxic and one of ordinary documents, give every word a log likelihood: interpolated
-Kneser-Ney of order ORDER over the word's lower-case letters and its borders. The lowest orders are one model of both
-classes, so an expression that is rare in both backs off to the same values and says little, while a rare form of a
-toxic stem is still told by its letters. A document's log-likelihood ratio is the sum over all its words, divided by its length;
-it and three features of the words that stand out of chance go to a logistic curve, which, fitted on labelled documents the models haven't seen, turns them into a score.
+Two character models, one of toxic and one of ordinary documents, give every word a log-likelihood: interpolated
+Kneser-Ney of order ORDER over the word's lower-case letters and its borders, from true counts of the highest order and continuation
+counts below. The lowest orders are one model of both classes, so an expression that is rare in both backs off to the same values and
+says little, while a rare form of a toxic stem is still told by its letters.
+
+The toxic and the ordinary log-likelihood are compared, length-normalised: their difference divided by the number of characters, over
+the whole text and over its passages of WINDOWS words, of which the one with the greatest difference counts. A toxic
+remark in a long text is lost in the whole, but not in its passage; as the greatest of many passages is higher by chance, the logarithm of
+the number of words goes beside them. A logistic curve, fitted on labelled documents the models haven't seen, turns these comparisons into
+a score.
 
 Only labels of documents whose crc32 modulo 4 is not 2 are learned from, at most about SAMPLE of each class, chosen by
-a hash of the id: six tenths make the models, the rest the curve. Labels, language, source and id are no features.
+a hash of the id: six tenths make the models, the rest the curve. Labels, language, source and id are no features. All n-grams of
+all words of the documents learned from are counted, without a limit on the vocabulary.
 
-Defined results: null and empty texts have a ratio of 0 and get its score; null labels are not learned from; without
-both classes every score is 0; repeated rows give equal rows; an empty table gives an empty result.
+Defined results: null and empty texts have differences of 0 and get their score; null labels and labels of null ids are not learned
+from, and a row with a null id isn't held out; without both classes every score is 0; repeated rows give equal rows; an empty table gives
+an empty result; further columns are carried through `score`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,110 +31,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import table
+from tarnwick.llm.common import table, unused
 from tarnwick.llm.quality_bt import crc_of, sampled
 
 #: Labelled documents learned from, for each class, about.
 SAMPLE = 3000
-ORDER, SHARED = 6, 2
+ORDER, SHARED = 5, 2
 DISCOUNT = 0.75
 THRESHOLD = 0.3
-#: Damped counts are summed as whole multiples of 1 / UNIT, so the sums don't depend on the order.
-UNIT = 1 << 32
-#: Ratios of single words up to this are what chance makes of ordinary words.
-NOISE = 4.0
-REMEMBERED = 300_000
+WINDOWS = (1, 3, 10)
+#: Words remembered by a worker, and characters of the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class KneserNey:
-    """Log-likelihood ratio of words between two classes. words: one Counter of word counts for each class, ordinary first; or grams: their damped counts."""
+    """Log-likelihood ratio of words between two classes. words: one Counter of word counts for each class, ordinary first; or grams: their n-gram counts."""
 
-    def __init__(self, words: tuple[Counter, Counter] | None = None, order: int = ORDER, shared: int = SHARED, grams: list[dict[str, float]] | None = None):
+    def __init__(self, words: tuple[Counter, Counter] | None = None, order: int = ORDER, shared: int = SHARED, grams: list[dict[str, int]] | None = None):
         self.order = order
         self.words: dict[str, float] = {}
         self.older: dict[str, float] = {}
         self.grams: dict[str, float] = {}
-        self.probs: list[list] = []
         grams = grams or [self._counts(w, order) for w in words]
-        lower = self._shared(grams, shared)
+        both: dict[str, int] = defaultdict(int)
         for g in grams:
-            self.probs.append(self._class(g, lower, order, shared))
+            for k, c in g.items():
+                both[k] += c
+        lower = self._levels(both, order)[:shared]
+        #: Characters that were seen to follow, and one for all others.
+        self.alphabet = len(lower[0]) + 1
+        low = [self._level(x) for x in lower]
+        self.probs = [[*low, *(self._level(x) for x in self._levels(g, order)[shared:])] for g in grams]
 
     @staticmethod
-    def _counts(words: Counter, order: int) -> dict[str, float]:
-        """Damped counts of n-grams of the highest order; a word's start is filled up with \\x02."""
-        out: dict[str, float] = defaultdict(float)
+    def _counts(words: Counter, order: int) -> dict[str, int]:
+        """Counts of n-grams of the highest order; a word's start is filled up with \\x02."""
+        out: dict[str, int] = defaultdict(int)
         for w, c in words.items():
-            c = math.log2(1 + c)
             for g in grams_of(w, order):
                 out[g] += c
         return out
 
     @staticmethod
-    def _next_lower(grams: dict[str, float]) -> dict[str, float]:
-        """Continuation counts: of how many different characters each suffix is preceded."""
-        out: dict[str, float] = defaultdict(float)
-        for g in grams:
-            out[g[1:]] += 1
-        return out
-
-    def _levels(self, grams: dict[str, float], order: int, low: int) -> list[dict[str, float]]:
+    def _levels(grams: dict[str, int], order: int) -> list[dict[str, int]]:
+        """Counts by order, from 1: those given for the highest, below it in how many n-grams one longer each is the end."""
         levels = [grams]
-        while order > low:
-            levels.append(self._next_lower(levels[-1]))
-            order -= 1
+        for _ in range(order - 1):
+            lower: dict[str, int] = defaultdict(int)
+            for g in levels[-1]:
+                lower[g[1:]] += 1
+            levels.append(lower)
         return levels[::-1]
 
-    def _shared(self, grams, shared):
-        """Lower-order probabilities from both classes' continuation counts."""
-        both = defaultdict(float)
-        for g in grams:
-            for k, v in g.items():
-                both[k] += v
-        levels = self._levels(both, self.order, 1)
-        total = sum(levels[0].values())
-        size = len(levels[0]) + 64
-        uni = {k: (max(v - DISCOUNT, 0) + DISCOUNT * len(levels[0]) / size) / total for k, v in levels[0].items()}
-        prob = [(uni, DISCOUNT * len(levels[0]) / size / total)]
-        for n in range(1, shared):
-            prob.append(self._level(levels[n]))
-        return prob
-
     @staticmethod
-    def _level(grams: dict[str, float]):
+    def _level(grams: dict[str, int]) -> tuple[dict[str, float], dict[str, float]]:
         """(discounted shares by n-gram, back-off weights by context)."""
-        total, kinds = defaultdict(float), defaultdict(float)
-        for g, v in grams.items():
-            total[g[:-1]] += v
-            kinds[g[:-1]] += min(DISCOUNT, v)
-        return {g: max(v - DISCOUNT, 0) / total[g[:-1]] for g, v in grams.items()}, {c: kinds[c] / t for c, t in total.items()}
-
-    def _class(self, grams, lower, order, shared):
-        return [*lower, *(self._level(g) for g in self._levels(grams, order, 1)[shared:])]
-
-    def gram_log_prob(self, gram: str, cls: int) -> float:
-        """Log probability of the last character of an n-gram of the highest order."""
-        levels, last = self.probs[cls], len(gram) - 1
-        p = levels[0][0].get(gram[-1], levels[0][1])
-        for n in range(1, self.order):
-            share, back = levels[n]
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, c in grams.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        return {g: (c - DISCOUNT) / total[g[:-1]] for g, c in grams.items()}, {c: DISCOUNT * kinds[c] / t for c, t in total.items()}
+
+    def gram_prob(self, gram: str, cls: int) -> float:
+        """Probability of the last character of an n-gram of the highest order after the others."""
+        p, last = 1 / self.alphabet, len(gram) - 1
+        for n, (share, back) in enumerate(self.probs[cls]):
             weight = back.get(gram[last - n : last])
             if weight is None:
                 break
             p = share.get(gram[last - n :], 0.0) + weight * p
-        return math.log(p)
+        return p
 
     def ratio(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary); n-grams are remembered, a bounded number of them."""
-        s, n, out = "\x02" * (self.order - 1) + word + "\x03", self.order, 0.0
-        for i in range(len(word) + 1):
-            g = s[i : i + n]
-            r = self.grams.get(g)
+        """log P(word | toxic) - log P(word | ordinary)."""
+        out, grams = 0.0, self.grams
+        for g in grams_of(word, self.order):
+            r = grams.get(g)
             if r is None:
-                if len(self.grams) > REMEMBERED:
-                    self.grams.clear()
-                r = self.grams[g] = self.gram_log_prob(g, 1) - self.gram_log_prob(g, 0)
+                if len(grams) > REMEMBERED:
+                    grams.clear()
+                r = grams[g] = math.log(self.gram_prob(g, 1) / self.gram_prob(g, 0))
             out += r
         return out
 
@@ -137,17 +121,25 @@ class KneserNey:
             if len(self.words) > REMEMBERED:  # two generations: frequent words stay
                 self.older, self.words = self.words, {}
             r = self.older.get(word)
-            r = self.words[word] = self.ratio(word) if r is None else r
+            r = self.ratio(word) if r is None else r
+            if len(word) <= LONGEST:
+                self.words[word] = r
         return r
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Length-normalised ratio of all words, of what stands out of the words' noise, and the mean of the three and one highest words."""
-        v = [self.word_ratio(w) for w in words_of(text)]
-        if not v:
-            return 0.0, 0.0, 0.0, 0.0
-        high = sorted((r for r in v if r > NOISE), reverse=True)
-        top = high[:3] + [0.0] * (3 - len(high[:3]))
-        return sum(v) / len(v), math.sqrt(sum(r - NOISE for r in high) / len(v)), sum(top) / 3, top[0]
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Length-normalised differences of the log-likelihoods: of the text, and of its greatest passage of each of WINDOWS words; and the logarithm of the number of words."""
+        words = words_of(text)
+        if not words:
+            return (0.0,) * (len(WINDOWS) + 2)
+        n, known, ratio = len(words), self.words.get, self.word_ratio
+        total, length = np.zeros(n + 1), np.zeros(n + 1)
+        np.cumsum([ratio(w) if (r := known(w)) is None else r for w in words], out=total[1:])
+        np.cumsum([len(w) + 1 for w in words], out=length[1:])
+        best = []
+        for k in WINDOWS:
+            k = min(k, n)
+            best.append(float(((total[k:] - total[:-k]) / (length[k:] - length[:-k])).max()))
+        return (float(total[-1] / length[-1]), *best, math.log1p(n))
 
 
 def grams_of(word: str, order: int = ORDER) -> list[str]:
@@ -173,7 +165,6 @@ def _grams(batches):
     for batch in batches:
         by: tuple[dict[str, int], dict[str, int]] = (defaultdict(int), defaultdict(int))
         for y, word, c in zip(*(batch.column(k).to_pylist() for k in ("y", "word", "c")), strict=True):
-            c = round(math.log2(1 + c) * UNIT)
             for g in grams_of(word):
                 by[y][g] += c
         for y in (0, 1):
@@ -207,16 +198,16 @@ def _curve(f: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict:
-    """Models and curve. Counts of the n-grams of all words of the sampled documents, and the documents' features, reach the driver."""
+    """Models and curve. Counts of the n-grams of all words of the sampled documents, and these documents' features, reach the driver: they are bounded as the sample is."""
     some, counts = sampled(labels, "toxic", per_class)
     if not counts.get(0) or not counts.get(1):
         return {"kn": None, "w": None}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)))
     words = rows.where("part < 6").select("text", "y").mapInArrow(_count, "y int, word string, c long").groupBy("y", "word").agg(F.sum("c").alias("c"))
     found = words.mapInArrow(_grams, "y int, gram string, c long").groupBy("y", "gram").agg(F.sum("c").alias("c")).toArrow()
-    by: tuple[dict[str, float], dict[str, float]] = ({}, {})
+    by: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for y, g, c in sorted(zip(*(found.column(k).to_pylist() for k in ("y", "gram", "c")), strict=True)):
-        by[y][g] = c / UNIT
+        by[y][g] = c
     if not by[0] or not by[1]:
         return {"kn": None, "w": None}
     kn = KneserNey(grams=[*by])
@@ -224,14 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict:
     got = rows.where("part >= 6").select("doc_id", "text", "y").mapInArrow(_features(model), "doc_id long, y int, f array<double>").orderBy("doc_id").collect()
     # the curve sees the classes as often as the labels have them
     y = np.array([r.y for r in got], float)
-    w = _curve(np.array([r.f for r in got]).reshape(-1, 4), y)
+    w = _curve(np.array([r.f for r in got]).reshape(-1, len(WINDOWS) + 2), y)
     share = counts[1] / (counts[0] + counts[1])
     seen = y.mean() if len(y) else share
     w[-1] += math.log(share / (1 - share)) - math.log(max(seen, 1e-6) / max(1 - seen, 1e-6))
     return {"kn": kn, "w": w}
 
 
-def _score(model):
+def _score(model, name: str):
     def run(batches):
         m = model.value
         for batch in batches:
@@ -239,25 +230,27 @@ def _score(model):
             if m["kn"] is None:
                 s = np.zeros(len(texts))
             else:
-                f = np.array([m["kn"].features(t) for t in texts]).reshape(-1, 4)
+                f = np.array([m["kn"].features(t) for t in texts]).reshape(-1, len(WINDOWS) + 2)
                 s = 1 / (1 + np.exp(-np.clip(f @ m["w"][:-1] + m["w"][-1], -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with __score."""
+def score(docs: DataFrame, model: dict) -> tuple[DataFrame, str]:
+    """docs with a column of scores, and the column's name, which none of docs has."""
     from pyspark.sql.types import DoubleType, StructType
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(sent), StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    (name,) = unused(docs.columns, "score")
+    return docs.mapInArrow(_score(sent, name), StructType([*docs.schema.fields]).add(name, DoubleType())), name
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").where(crc_of() % 4 != 2))
-    return score(docs, model).select("doc_id", (crc_of() % 4 == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored, s = score(docs, model)
+    return scored.select("doc_id", F.coalesce(crc_of() % 4 == 2, F.lit(False)).alias("held_out"), F.col(s).alias("score"), (F.col(s) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 ORACLE = None

@@ -61,15 +61,55 @@ def test_classifiers_on_held_out_rows(spark, tmp_path, mod, col):
     assert mod.query(spark, str(tmp_path)).count() == len(docs)
 
 
-def test_kneser_ney_sums_to_one():
+def kneser_ney_expected(words, order, shared, gram, cls):
+    """Interpolated Kneser-Ney from its definition, by enumeration."""
+    tokens = [{}, {}]
+    for y in (0, 1):
+        for w, c in words[y].items():
+            padded = "\x02" * (order - 1) + w + "\x03"
+            for i in range(len(w) + 1):
+                g = padded[i : i + order]
+                tokens[y][g] = tokens[y].get(g, 0) + c
+
+    def count(g, n, source):
+        if n == order:
+            return source.get(g, 0)
+        return len({x[: order - n] + g for x in source if x.endswith(g)} & set(source)) if n == order - 1 else len({x[-n - 1 :] for x in source if x.endswith(g)})
+
+    merged = {g: tokens[0].get(g, 0) + tokens[1].get(g, 0) for g in {*tokens[0], *tokens[1]}}
+    letters = {g[-1] for g in merged}
+
+    def p(n):
+        if n == 0:
+            return 1 / (len(letters) + 1)
+        source = merged if n <= shared else tokens[cls]
+        context = gram[len(gram) - n : -1]
+        counts = {c: count(context + c, n, source) for c in letters}
+        total = sum(counts.values())
+        if not total:
+            return None
+        own = max(counts.get(gram[-1], 0) - toxicity_kn.DISCOUNT, 0) / total
+        return own + toxicity_kn.DISCOUNT * sum(c > 0 for c in counts.values()) / total * best(n - 1)
+
+    def best(n):
+        while (v := p(n)) is None:
+            n -= 1
+        return v
+
+    return best(order)
+
+
+def test_kneser_ney_by_definition():
     from collections import Counter
 
-    kn = toxicity_kn.KneserNey((Counter({"abba": 5, "abc": 3}), Counter({"cab": 4, "abba": 1})), order=3, shared=2)
-    seen = {c for w in ("abba", "abc", "cab") for c in w} | {"\x03"}
-    for context in ("\x02\x02", "\x02a", "ab", "zz"):
+    words = (Counter({"abba": 5, "abc": 3, "b": 1}), Counter({"cab": 4, "abba": 1, "cabba": 2}))
+    kn = toxicity_kn.KneserNey(words, order=3, shared=2)
+    letters = sorted({c for w in (*words[0], *words[1]) for c in w} | {"\x03"})
+    for context in ("\x02\x02", "\x02a", "ab", "ba", "zz", "zb", "ca"):
         for cls in (0, 1):
-            total = sum(np.exp(kn.gram_log_prob(context + c, cls)) for c in seen)
-            assert 0.3 < total <= 1.0001
+            for c in (*letters, "q"):
+                assert kn.gram_prob(context + c, cls) == pytest.approx(kneser_ney_expected(words, 3, 2, context + c, cls), abs=1e-9)
+            assert sum(kn.gram_prob(context + c, cls) for c in (*letters, "q")) == pytest.approx(1, abs=1e-6)
 
 
 def test_cut_is_minimal():
@@ -237,23 +277,23 @@ def test_query_blocks_beyond_the_bound(spark, monkeypatch):
     assert sorted(impact_topk.top_k(v, v.where("vec_id % 7 = 0")).collect()) == want
 
 
-def test_all_words_count_in_the_ratio():
+def test_all_words_count_in_the_comparison():
     from collections import Counter
 
     kn = toxicity_kn.KneserNey((Counter({"kato": 50, "mire": 40, "sola": 9}), Counter({"kato": 40, "mire": 50, "vida": 9})))
     for text in ("kato mire kato", "sola sola kato", "vida mire"):
-        ratios = [kn.ratio(w) for w in text.split()]
-        assert kn.features(text)[0] == pytest.approx(sum(ratios) / len(ratios)) != 0
+        ratios, chars = [kn.ratio(w) for w in text.split()], len(text) + 1
+        assert kn.features(text)[0] == pytest.approx(sum(ratios) / chars) != 0
+        assert kn.features(text)[1] == pytest.approx(max(r / 5 for r in ratios))
     assert kn.features("sola sola kato")[0] < 0 < kn.features("vida mire")[0]
-    assert kn.features("") == (0.0,) * 4
+    assert kn.features("") == (0.0,) * 5
 
 
-def test_models_hold_all_words(spark, monkeypatch):
+def test_models_hold_all_words(spark):
     from collections import Counter
 
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(toxicity_kn, "VOCABULARY", 20, raising=False)
     docs, labels = documents(200)
     df = spark.createDataFrame(docs[:200], "doc_id long, text string")
     kn = toxicity_kn.train(df, spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int"))["kn"]
@@ -264,3 +304,17 @@ def test_models_hold_all_words(spark, monkeypatch):
     assert max(map(len, words)) > 20
     for w in [*words[0], *words[1], "zzunheard"]:
         assert kn.ratio(w) == pytest.approx(want.ratio(w), abs=1e-6)
+
+
+@pytest.mark.parametrize("mod", [quality_bt, toxicity_kn])
+def test_null_ids_and_clashing_names(spark, tmp_path, mod):
+    docs, labels = documents(60)
+    spark.createDataFrame([*docs, (None, "ka to mi")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = mod.query(spark, str(tmp_path)).collect()
+    assert len(rows) == len(docs) + 1 and all(r.held_out in (True, False) and 0 <= r.score <= 1 for r in rows)
+    df = spark.createDataFrame([(1, "ka to", 7, 8)], "doc_id long, text string, Score int, __score int")
+    model = quality_bt.model_of(spark, str(tmp_path)) if mod is quality_bt else toxicity_kn.train(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out, name = mod.score(df, model)
+    assert out.columns == [*df.columns, name] and out.first()[2:4] == (7, 8)
+    assert mod.score(df.limit(0), model)[0].count() == 0
