@@ -5,15 +5,20 @@ samples, one byte each, so the stored form is lossless. Reading parses the RIFF
 samples read back: 16 kHz is resampled to 12 kHz by a polyphase FIR filter (3 up, 4 down), cut in overlapped Hann
 windows, and passed through a mel filterbank; segments are runs of frames whose energy rises above an upper level until
 it falls below a lower one. Frames are pooled to a fixed-shape tensor of SLOTS x MELS with each slot's time span.
+`audio_features` makes the media columns: the stored file, the tensor in the storage form of Arrow's fixed-shape tensors (the
+column's metadata names the extension type and shape; `fixed_shape` gives the typed array without a copy), and spans in seconds. The
+query reads these columns back, and returns the tensor and spans beside its digests.
 A signal is worked on in blocks of windows, so memory doesn't grow with its length beyond the signal itself.
 
 Defined results: null and empty text have one block of 576 bytes 255; equal texts give equal values, as every value
-depends on the text alone; repeated rows give equal rows; an empty table gives an empty result.
+depends on the text alone; repeated rows give equal rows; an empty table gives an empty result; further columns of the documents
+play no part, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 
@@ -138,56 +143,69 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (FRAME - len(raw) if not raw else -len(raw) % FRAME), len(raw)
 
 
-def _describe(tensor: np.ndarray, spans: list[tuple[int, int]]) -> str:
+def _describe(tensor: np.ndarray, spans: list[tuple[float, float]]) -> str:
     mean = "".join(f"{round(v * 8) & 255:02x}" for v in tensor.mean(0, dtype=np.float64).tolist())
     digest = hashlib.sha256(np.round(tensor * 8).astype("<i2").tobytes() + repr(spans).encode()).hexdigest()[:16]
-    return f"mel={mean};segments={len(spans)};voiced={sum(b - a for a, b in spans)};sha={digest}"
-
-
-TENSOR = "tensor array<float>, slot_spans array<int>, segment_spans array<int>"
-
-
-def _rows(digest: bool):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                cols: list[list] = [[] for _ in range(8 if digest else 5)]
-                for text in part.column("text").to_pylist():
-                    payload, n = payload_of(text)
-                    media = store(payload)
-                    back, _ = load(media)
-                    tensor, spans, slots = features(back)
-                    if digest:
-                        row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), _describe(tensor, spans))
-                    else:
-                        row = (media, tensor.ravel(), slots.ravel(), [x for s in spans for x in s])
-                    for c, v in zip(cols, row, strict=False):
-                        c.append(v)
-                ids = part.column("doc_id")
-                if digest:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                else:
-                    kinds = (pa.binary(), pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=["doc_id", "media", "tensor", "slot_spans", "segment_spans"])
-
-    return run
+    return f"mel={mean};segments={len(spans)};voiced={sum(b - a for a, b in spans):.3f};sha={digest}"
+
+
+#: Seconds from one frame to the next, and steps of a tensor's values.
+HOP_SECONDS, STEPS = HOP * DOWN / (RATE * UP), 64
+_SPANS = "array<struct<start: double, end: double>>"
+_SPAN = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+_EXTENSION = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": [SLOTS, MELS]})}
+
+
+def _seconds(spans) -> list[dict[str, float]]:
+    return [{"start": round(a * HOP_SECONDS, 6), "end": round(b * HOP_SECONDS, 6)} for a, b in spans]
+
+
+def _media(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            size, media, tensors, slots, segs = [], [], [], [], []
+            for text in part.column("text").to_pylist():
+                payload, n = payload_of(text)
+                file = store(payload)
+                tensor, found, bounds = features(load(file)[0])
+                size.append(n)
+                media.append(file)
+                tensors.append(np.round(tensor.ravel() * STEPS) / np.float32(STEPS))
+                slots.append(_seconds(bounds.tolist()))
+                segs.append(_seconds(found))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors)), SLOTS * MELS).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(media, pa.binary()), flat, pa.array(slots, _SPAN), pa.array(segs, _SPAN)], names=["doc_id", "n_bytes", "media", "tensor", "slot_spans", "segments"])
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, media, tensor, slot_spans, segment_spans): the file, SLOTS x MELS values row by row, and (start, end) frames; a frame lasts HOP / 12000 s."""
-    return docs.select("doc_id", "text").mapInArrow(_rows(False), f"doc_id long, media binary, {TENSOR}")
+    """(doc_id, n_bytes, media, tensor, slot_spans, segments): unpadded bytes, the stored file, SLOTS x MELS values row by row, and spans in seconds."""
+    out = docs.select("doc_id", "text").mapInArrow(_media, f"doc_id long, n_bytes long, media binary, tensor array<float>, slot_spans {_SPANS}, segments {_SPANS}")
+    return out.withMetadata("tensor", _EXTENSION)
 
 
 def fixed_shape(column: pa.Array) -> pa.Array:
-    """The tensor column as an Arrow fixed-shape tensor array."""
+    """A tensor column as an Arrow fixed-shape tensor array."""
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (SLOTS, MELS)), column.cast(pa.list_(pa.float32(), SLOTS * MELS)))
 
 
+def _digests(batches):
+    for batch in batches:
+        cols: list[list] = [[] for _ in range(6)]
+        tensors = fixed_shape(batch.column("tensor")).to_numpy_ndarray() if batch.num_rows else ()
+        for media, tensor, spans in zip(batch.column("media").to_pylist(), tensors, batch.column("segments").to_pylist(), strict=True):
+            back, _ = load(media)
+            row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), _describe(tensor, [(x["start"], x["end"]) for x in spans]))
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *(batch.column(c) for c in ("tensor", "slot_spans", "segments"))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "slot_spans", "segments"])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(_rows(True), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    media = audio_features(table(spark, sf_dir, "documents"))
+    out = media.mapInArrow(_digests, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor array<float>, slot_spans {_SPANS}, segments {_SPANS}")
+    return out.withMetadata("tensor", _EXTENSION)
 
 
 ORACLE = None

@@ -133,9 +133,33 @@ def test_hysteresis():
 
 
 def test_media_rows(spark, tmp_path):
-    spark.createDataFrame([*enumerate(TEXTS), (50, TEXTS[4])], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = {r.doc_id: r for r in media_audio.query(spark, str(tmp_path)).collect()}
-    assert rows[50][1:] == rows[4][1:]
-    assert rows[0].n_bytes == 0 and rows[0].payload_bytes == 576
+    import hashlib
+    import io
+    import json
+    import wave
+
+    spark.createDataFrame([*enumerate(TEXTS), (50, TEXTS[4]), (None, "x")], "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("Tensor", F.lit(2)).write.parquet(str(tmp_path / "documents.parquet"))
+    out = media_audio.query(spark, str(tmp_path))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert len(rows) == len(TEXTS) + 2 and rows[50][1:] == rows[4][1:]
+    for i, text in enumerate(TEXTS):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-(-max(len(raw), 1) // 576) * 576 - len(raw))
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:  # the standard library's writer makes the same file
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(16_000)
+            w.writeframes(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(file.getvalue()), hashlib.sha256(file.getvalue()).hexdigest())
+        assert len(r.slot_spans) == media_audio.SLOTS and all(0 <= a < b for a, b in [*r.slot_spans, *r.segments])
+    assert json.loads(out.schema["tensor"].metadata["ARROW:extension:metadata"]) == {"shape": [media_audio.SLOTS, media_audio.MELS]}
     f = media_audio.audio_features(spark.read.parquet(str(tmp_path / "documents.parquet"))).toArrow()
-    assert media_audio.fixed_shape(f.column("tensor").combine_chunks()).type.shape == [media_audio.SLOTS, media_audio.MELS]
+    tensors = media_audio.fixed_shape(f.column("tensor").combine_chunks())
+    assert tensors.type.shape == [media_audio.SLOTS, media_audio.MELS]
+    made = dict(zip(f.column("doc_id").to_pylist(), tensors.to_numpy_ndarray(), strict=True))
+    assert made[4].shape == (media_audio.SLOTS, media_audio.MELS) and made[4].ravel().tolist() == rows[4].tensor
+    spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert media_audio.query(spark, str(tmp_path)).count() == 0
