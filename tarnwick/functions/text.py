@@ -184,9 +184,20 @@ def fact(subject: Column, predicate: Column, obj: Column) -> Column:
 _TRIMMED = "[ \\t\\r\\n\"'`«»“”‘’()\\[\\]{}<>.,;:!?]"
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters whose NFKC form is one other character, such as full-width letters, and these forms."""
+    pairs = [(chr(i), unicodedata.normalize("NFKC", chr(i))) for i in [*range(0xA0, 0xD800), *range(0xF900, 0xFFF0)]]
+    pairs = [(c, n) for c, n in pairs if n != c and len(n) == 1]
+    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
+
+
+_WIDE, _PLAIN = _compatible()
+
+
 def canonical(c: Column) -> Column:
-    """Entity name without quotes, brackets and punctuation at the ends, white space as one space, lower case. For names beyond NFKC use `canonical_nfkc`."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), f"^{_TRIMMED}+|{_TRIMMED}+$", "")
+    """Entity name without quotes, brackets and punctuation at the ends, white space as one space, lower case, after the part of NFKC that maps single characters to single ones. For ligatures, fractions and separate accents use `canonical_nfkc`."""
+    name = F.translate(F.coalesce(c, F.lit("")), _WIDE, _PLAIN)
+    bare = F.regexp_replace(name, f"^{_TRIMMED}+|{_TRIMMED}+$", "")
     return F.lower(F.regexp_replace(bare, f"{_SPACE}+", " "))
 
 

@@ -40,6 +40,14 @@ def metadata_is(meta: Column, condition: dict) -> Column:
     return reduce(lambda a, b: a & b, [one(k, v) for k, v in condition.items()], F.lit(True))
 
 
+def metadata_of_row(columns: list[str], condition: dict, metadata_col: str = "metadata") -> Column:
+    """`metadata_is` over a row whose metadata is JSON text: a key that is a column of the row is looked up there, even if it is null, any other in the metadata."""
+    meta = F.try_parse_json(F.coalesce(F.col(metadata_col), F.lit("{}"))) if metadata_col in columns else F.parse_json(F.lit("{}"))
+    top = {k: v for k, v in condition.items() if k in columns and k != metadata_col}
+    row = F.try_parse_json(F.to_json(F.struct(*[F.col(k) for k in top])))
+    return metadata_is(row, top) & metadata_is(meta, {k: v for k, v in condition.items() if k not in top})
+
+
 def in_datasets(df: DataFrame, datasets: list[str]) -> DataFrame:
     return df.where(F.col("dataset_id").isin(*datasets)) if datasets else df.limit(0)
 
@@ -99,11 +107,11 @@ def preferred_pipeline(datasets: DataFrame, ids: list[str], default: str = "defa
 
 
 def state_diff(found: DataFrame, state: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """(path, change): new, changed (modification time beyond tolerance) and removed files; one full join."""
+    """(path, change, mtime): new, changed (modification time beyond tolerance) and removed files; one full join."""
     s = state.select(F.col("path").alias("sp"), F.col("mtime").alias("sm"))
     both = found.select("path", "mtime").join(s, F.col("path") == F.col("sp"), "full")
     change = F.when(F.col("sp").isNull(), "new").when(F.col("path").isNull(), "removed").when(F.abs(F.col("mtime") - F.col("sm")) > tolerance, "changed")
-    return both.select(F.coalesce("path", "sp").alias("path"), change.alias("change")).where("change is not null")
+    return both.select(F.coalesce("path", "sp").alias("path"), change.alias("change"), F.col("mtime").cast("double").alias("mtime")).where("change is not null")
 
 
 def citations(results: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def ir_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
-    """Mean nDCG@k, MAP@k, recall@k, P@k, success@1 and @5 of run (query_id, doc_id, rank) against qrels (query_id, doc_id, grade), over queries with a relevant document."""
+    """Mean nDCG@k, MAP@k (over all relevant documents), recall@k, P@k, success@1 and @5 of run (query_id, doc_id, rank) against qrels (query_id, doc_id, grade), over queries with a relevant document."""
     from pyspark.sql import Window
 
     rel = qrels.where("grade > 0")
@@ -18,7 +18,7 @@ def ir_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     got = hits.groupBy("query_id").agg(F.sum(F.col("grade") / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.col("seen") / F.col("rank")).alias("ap"), F.count("*").alias("h"), F.min("rank").alias("first"))
     q = best.join(got, "query_id", "left").fillna(0, ["dcg", "ap", "h"])
     mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return q.agg(mean(F.col("dcg") / F.col("idcg"), "ndcg"), mean(F.col("ap") / F.least(F.col("n"), F.lit(k)), "map"), mean(F.col("h") / F.col("n"), "recall"), mean(F.col("h") / F.lit(k), "precision"), mean(F.when(F.col("first") <= 1, 1.0).otherwise(0.0), "success_1"), mean(F.when(F.col("first") <= 5, 1.0).otherwise(0.0), "success_5"))
+    return q.agg(mean(F.col("dcg") / F.col("idcg"), "ndcg"), mean(F.col("ap") / F.col("n"), "map"), mean(F.col("h") / F.col("n"), "recall"), mean(F.col("h") / F.lit(k), "precision"), mean(F.when(F.col("first") <= 1, 1.0).otherwise(0.0), "success_1"), mean(F.when(F.col("first") <= 5, 1.0).otherwise(0.0), "success_5"))
 
 
 def category_accuracy(cases: DataFrame, categories: tuple[str, ...] = ("factual", "sense_making", "associative")) -> DataFrame:

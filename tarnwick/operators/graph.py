@@ -37,6 +37,18 @@ def expand(seeds: DataFrame, next_edges: DataFrame, top_k: int = 200, most_seeds
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
+def expand_by_position(hits: DataFrame, chunks: DataFrame, top_k: int = 200, most_seeds: int = SEEDS) -> DataFrame:
+    """`expand` without an edge table: neighbours are the chunks before and after in the document, found by their ids, `document:position`.
+
+    At most three ids a seed, so a bounded table, are broadcast to one scan of the chunks' ids.
+    """
+    s = hits.where(F.col("rank") <= most_seeds).select(F.expr("substring_index(chunk_id, ':', -1)").cast("int").alias("p"), F.expr("left(chunk_id, length(chunk_id) - length(substring_index(chunk_id, ':', -1)))").alias("d"), (1.0 / F.col("rank")).alias("w"))
+    near = s.select(F.explode(F.array(*[F.struct(F.concat("d", (F.col("p") + k).cast("string")).alias("chunk_id"), (F.col("w") * w).alias("w")) for k, w in ((0, 1.0), (1, NEXT_WEIGHT), (-1, PREVIOUS_WEIGHT))])).alias("x")).select("x.*")
+    scored = chunks.select("chunk_id").join(F.broadcast(near), "chunk_id").groupBy("chunk_id").agg(F.round(F.max("w"), 6).alias("score"))
+    top = scored.orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+
+
 def transition(triples: DataFrame, synonyms: DataFrame, mentions: DataFrame) -> DataFrame:
     """(src, dst, weight): relations both ways by confidence (0 counts as 1), synonyms as stored, mentions both ways by
     log(1 + count); no self loops, doubles summed, rows sum to 1. Passage nodes are `passage:` + chunk id."""
@@ -50,23 +62,50 @@ def transition(triples: DataFrame, synonyms: DataFrame, mentions: DataFrame) ->
     return summed.join(degree, "src").select("src", "dst", F.when(F.col("d") == 0, 0.0).otherwise(F.col("w") / F.col("d")).alias("weight"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 50, tolerance: float = 1e-6, cut_every: int = 4) -> DataFrame:
+#: Edges of a node that one task takes; a node with more is split over several.
+HUB = 50_000
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder, read by every step."""
+    import uuid
+
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 50, tolerance: float = 1e-6, cut_every: int = 4, hub: int = HUB) -> DataFrame:
     """(node, score) of positive mass: r = (1 - alpha) s + alpha M' r from r = s.
 
     Seeds (node, weight) outside the graph or not positive are dropped, the rest normalised; without edges r stays s.
-    Each step is one join on the edges' source, so edges are partitioned by it once; lineage is cut by checkpoint() every
-    few steps. tolerance 0 runs all iterations without looking at the change.
+    Each step is one join on the edges' source and partial sums by target. Edges of a hub are dealt to several parts by their
+    target, and the hub's mass is copied to each; hubs are at most edges / hub rows. Edges are written once; lineage is cut by
+    checkpoint() every few steps. tolerance 0 runs all iterations without looking at the change.
     """
-    edges = edges.repartition("src").cache()
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    live = seeds.where("weight > 0").join(nodes, "node", "left_semi") if not edges.isEmpty() else seeds.where("weight > 0")
-    total = live.agg(F.sum("weight").alias("t"))
-    s = live.crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("t")).alias("s")).groupBy("node").agg(F.sum("s").alias("s"))
+    edges = _kept(edges.select("src", "dst", "weight"))
+    total = seeds.where("weight > 0")
+    if edges.isEmpty():
+        live = total
+    else:
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+        live = total.join(nodes, "node", "left_semi")
+    live = live.groupBy("node").agg(F.sum("weight").alias("weight"))
+    s = _kept(live.crossJoin(F.broadcast(live.agg(F.sum("weight").alias("t")))).select("node", (F.col("weight") / F.col("t")).alias("s")))
     if edges.isEmpty():
         return s.select("node", F.col("s").alias("score"))
+    hubs = _kept(edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > hub).select("src", F.ceil(F.col("degree") / hub).cast("int").alias("parts")))
+    split = not hubs.isEmpty()
+    if split:
+        edges = _kept(edges.join(hubs, "src", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"))).drop("parts"))
     r = s.select("node", F.col("s").alias("r"))
     for k in range(iterations):
-        moved = edges.join(r, edges.src == r.node).select(F.col("dst").alias("node"), (F.col("weight") * F.col("r") * alpha).alias("m"))
+        if split:
+            spread = r.join(hubs, r.node == hubs.src, "left").select("node", "r", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("p"))
+            joined = edges.join(spread, (edges.src == spread.node) & (edges.part == spread.p))
+        else:
+            joined = edges.join(r, edges.src == r.node)
+        moved = joined.select(F.col("dst").alias("node"), (F.col("weight") * F.col("r") * alpha).alias("m"))
         new = moved.unionByName(s.select("node", (F.col("s") * (1 - alpha)).alias("m"))).groupBy("node").agg(F.sum("m").alias("r"))
         if tolerance:
             new = new.checkpoint()
@@ -92,22 +131,37 @@ def chunk_scores(ranks: DataFrame, mentions: DataFrame, chunks: DataFrame, datas
     return one.select("chunk_id", F.round(F.col("p") + F.col("e"), 6).alias("score"), F.round("p", 6).alias("passage_score"), F.round("e", 6).alias("entity_score"), F.concat_ws(",", "entities").alias("entities")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(top)
 
 
-_FORBIDDEN = ("create", "merge", "delete", "detach", "set", "remove", "drop", "alter", "insert", "update", "copy", "call", "load", "truncate", "install", "attach", "import", "export")
+def read_only(statement: str, limit: int = 200, spark=None) -> str:
+    """The statement with a LIMIT if its outermost part has none. Spark's own parser reads it, and every node of the plan, subqueries too, must be a plain relational operator: commands, writes and scripts are refused, wherever they stand."""
+    from pyspark.errors import ParseException
+    from pyspark.sql import SparkSession
 
+    spark = spark or SparkSession.active()
+    body = statement.strip().rstrip(";").strip()
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    except ParseException as e:
+        raise ValueError("not a statement that can be read") from e
+    todo, names = [plan], []
+    while todo:
+        p = todo.pop()
+        names.append(p.nodeName())
+        for kids in (p.children(), p.innerChildren(), p.subqueriesAll()):
+            todo += [k for k in (kids.apply(i) for i in range(kids.length())) if "logical" in k.getClass().getName()]
+    for n in names:
+        if n not in _READS:
+            raise ValueError(f"not a read: {n}")
+    if names[0] == "GlobalLimit":
+        return body
+    return f"SELECT * FROM ({body}\n) LIMIT {int(limit)}" if "--" in body or "/*" in body else f"{body} LIMIT {int(limit)}"
 
-def read_only(statement: str, limit: int = 200) -> str:
-    """The statement with a LIMIT if it has none; raises if its first word changes data."""
-    import re
 
-    word = re.match(r"\s*([A-Za-z]+)", statement)
-    if word and word[1].lower() in _FORBIDDEN:
-        raise ValueError(f"not a read: {word[1]}")
-    body = statement.strip().rstrip(";")
-    return body if re.search(r"\blimit\s+\d+", body, re.I) else f"{body} LIMIT {int(limit)}"
+# Nodes of parsed statements that only read.
+_READS = frozenset("GlobalLimit LocalLimit Offset Project Filter Aggregate Sort Distinct Join Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedHaving LocalRelation OneRowRelation UnresolvedInlineTable Generate LateralJoin WithWindowDefinition Window Pivot Unpivot Sample UnresolvedTableValuedFunction UnresolvedHint RelationTimeTravel ResolvedHint".split())
 
 
 def ask(spark, statement: str, views: dict[str, DataFrame], limit: int = 200) -> DataFrame:
     """Run a read-only SQL statement over node and edge views."""
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(read_only(statement, limit))
+    return spark.sql(read_only(statement, limit, spark))

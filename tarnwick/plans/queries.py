@@ -1,4 +1,8 @@
-"""Named queries over the test tables, each with DuckDB SQL for the same rows. All read whole tables."""
+"""Named queries over the test tables, each with DuckDB SQL for the same rows. All read whole tables.
+
+The chunk index and the raw triples are stored tables, as they are in the engine: the first query of a session that needs one of a
+folder's tables builds it under the checkpoint folder, later ones read it.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
-from tarnwick.operators import catalog, chunking, evaluation, fusion, graph, knowledge, lexical, mail, routing, vectors
+from tarnwick.operators import associative, catalog, chunking, evaluation, fusion, graph, knowledge, lexical, mail, models, routing, vectors
+from tarnwick.operators.index import Index
+from tarnwick.operators.sync import GraphStore
 from tarnwick.plans import spec
+from tarnwick.sources.store import Files, Store, ready
 
 QUERY = "tion thth"
 QUERIES: dict = {}
@@ -29,11 +36,46 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tarnwick-checkpoints")
+    _folder(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    return ready(spark)
+
+
+def _state(spark: SparkSession, d: str, *names: str) -> str:
+    """A name for tables as they are now: their paths, sizes and times."""
+    import hashlib
+
+    parts = []
+    for n in names:
+        files, at = Files(spark)._at(f"{d}/{n}.parquet")
+        todo = [files.getFileStatus(at)]
+        while todo:
+            f = todo.pop()
+            if f.isDirectory():
+                todo += list(files.listStatus(f.getPath()))
+            else:
+                parts.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()[:20]
+
+
+def _index(spark: SparkSession, d: str) -> Index:
+    """The stored chunk index of the documents."""
+    ix = Index(spark, f"{_folder(spark)}/index-{_state(spark, d, 'documents')}")
+    if not ix.exists():
+        ix.write(_chunks(spark, d))
+    return ix
+
+
+def _stored(spark: SparkSession, d: str, name: str, sources: tuple[str, ...], make) -> DataFrame:
+    store = Store(spark, f"{_folder(spark)}/{name}-{_state(spark, d, *sources)}", {})
+    if not store.has(name):
+        store.replace(name, make())
+    return store.read(name)
+
+
 def _docs(spark, d):
     return _t(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("dataset_id"), F.col("text").alias("content"))
 
@@ -46,13 +88,30 @@ def _vectors(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _raw(spark, d):
+def _joined(spark, d):
     o, li = _t(spark, d, "orders").select("o_orderkey", "o_custkey"), _t(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     c, p = _t(spark, d, "customer").select("c_custkey", "c_name"), _t(spark, d, "part").select("p_partkey", "p_name")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(p, F.col("l_partkey") == p.p_partkey)
     return j.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("chunk_id"), F.col("c_name").alias("subject"), F.lit("Ordered").alias("predicate"), F.col("p_name").alias("object"), F.lit(1.0).alias("confidence"))
 
 
+def _raw(spark, d):
+    return _stored(spark, d, "raw", ("orders", "lineitem", "customer", "part"), lambda: _joined(spark, d))
+
+
+def _triples(spark, d):
+    return _stored(spark, d, "triples", ("orders", "lineitem", "customer", "part"), lambda: knowledge.triples(_raw(spark, d)))
+
+
+def _mentions(spark, d):
+    return _stored(spark, d, "mentions", ("orders", "lineitem", "customer", "part"), lambda: knowledge.mentions(_raw(spark, d)))
+
+
+def _edges(spark, d):
+    none = spark.createDataFrame([], "a_id string, b_id string, score double")
+    return _stored(spark, d, "edges", ("orders", "lineitem", "customer", "part"), lambda: graph.transition(_triples(spark, d), none, _mentions(spark, d)))
+
+
 def _mail(spark, d):
     e = _t(spark, d, "events")
     person = lambda k: F.concat(F.lit("User"), ((F.col("user_id") + k) % 50).cast("string"), F.lit("@example.com"))
@@ -153,12 +212,12 @@ def newline_chunks(spark, d):
 
 @query(f"WITH {TOKENS} SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM tokens) GROUP BY ALL")
 def postings_build(spark, d):
-    return lexical.postings(_chunks(spark, d))
+    return _index(spark, d).postings().select("chunk_id", "term", "tf")
 
 
 @query(f"WITH {TOKENS} SELECT term, count(DISTINCT chunk_id) AS df FROM (SELECT chunk_id, unnest(w) AS term FROM tokens) GROUP BY term")
 def doc_freq(spark, d):
-    return lexical.document_frequency(lexical.postings(_chunks(spark, d)))
+    return lexical.document_frequency(_index(spark, d).postings())
 
 
 @query(f"WITH {TOKENS} SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM tokens")
@@ -168,12 +227,12 @@ def corpus_stats(spark, d):
 
 @query(f"WITH {_bm25()} SELECT chunk_id, score, rank FROM kw")
 def bm25_topk(spark, d):
-    return lexical.bm25(_chunks(spark, d), QUERY)
+    return _index(spark, d).search(QUERY)
 
 
 @query(f"WITH {_bm25(k=50, q='tion thth thon ther')} SELECT chunk_id, score, rank FROM kw")
 def bm25_and_terms(spark, d):
-    return lexical.bm25(_chunks(spark, d), "the Tion of thth, thon ther", top_k=50)
+    return _index(spark, d).search("the Tion of thth, thon ther", top_k=50)
 
 
 _SETS = ["src1", "src3", "src7"]
@@ -181,7 +240,7 @@ _SETS = ["src1", "src3", "src7"]
 
 @query(f"WITH {_bm25(where='dataset_id IN ' + str(tuple(_SETS)))} SELECT chunk_id, score, rank FROM kw")
 def bm25_dataset_filter(spark, d):
-    return lexical.bm25(_chunks(spark, d), QUERY, _SETS)
+    return _index(spark, d).search(QUERY, _SETS)
 
 
 @query(f"""WITH {TOKENS}, q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS.replace('content', 'text')}) AS term FROM benchmark), post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM tokens) GROUP BY ALL),
@@ -189,15 +248,14 @@ st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(w) AS DOUBLE)) AS avgd
 s AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w) / avgdl))), 6) AS score FROM q JOIN post USING (term) JOIN idf USING (term) JOIN tokens USING (chunk_id) GROUP BY ALL)
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def bm25_benchmark(spark, d):
-    c = _chunks(spark, d)
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.words(F.col("text"))).alias("term"))
-    return lexical.bm25_index(lexical.postings(c), lexical.lengths(c), q)
+    return _index(spark, d).search_many(q)
 
 
 @query()
 def snippet(spark, d):
-    hits = lexical.bm25(_chunks(spark, d), QUERY, top_k=50)
-    return _chunks(spark, d).join(F.broadcast(hits), "chunk_id").select("chunk_id", lexical.snippet(F.col("content"), T.query_words(QUERY)).alias("snippet"))
+    hits = _index(spark, d).search(QUERY, top_k=50)
+    return _index(spark, d).chunks().join(F.broadcast(hits), "chunk_id").select("chunk_id", lexical.snippet(F.col("content"), T.query_words(QUERY)).alias("snippet"))
 
 
 # Vectors and fusion ---------------------------------------------------------------------------------------------------
@@ -223,7 +281,7 @@ def synonym_edges(spark, d):
 
 @query(f"WITH {_bm25()} SELECT chunk_id, round((score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0), 6) AS norm FROM kw")
 def normalize_keyword(spark, d):
-    return fusion.normalize_keyword(lexical.bm25(_chunks(spark, d), QUERY)).select("chunk_id", F.round("norm", 6).alias("norm"))
+    return fusion.normalize_keyword(_index(spark, d).search(QUERY)).select("chunk_id", F.round("norm", 6).alias("norm"))
 
 
 @query(f"WITH {SIM_FULL} SELECT id, {_round("greatest(0, least(1, (score + 1) / 2))")} AS norm FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings)")
@@ -235,7 +293,7 @@ def normalize_semantic(spark, d):
 
 def _branches(spark, d):
     """Keyword hits, and vector hits whose ids stand for chunks `id:0`."""
-    kw = lexical.bm25(_chunks(spark, d), QUERY)
+    kw = _index(spark, d).search(QUERY)
     v = _vectors(spark, d)
     q = v.join(v.agg(F.min("id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
     sem = vectors.similar(q, v, top_k=200, digits=None).select(F.concat(F.col("id").cast("string"), F.lit(":0")).alias("chunk_id"), "score", "rank")
@@ -360,8 +418,8 @@ def state_diff(spark, d):
 
 @query(f"WITH {_bm25(k=12)} SELECT k.rank, k.chunk_id, '[' || k.rank || '] doc' || c.document_id || '#' || c.position AS citation, substr(content, 1, 200) AS context FROM kw k JOIN chunks c USING (chunk_id)")
 def cite_context(spark, d):
-    c = _chunks(spark, d)
-    hits = lexical.bm25(c, QUERY, top_k=12)
+    c = _index(spark, d).chunks()
+    hits = _index(spark, d).search(QUERY, top_k=12)
     return catalog.citations(c.join(F.broadcast(hits), "chunk_id").withColumn("document_name", F.concat(F.lit("doc"), F.col("document_id").cast("string"))))
 
 
@@ -384,18 +442,17 @@ def graph_projection_counts(spark, d):
 
 @query(f"WITH {_bm25(k=20)}, {_NEXT}, w AS (SELECT chunk_id, 1.0::DOUBLE / rank AS w FROM kw UNION ALL SELECT dst, 0.75::DOUBLE / rank FROM nxt JOIN kw ON src = chunk_id UNION ALL SELECT src, 0.7::DOUBLE / rank FROM nxt JOIN kw ON dst = chunk_id), m AS (SELECT chunk_id, round(max(w), 6) AS score FROM w GROUP BY chunk_id) SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM m")
 def neighbor_expand(spark, d):
-    c = _chunks(spark, d)
-    return graph.expand(lexical.bm25(c, QUERY, top_k=20), chunking.next_edges(c))
+    return graph.expand_by_position(_index(spark, d).search(QUERY, top_k=20), _index(spark, d).chunks())
 
 
 @query(f"WITH {MENTIONS} SELECT chunk_id, entity_id, count FROM mentions")
 def entity_mentions(spark, d):
-    return knowledge.mentions(_raw(spark, d))
+    return _mentions(spark, d)
 
 
 @query(f"WITH {TRIPLES} SELECT triple_id, chunk_id, subj_id, pred, obj_id, confidence FROM triples")
 def triples_dedupe(spark, d):
-    return knowledge.triples(_raw(spark, d))
+    return _triples(spark, d)
 
 
 @query(f"WITH {MENTIONS} SELECT entity_id, min(name) AS canonical, CAST(max(c) AS BIGINT) AS mention_count FROM (SELECT subj_id AS entity_id, s AS name FROM ent UNION SELECT obj_id, o FROM ent) JOIN (SELECT entity_id, sum(count) AS c FROM mentions GROUP BY entity_id) USING (entity_id) GROUP BY entity_id")
@@ -412,15 +469,12 @@ def stale_embeddings(spark, d):
 
 @query(f"WITH {TRIPLES}, names AS (SELECT entity_id, min(name) AS canonical FROM (SELECT subj_id AS entity_id, s AS name FROM ent UNION SELECT obj_id, o FROM ent) GROUP BY 1) SELECT triple_id, '(' || substr(a.canonical, 1, 80) || ', ' || lower(substr(pred, 1, 40)) || ', ' || substr(b.canonical, 1, 80) || ')' AS fact FROM triples JOIN names a ON a.entity_id = subj_id JOIN names b ON b.entity_id = obj_id")
 def fact_texts(spark, d):
-    raw = _raw(spark, d)
-    return knowledge.facts(knowledge.triples(raw), knowledge.entities(raw))
+    return knowledge.facts(_triples(spark, d), knowledge.entities(_raw(spark, d)))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, round(weight, 6) AS weight FROM edges")
 def transition_edges(spark, d):
-    raw = _raw(spark, d)
-    none = spark.createDataFrame([], "a_id string, b_id string, score double")
-    return graph.transition(knowledge.triples(raw), none, knowledge.mentions(raw)).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return _edges(spark, d).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 def _seeds(raw):
@@ -429,8 +483,7 @@ def _seeds(raw):
 
 def _ranks(spark, d, n=3):
     raw = _raw(spark, d)
-    none = spark.createDataFrame([], "a_id string, b_id string, score double")
-    return graph.pagerank(graph.transition(knowledge.triples(raw), none, knowledge.mentions(raw)), _seeds(raw), iterations=n, tolerance=0.0), raw
+    return graph.pagerank(_edges(spark, d), _seeds(raw), iterations=n, tolerance=0.0), raw
 
 
 _PPR = f"""{EDGES}, s AS (SELECT substr(sha1({_canon('min(subject)')}), 1, 16) AS node, 2.0::DOUBLE / 3 AS s FROM raw UNION ALL SELECT substr(sha1({_canon('min(object)')}), 1, 16), 1.0::DOUBLE / 3 FROM raw),
@@ -448,22 +501,22 @@ def ppr_fixed_iter(spark, d):
 a AS (SELECT * FROM p UNION ALL SELECT chunk_id, 0.0, r * ln(1 + count) FROM mentions JOIN b ON entity_id = node) SELECT chunk_id, round(sum(p) + sum(e), 6) AS score, round(sum(p), 6) AS passage_score, round(sum(e), 6) AS entity_score FROM a GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 12""")
 def chunk_scores(spark, d):
     ranks, raw = _ranks(spark, d)
-    return graph.chunk_scores(ranks, knowledge.mentions(raw), raw.select("chunk_id").distinct()).drop("entities")
+    return graph.chunk_scores(ranks, _mentions(spark, d), raw.select("chunk_id").distinct()).drop("entities")
 
 
-@query(f"WITH {SIM} SELECT id AS entity_id, max(w) AS weight FROM (SELECT id, score AS w FROM sim WHERE query_id % 100 = 1 AND query_id <> 1 AND score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3 UNION ALL SELECT min(vec_id), 1.0 FROM embeddings WHERE vec_id = 1 HAVING count(*) > 0) GROUP BY id")
+@query(f"WITH {SIM} SELECT id AS entity_id, max(w) AS weight FROM (SELECT id, score AS w FROM sim WHERE query_id % 50 = 0 AND query_id <> 0 AND score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3 UNION ALL SELECT min(vec_id), 1.0 FROM embeddings WHERE vec_id = 0 HAVING count(*) > 0) GROUP BY id")
 def entity_link_topk(spark, d):
     v = _vectors(spark, d)
     name = F.concat(F.lit("entity "), F.col("id").cast("string"))
-    ask = v.where("id % 100 = 1").select(F.when(F.col("id") == 1, F.lit(" Entity  1. ")).otherwise(F.concat(F.lit("unknown "), F.col("id").cast("string"))).alias("term"), "vector")
+    ask = v.where("id % 50 = 0").select(F.when(F.col("id") == 0, F.lit(" Entity  0. ")).otherwise(F.concat(F.lit("unknown "), F.col("id").cast("string"))).alias("term"), "vector")
     return knowledge.link_entities(ask.select("term"), v.select(F.col("id").alias("entity_id"), name.alias("canonical")), ask, v)
 
 
-@query(f"WITH {SIM} SELECT query_id, id AS fact_id, score FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings) AND id % 2 = 1 AND score > 0 ORDER BY score DESC, id LIMIT 5")
+@query(f"WITH {SIM} SELECT query_id, id AS fact_id, score FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings) AND score > 0 ORDER BY score DESC, id LIMIT 5")
 def fact_link_topk(spark, d):
     v = _vectors(spark, d)
     q = v.join(v.agg(F.min("id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
-    return vectors.similar(q, v.where("id % 2 = 1"), 5).where("score > 0").select("query_id", F.col("id").alias("fact_id"), "score")
+    return vectors.similar(q, v, 5).where("score > 0").select("query_id", F.col("id").alias("fact_id"), "score")
 
 
 @query("SELECT node, max(weight) AS weight FROM (SELECT c_custkey % 97 AS node, round(c_acctbal / 1000, 6) AS weight FROM customer UNION ALL SELECT s_suppkey % 97, round(s_acctbal / 1000, 6) FROM supplier) GROUP BY node")
@@ -474,8 +527,8 @@ def seed_merge(spark, d):
 
 @query(f"WITH {_bm25(k=40)} SELECT chunk_id, score FROM kw WHERE rank > 24 OR rank IN (2, 5, 9)")
 def online_filter_apply(spark, d):
-    top = lexical.bm25(_chunks(spark, d), QUERY, top_k=40)
-    keep = [r.chunk_id for r in top.where("rank in (2, 5, 9, 30)").collect()]  # a handful: the model's answer
+    top = _index(spark, d).search(QUERY, top_k=40)
+    keep = [r.chunk_id for r in top.where("rank in (2, 5, 9, 30)").collect()]  # the model's answer names candidates it was shown; 30 lies beyond them
     return knowledge.kept_by_filter(top.select("chunk_id", "score"), keep)
 
 
@@ -497,7 +550,8 @@ def mail_graph_edges(spark, d):
     return mail.person_edges(_mail(spark, d))
 
 
-@query()
+@query(f"""WITH {_MAIL.replace("'Event ' || event_type AS subject,", "'Event ' || event_type AS subject, 'value ' || CAST(CAST(value AS DECIMAL(20, 2)) AS VARCHAR) AS body,")}
+SELECT mail_id, '# ' || subject || chr(10) || chr(10) || '- **From:** ' || sender || chr(10) || '- **To:** ' || recipients || chr(10) || '- **Date:** ' || received || chr(10) || chr(10) || body AS markdown FROM mail""")
 def mail_markdown(spark, d):
     return mail.markdown(_mail(spark, d))
 
@@ -523,7 +577,7 @@ def canonicalize_nfkc(spark, d):
     return _t(spark, d, "benchmark").select("item_id", T.canonical_nfkc(F.col("text")).alias("canonical"))
 
 
-@query()
+@query(r"SELECT page_id, CASE WHEN starts_with(lower(ltrim(substr(coalesce(html, ''), 1, 200), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '<!doctype html') OR starts_with(lower(ltrim(substr(coalesce(html, ''), 1, 200), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '<html') THEN '.html' ELSE '' END AS suffix FROM pages")
 def magic_sniff(spark, d):
     from tarnwick.sources.files import sniff
 
@@ -617,11 +671,19 @@ def chunk_class_v1(spark, d):
     return _hinted(spark, d).select("chunk_id", T.chunk_class_first(F.col("content")).alias("hall"))
 
 
-@query(f"WITH {CHUNKS}, h AS (SELECT document_id, position, {_classes('c', T.CHUNK_CLASSES)} AS hall FROM (SELECT document_id, position, {_HINT} AS c, lower({_HINT}) AS low FROM chunks)) SELECT document_id, arg_max(hall, (n, -p)) AS dominant_hall FROM (SELECT document_id, hall, count(*) AS n, min(position) AS p FROM h GROUP BY ALL) GROUP BY document_id")
+_BONUS = [("decisions", r"(?:^|[^\p{L}\p{N}_])decision|trade-?off|chosen(?:$|[^\p{L}\p{N}_])"), ("problems", r"(?:^|[^\p{L}\p{N}_])error|troubleshoot|debug|incident(?:$|[^\p{L}\p{N}_])"), ("reference", r"(?:^|[^\p{L}\p{N}_])reference|matrix|lookup(?:$|[^\p{L}\p{N}_])")]
+_TITLED = r"'# Decision matrix' || chr(10) || content"
+
+
+@query(f"""WITH {CHUNKS}, h AS (SELECT document_id, position AS p, 1 AS n, {_classes('c', T.CHUNK_CLASSES)} AS hall FROM (SELECT document_id, position, {_HINT} AS c, lower({_HINT}) AS low FROM chunks)),
+hd AS (SELECT document_id, lower(array_to_string({_HEAD.replace("content", "t")}, ' ')) AS hs FROM (SELECT document_id, CASE WHEN document_id % 3 = 0 THEN {_TITLED} ELSE content END AS t FROM docs)),
+b AS ({" UNION ALL ".join(f"SELECT document_id, {(1 << 40) + k} AS p, 2 AS n, '{hall}' AS hall FROM hd WHERE regexp_matches(hs, '{body}')" for k, (hall, body) in enumerate(_BONUS))}),
+best AS (SELECT document_id, arg_max(hall, (n, -p)) AS hall FROM (SELECT document_id, hall, sum(n) AS n, min(p) AS p FROM (SELECT document_id, hall, n, p FROM h UNION ALL SELECT document_id, hall, n, p FROM b) GROUP BY ALL) GROUP BY document_id)
+SELECT document_id, coalesce(hall, 'reference') AS dominant_hall FROM docs LEFT JOIN best USING (document_id)""")
 def dominant_hall(spark, d):
-    c = _hinted(spark, d)
-    docs = c.select(F.col("document_id").alias("path")).distinct().withColumn("content", F.lit(""))
-    return routing.dominant_class(c, docs).select(F.col("path").alias("document_id"), "dominant_hall")
+    content = F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("# Decision matrix\n"), "content")).otherwise(F.col("content"))
+    docs = _docs(spark, d).select(F.col("document_id").alias("path"), content.alias("content"))
+    return routing.dominant_class(_hinted(spark, d), docs).select(F.col("path").alias("document_id"), "dominant_hall")
 
 
 def _profile(spark, d):
@@ -705,7 +767,7 @@ def _run(spark, d):
 @query("""WITH t AS (SELECT source AS query_id, doc_id, quality + toxic AS grade, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS rank FROM documents JOIN labels USING (doc_id)),
 b AS (SELECT query_id, count(*) AS n, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1) ELSE 0 END) AS idcg FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM t WHERE grade > 0) GROUP BY query_id),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM t WHERE rank <= 10 AND grade > 0), g AS (SELECT query_id, sum(grade / log2(rank + 1)) AS dcg, sum(seen / rank) AS ap, count(*) AS h, min(rank) AS f FROM h GROUP BY query_id)
-SELECT round(avg(coalesce(dcg, 0) / idcg), 6) AS ndcg, round(avg(coalesce(ap, 0) / least(n, 10)), 6) AS map, round(avg(coalesce(h, 0) / n), 6) AS recall, round(avg(coalesce(h, 0) / 10), 6) AS precision, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0.0 END), 6) AS success_1, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 6) AS success_5 FROM b LEFT JOIN g USING (query_id)""")
+SELECT round(avg(coalesce(dcg, 0) / idcg), 6) AS ndcg, round(avg(coalesce(ap, 0) / n), 6) AS map, round(avg(coalesce(h, 0) / n), 6) AS recall, round(avg(coalesce(h, 0) / 10), 6) AS precision, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0.0 END), 6) AS success_1, round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 6) AS success_5 FROM b LEFT JOIN g USING (query_id)""")
 def ir_metrics(spark, d):
     return evaluation.ir_metrics(*_run(spark, d))
 
@@ -716,22 +778,187 @@ def category_accuracy(spark, d):
     return evaluation.category_accuracy(cases)
 
 
-@query("SELECT round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate FROM (SELECT source, max(CAST(contains(lower(text), 'thth') AS INTEGER)) AS hit FROM documents WHERE lang = 'de' GROUP BY source)")
+@query("SELECT round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate FROM (SELECT source, max(CAST(contains(lower(text), 'thth') AS INTEGER)) AS hit FROM documents GROUP BY source)")
 def hit_rate(spark, d):
-    t = _t(spark, d, "documents").where("lang = 'de'").select(F.col("source").alias("query_id"), F.col("text").alias("context"))
+    t = _t(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("text").alias("context"))
     return evaluation.hit_rate(t, t.select("query_id").distinct().withColumn("term", F.lit("Thth")))
 
 
 @query(f"WITH {_SEM} SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT chunk_id, rank FROM kw UNION ALL SELECT chunk_id, rank FROM sem) GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 12")
 def pipeline_search(spark, d):
     topology = {"nodes": [{"name": "split", "module": "flat", "inputs": [{"port": "docs", "from": "$"}]}, {"name": "keyword", "module": "bm25", "params": {"query": QUERY}, "inputs": [{"port": "chunks", "from": "split"}]}, {"name": "vector", "module": "vectors", "outputs": [{"to": "fuse", "port": "b"}]}, {"name": "fuse", "module": "rrf", "inputs": [{"port": "a", "from": "keyword"}]}]}
-    modules = {"flat": chunking.flat, "bm25": lexical.bm25, "vectors": lambda: _branches(spark, d)[1], "rrf": lambda a, b: fusion.rrf([a, b])}
+    modules = {"flat": chunking.flat, "bm25": lambda chunks, query: _index(spark, d).search(query), "vectors": lambda: _branches(spark, d)[1], "rrf": lambda a, b: fusion.rrf([a, b])}
     out = spec.build(spec.read(topology), modules, _docs(spark, d))["fuse"]
     return out.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(spec.KNOBS["top_n"][0])
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
-    from tarnwick.streaming.ingest import windowed_counts
+    """A stream over the events' files, with watermark and state; each batch's updates are kept by version, and the last of each window counts."""
+    import uuid
+
+    from tarnwick.streaming import ingest
+
+    at = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = ingest.arrivals(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema)
+    ingest.keep_updates(ingest.windowed_counts(events, late="40 days"), f"{at}/table", f"{at}/state").awaitTermination()
+    out = ingest.current_rows(spark, f"{at}/table", ["start", "event_type"])
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# Stored index, reranking, knowledge search, sync, mail index, engine ---------------------------------------------------
+
+
+def _fresh(spark) -> str:
+    import uuid
+
+    return f"{_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+_UPSERTED = DOCS.replace("text AS content FROM documents", "CASE WHEN doc_id % 10 = 0 THEN 'tion thth ' || text ELSE text END AS content FROM documents WHERE doc_id % 7 <> 0")
+
+
+@query(f"WITH {_bm25().replace(DOCS, _UPSERTED)} SELECT chunk_id, score, rank FROM kw")
+def index_upsert_search(spark, d):
+    """Write an index, put new texts in place of every tenth document's, delete every seventh document, search."""
+    docs, ix = _docs(spark, d), Index(spark, _fresh(spark))
+    ix.write(_chunks(spark, d))
+    ix.upsert(chunking.flat(docs.where("document_id % 10 = 0").withColumn("content", F.concat(F.lit("tion thth "), "content"))), docs.where("document_id % 10 = 0"))
+    ix.delete(docs.where("document_id % 7 = 0"))
+    return ix.search(QUERY)
+
+
+_WANTED = "ther thth onnd the"
+
+
+@query(f"""WITH {_bm25(k=40)}, c AS (SELECT k.chunk_id, k.score AS pre_rerank_score, k.rank AS old, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM kw k JOIN chunks USING (chunk_id)),
+x AS (SELECT chunk_id, pre_rerank_score, old, ({" + ".join(f"CAST(list_contains(w, '{t}') AS INTEGER)" for t in T.query_words(_WANTED))})::DOUBLE / {len(T.query_words(_WANTED))} AS score FROM c)
+SELECT chunk_id, pre_rerank_score, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, old) AS INTEGER) AS rank FROM x QUALIFY rank <= 12""")
+def rerank_cut(spark, d):
+    ix = _index(spark, d)
+    hits = ix.chunks().select("chunk_id", "content").join(F.broadcast(ix.search(QUERY, top_k=40)), "chunk_id")
+    return models.rerank(hits, _WANTED, models.overlap_scorer, 12).select("chunk_id", "pre_rerank_score", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_bm25(k=40)} SELECT chunk_id, score AS pre_rerank_score, score, rank FROM kw WHERE rank <= 7")
+def rerank_disabled(spark, d):
+    hits = _index(spark, d).search(QUERY, top_k=40)
+    return models.rerank(hits, QUERY, models.overlap_scorer, 7, enabled=False).select("chunk_id", "pre_rerank_score", "score", "rank")
+
+
+_GONE = "CAST(substr(chunk_id, 7) AS BIGINT) % 3 = 0"
+
+
+@query(f"""WITH {MENTIONS}, e AS (SELECT entity_id, CAST(sum(count) AS BIGINT) - 2 AS c FROM mentions GROUP BY entity_id), l AS (SELECT entity_id, sum(count) AS lost FROM mentions WHERE {_GONE} GROUP BY entity_id)
+SELECT 'entity' AS kind, entity_id, CAST(greatest(0, c - coalesce(lost, 0)) AS BIGINT) AS n FROM e LEFT JOIN l USING (entity_id) UNION ALL SELECT 'mentions', entity_id, count(*) FROM mentions WHERE NOT ({_GONE}) GROUP BY entity_id""")
+def mention_decrement(spark, d):
+    """Counts are two too low at first, so some would fall under 0."""
+    m = _mentions(spark, d)
+    e = m.groupBy("entity_id").agg((F.sum("count") - 2).cast("long").alias("mention_count"))
+    left, rest = associative.forget_mentions(e, m, m.where(_GONE.replace("BIGINT", "LONG")).select("chunk_id"))
+    return left.select(F.lit("entity").alias("kind"), "entity_id", F.col("mention_count").alias("n")).unionByName(rest.groupBy("entity_id").agg(F.count("*").alias("n")).select(F.lit("mentions").alias("kind"), "entity_id", "n"))
+
+
+def _first_vector(spark, d) -> list[float]:
+    """The first embedding, as the model's answer to the question."""
+    return [float(x) for x in _vectors(spark, d).orderBy("id").first().vector]
+
+
+_NEAR = f"near AS (SELECT id, score FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings) QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 24)"
+_DENSE = "SELECT 'passage:order:' || id AS node, greatest(0, least(1, (score + 1) / 2)) * 0.05 AS weight FROM near"
+
+
+@query(f"WITH {SIM_FULL.replace('v.vec_id AS id', 'CAST(v.vec_id AS VARCHAR) AS id')}, {_NEAR} SELECT node, round(weight, 6) AS weight FROM ({_DENSE})")
+def dense_seeds(spark, d):
+    v = _vectors(spark, d).select(F.concat(F.lit("order:"), F.col("id").cast("string")).alias("chunk_id"), "vector")
+    return associative.dense_seeds(v, _first_vector(spark, d), 24).select("node", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {SIM_FULL.replace('v.vec_id AS id', 'CAST(v.vec_id AS VARCHAR) AS id')} SELECT 't' || id AS triple_id, 'c' || (CAST(id AS BIGINT) % 100) AS chunk_id, round(score, 6) AS score FROM sim WHERE query_id = (SELECT min(vec_id) FROM embeddings) AND CAST(id AS BIGINT) % 100 % 4 IN (1, 2) AND score > 0 ORDER BY sim.score DESC, 't' || id LIMIT 5")
+def fact_links_by_dataset(spark, d):
+    v = _vectors(spark, d)
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    trip = v.select(name("t", F.col("id")).alias("triple_id"), name("c", F.col("id") % 100).alias("chunk_id"), name("s", F.col("id")).alias("subj_id"), name("o", F.col("id")).alias("obj_id"), F.lit("is").alias("pred"))
+    chunks = v.select(name("c", F.col("id") % 100).alias("chunk_id"), name("d", F.col("id") % 100 % 4).alias("dataset_id")).distinct()
+    found = associative.link_facts(trip, v.select(name("t", F.col("id")).alias("triple_id"), "vector"), _first_vector(spark, d), chunks, ["d1", "d2"])
+    return found.select("triple_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_HIPPO = f"""{EDGES}, {SIM_FULL.replace('v.vec_id AS id', 'CAST(v.vec_id AS VARCHAR) AS id')}, {_NEAR}, seed AS (SELECT node, max(weight) AS weight FROM (SELECT substr(sha1({_canon('min(c_name)')}), 1, 16) AS node, 1.0::DOUBLE AS weight FROM customer UNION ALL {_DENSE}) GROUP BY node),
+live AS (SELECT * FROM seed WHERE weight > 0 AND node IN (SELECT src FROM edges UNION SELECT dst FROM edges)), s AS (SELECT node, weight / (SELECT sum(weight) FROM live) AS s FROM live),
+{", ".join(f"r{k} AS (SELECT node, sum(m) AS r FROM (SELECT dst AS node, weight * {'s' if k == 1 else 'r'} * 0.85::DOUBLE AS m FROM edges JOIN {'s' if k == 1 else f'r{k - 1}'} ON src = node UNION ALL SELECT node, s * 0.15::DOUBLE FROM s) GROUP BY node)" for k in (1, 2, 3))}"""
+
+
+def _associative(spark, d):
+    none = lambda schema: spark.createDataFrame([], schema)
+    raw, mentions = _raw(spark, d), _mentions(spark, d)
+    chunks = raw.select("chunk_id", F.lit("all").alias("dataset_id"), F.lit("").alias("content")).distinct()
+    names = _stored(spark, d, "entities", ("orders", "lineitem", "customer", "part"), lambda: knowledge.entities(raw))
+    v = _vectors(spark, d).select(F.concat(F.lit("order:"), F.col("id").cast("string")).alias("chunk_id"), F.lit("all").alias("dataset_id"), "vector")
+    passages = v.join(chunks.select("chunk_id"), "chunk_id", "left_outer")
+    k = associative.Knowledge(passages.select("chunk_id", "dataset_id").unionByName(chunks.select("chunk_id", "dataset_id")).distinct().withColumn("content", F.lit("")), names, _triples(spark, d), mentions, none("a_id string, b_id string, score double"), v, none("triple_id string, vector array<float>"), none("entity_id string, vector array<float>"))
+    asked, first = _first_vector(spark, d), _t(spark, d, "customer").agg(F.min("c_name")).first()[0]
+    return associative.search(k, "who?", lambda texts: [asked for _ in texts], top_chunks=12, chat=lambda _: {"entities": [first]}, iterations=3, tolerance=0.0, edges=_edges(spark, d))
+
+
+@query(f"""WITH {_HIPPO}, p AS (SELECT substr(node, 9) AS chunk_id, r AS p, 0.0 AS e FROM r3 WHERE node LIKE 'passage:%'), b AS (SELECT * FROM r3 WHERE node NOT LIKE 'passage:%' ORDER BY r DESC, node LIMIT 5000),
+a AS (SELECT * FROM p UNION ALL SELECT chunk_id, 0.0, r * ln(1 + count) FROM mentions JOIN b ON entity_id = node) SELECT chunk_id, round(sum(p) + sum(e), 6) AS score FROM a GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 12""")
+def knowledge_search(spark, d):
+    return _associative(spark, d).chunks.select("chunk_id", "score")
+
+
+@query(f"WITH {_HIPPO}, t AS (SELECT node, r, node LIKE 'passage:%' AS passage FROM r3 WHERE r > 0) SELECT passage, round(r, 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY passage ORDER BY r DESC, node) <= 20")
+def knowledge_top20(spark, d):
+    """Scores of the twenty best entities and passages; equal ones may change places, so without names."""
+    f = _associative(spark, d)
+    return f.entities.select(F.lit(False).alias("passage"), F.round("score", 6).alias("score")).unionByName(f.passages.select(F.lit(True).alias("passage"), F.round("score", 6).alias("score")))
+
+
+@query(f"""WITH {TRIPLES}, proj AS (SELECT subj_id AS src, obj_id AS dst, 'RELATION' AS rel, chunk_id FROM triples UNION ALL SELECT chunk_id, entity_id, 'MENTIONS', chunk_id FROM mentions), old AS (SELECT * FROM proj WHERE {_GONE}), new AS (SELECT * FROM proj WHERE (src, dst, rel) NOT IN (SELECT (src, dst, rel) FROM old))
+SELECT 1 AS step, 'rebuild' AS mode, rel, count(*) AS edges FROM old GROUP BY rel UNION ALL SELECT 2, 'incremental', rel, count(*) FROM new GROUP BY rel UNION ALL SELECT 3, 'noop', rel, 0 FROM (SELECT DISTINCT rel FROM proj)""")
+def graph_sync(spark, d):
+    """Load a third of the graph, sync the rest, sync again."""
+    def projection(keep):
+        t, m = _triples(spark, d).where(keep), _mentions(spark, d).where(keep)
+        return t.select(F.col("subj_id").alias("src"), F.col("obj_id").alias("dst"), F.lit("RELATION").alias("rel"), "confidence").withColumnRenamed("confidence", "weight").unionByName(m.select(F.col("chunk_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("MENTIONS").alias("rel"), F.col("count").cast("double").alias("weight")))
+
+    g, rows = GraphStore(spark, _fresh(spark)), []
+    nodes = _mentions(spark, d).select(F.col("entity_id").alias("id"), F.lit("Entity").alias("kind")).distinct()
+    for step, keep in enumerate((_GONE.replace("BIGINT", "LONG"), "true", "true"), 1):
+        got = g.sync(projection(keep), nodes)
+        rows += [(step, got["mode"], rel, got["edge_breakdown"][rel]) for rel in ("RELATION", "MENTIONS")]
+    return spark.createDataFrame(rows, "step int, mode string, rel string, edges long")
+
+
+_MAILS = f"""{_MAIL.replace("'Event ' || event_type AS subject,", "'Event ' || event_type AS subject, 'value ' || CAST(CAST(value AS DECIMAL(20, 2)) AS VARCHAR) AS body,")},
+tokens AS (SELECT CAST(mail_id AS VARCHAR) || ':0' AS chunk_id, folder AS dataset_id, regexp_extract_all(lower(subject || chr(10) || sender || chr(10) || body), '[\\p{{L}}\\p{{N}}]+') AS w FROM mail)"""
+
+
+@query(f"WITH {_bm25(q='event user7').replace(TOKENS, _MAILS)} SELECT mail_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT CAST(m.mail_id AS VARCHAR) AS mail_id, k.score, row_number() OVER (ORDER BY k.score DESC, CAST(m.mail_id AS VARCHAR)) AS i FROM kw k JOIN mail m ON k.chunk_id = CAST(m.mail_id AS VARCHAR) || ':0' WHERE received >= '2024-01-05') WHERE i <= 12")
+def mail_index_search(spark, d):
+    """Mail is upserted twice, the second time every third one again, then searched with a date bound."""
+    from tarnwick.engine import MailBox
+
+    box, m = MailBox(spark, _fresh(spark)), _mail(spark, d).drop("props")
+    box.ingest(m)
+    box.ingest(m.where("mail_id % 3 = 0"))
+    return box.search("event User7", received_from="2024-01-05").select("mail_id", "score", "rank")
+
+
+@query(f"WITH {_bm25(where='dataset_id IN ' + str(tuple(_SETS)))} SELECT rank, chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM kw WHERE rank <= 12")
+def engine_search(spark, d):
+    """Documents uploaded by dataset through the engine, then its search over three datasets."""
+    from tarnwick.engine import Engine
+
+    at = f"{_folder(spark)}/engine-{_state(spark, d, 'documents')}"
+    e = Engine(spark, at)
+    if not e.index.exists():
+        e.index.write(_chunks(spark, d).select(F.col("document_id").cast("string").alias("document_id"), "dataset_id", "position", "content", "chunk_id", F.col("document_id").cast("string").alias("document_name"), F.lit("{}").alias("metadata"), F.lit(False).alias("is_hierarchical"), F.lit(None).cast("string").alias("parent_content")))
+    return e.search(QUERY, _SETS).select("rank", "chunk_id", F.round("score", 6).alias("score"))
+
 
-    return windowed_counts(_t(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND CAST(json_extract(props, '$.k') AS BIGINT) IN (1, 5, 69)")
+def metadata_precedence(spark, d):
+    """event_type is looked up in the row, whatever the metadata say of it; k in the metadata."""
+    e = _t(spark, d, "events").withColumn("metadata", F.concat(F.lit('{"event_type": "nested", '), F.expr("substring(props, 2)")))
+    return e.where(catalog.metadata_of_row(e.columns, {"event_type": "error", "k": {"$in": [1, 5, 69]}})).select("event_id")

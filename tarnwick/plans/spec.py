@@ -81,4 +81,51 @@ def search_params(profile: dict, caller: dict) -> dict:
 
 
 #: Knobs with default, lowest and highest value.
-KNOBS = {"top_n": (12, 1, 50), "top_k": (200, 1, 500), "rrf_k": (60, 1, 1000), "alpha": (0.5, 0.0, 1.0), "threshold": (0.0, 0.0, 1.0), "chunk_size": (512, 64, 8192), "chunk_overlap": (50, 0, 1024)}
+KNOBS = {"top_n": (12, 1, 50), "top_k": (200, 1, 500), "rrf_k": (60, 1, 1000), "alpha": (0.5, 0.0, 1.0), "threshold": (0.0, 0.0, 1.0), "rerank_top_n": (12, 1, 200), "chunk_size": (512, 64, 8192), "chunk_overlap": (50, 0, 1024)}
+
+
+def knob(name: str, value):
+    """The value within the knob's range; its default for what is no number."""
+    from tarnwick.operators.catalog import clamp
+
+    default, low, high = KNOBS[name]
+    return clamp(value, low, high, default)
+
+
+#: The built-in profiles. branches of the search, settings that win over the caller's, indexing settings, reranker.
+PROFILES = {
+    "default": {"search_kwargs": {"fusion": "rrf"}},
+    "keyword_only": {"search_kwargs": {"vector_similarity_weight": 0.0, "fusion": "rrf"}, "indexing": {"skip_embedding": True}},
+    "email": {"search_kwargs": {"fusion": "rrf"}, "indexing": {"hierarchical": "false"}},
+    "hippo2": {"search_kwargs": {"fusion": "rrf"}, "knowledge": True},
+    "rrf_rerank": {"search_kwargs": {"fusion": "rrf"}, "reranker": "cross_encoder"},
+    "rrf_llm_rerank": {"search_kwargs": {"fusion": "rrf"}, "reranker": "chat"},
+    "rrf_graph_rerank": {"search_kwargs": {"fusion": "rrf"}, "reranker": "cross_encoder", "graph": True},
+    "hippo2_graph_rrf": {"search_kwargs": {"fusion": "rrf"}, "reranker": "cross_encoder", "graph": True, "knowledge": True},
+}
+
+
+def profile(name: str, saved: dict | None = None) -> dict:
+    """A whole profile: a saved one wins over the built-in one of its name; an unknown name is the default. Raises on settings that no profile has."""
+    got = saved if saved is not None else PROFILES.get(name, PROFILES["default"])
+    known = {"search_kwargs": {}, "indexing": {}, "reranker": None, "graph": False, "knowledge": False}
+    if extra := set(got) - set(known):
+        raise ValueError(f"unknown settings {sorted(extra)}")
+    return known | got
+
+
+def save(nodes: list[Node], spark, path: str) -> None:
+    """Write a topology as JSON, whole or not at all."""
+    import json
+
+    from tarnwick.sources.store import Files
+
+    Files(spark).write(path, json.dumps(write(nodes), indent=1))
+
+
+def load(spark, path: str) -> list[Node]:
+    import json
+
+    from tarnwick.sources.store import Files
+
+    return read(json.loads(Files(spark).read(path)))

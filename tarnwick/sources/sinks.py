@@ -30,3 +30,35 @@ def write_mail(mail: DataFrame, path: str) -> None:
     from tarnwick.operators.mail import markdown
 
     mail.join(markdown(mail), "mail_id").write.mode("overwrite").json(path)
+
+
+def write_mail_folders(mail: DataFrame, path: str, attachments: DataFrame | None = None) -> None:
+    """A folder of each mail: body.md, meta.json, attachments/<name>. Every task writes its own rows through Spark's file systems (pyarrow's, where the path is local), so a task that runs again writes the same files."""
+    import json
+    import re
+
+    from tarnwick.operators.mail import markdown
+
+    safe = lambda s: re.sub(r"[^\w.-]", "_", s).lstrip(".") or "_"
+
+    def put(name: str, data: bytes) -> None:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(f"{path}/{name}") if "://" in path else (fs.LocalFileSystem(), f"{path}/{name}")
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at) as out:
+            out.write(data)
+
+    def mails(rows) -> None:
+        for r in rows:
+            meta = {k: v for k, v in r.asDict().items() if k not in ("markdown", "body")}
+            put(f"{safe(r.mail_id)}/body.md", (r.markdown or "").encode())
+            put(f"{safe(r.mail_id)}/meta.json", json.dumps(meta, default=str).encode())
+
+    def files(rows) -> None:
+        for r in rows:
+            put(f"{safe(r.mail_id)}/attachments/{safe(r.name)}", bytes(r.content or b""))
+
+    mail.withColumn("mail_id", F.col("mail_id").cast("string")).join(markdown(mail).withColumn("mail_id", F.col("mail_id").cast("string")), "mail_id").foreachPartition(mails)
+    if attachments is not None:
+        attachments.withColumn("mail_id", F.col("mail_id").cast("string")).foreachPartition(files)

@@ -15,10 +15,10 @@ def arrivals(spark: SparkSession, path: str, schema: StructType, files_per_trigg
 
 
 def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str, key: str = "document_id"):
-    """Upsert each micro-batch into a versioned table: a batch is written as its own version folder, so a batch that runs again overwrites only itself."""
+    """Upsert each micro-batch into a versioned table: a batch is written as its own version folder, so a batch that runs again overwrites only itself. Of rows of one key in a batch, one stays."""
 
     def write(batch: DataFrame, version: int) -> None:
-        prepare(batch).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{table_path}/v={version}")
+        prepare(batch.dropDuplicates([key])).withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{table_path}/v={version}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -30,7 +30,69 @@ def current(spark: SparkSession, table_path: str, key: str = "document_id") -> D
     return rows.join(last, key).where(F.col("version") == F.col("__last")).drop("__last", "version")
 
 
+def compact(spark: SparkSession, table_path: str, key: str = "document_id") -> int:
+    """Merge all versions into the last one's folder, so reads stay as large as the table; the version kept."""
+    from tarnwick.sources.store import Files
+
+    files = Files(spark)
+    rows = spark.read.option("basePath", table_path).parquet(f"{table_path}/v=*")
+    versions = sorted(r.version for r in rows.select("version").distinct().collect())  # one number a version
+    top = versions[-1]
+    merged = f"{table_path}/_merged"
+    current(spark, table_path, key).withColumn("version", F.lit(top).cast("long")).write.mode("overwrite").parquet(merged)
+    fs, at = files._at(merged)
+    for v in versions:
+        files.delete(f"{table_path}/v={v}")
+    fs.rename(at, files._at(f"{table_path}/v={top}")[1])
+    return top
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n) in tumbling windows with a watermark; ts may lack a time zone."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def stream_counts(stream: DataFrame, table: str, checkpoint: str, width: str = "1 hour", late: str = "10 minutes"):
+    """Windowed counts of a stream into an in-memory or Parquet table: windows are written when the watermark has passed them, and a last batch without data closes none."""
+    out = windowed_counts(stream, width, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return out.format("parquet").option("path", table).start()
+
+
+def last_by_key(stream: DataFrame, key: str, order: str, late: str = "10 minutes") -> DataFrame:
+    """(key, order, updates): each key's newest time and number of rows, by custom state that ends when the watermark passes it."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(keys, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        top, n = state.get if state.exists else (None, 0)
+        for f in frames:
+            n += len(f)
+            here = f[order].max()
+            top = here if top is None or here > pd.Timestamp(top) else pd.Timestamp(top)
+        state.update((str(top), n))
+        state.setTimeoutTimestamp(int(pd.Timestamp(top).timestamp() * 1000) + 86_400_000)
+        yield pd.DataFrame({key: [keys[0]], order: [pd.Timestamp(top)], "updates": [n]})
+
+    timed = stream.select(key, F.col(order).cast("timestamp").alias(order)).withWatermark(order, late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {dict(timed.dtypes)[key]}, {order} timestamp, updates long", "top string, n long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_updates(counts: DataFrame, table_path: str, checkpoint: str):
+    """Write each micro-batch's updated rows as a version folder; a batch that runs again overwrites only itself."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        batch.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{table_path}/v={version}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_rows(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame:
+    """The last version of each row by its keys: one partial aggregate, no join."""
+    rows = spark.read.option("basePath", table_path).parquet(f"{table_path}/v=*").drop("v")
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("version", *[c for c in rest if c != "version"])).alias("x"))
+    return last.select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest if c != "version"])
