@@ -144,27 +144,66 @@ def test_crowded_tokens_link_in_stars():
     assert roots == {0}
 
 
-def lines_expected(rows):
-    seen, out = set(), {}
-    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
-        ls, gone = t.split("\n"), set()
-        for k in range(len(ls) - 1):
-            if (ls[k], ls[k + 1]) in seen:
-                gone |= {k, k + 1}
-            seen.add((ls[k], ls[k + 1]))
-        out[i] = (len(ls), len(gone), hashlib.sha256("\n".join(x for j, x in enumerate(ls) if j not in gone).encode()).hexdigest())
+def earlier_runs_expected(rows):
+    """{(id, line): lines from it on that also stand, in this order, at an earlier place} by comparing all pairs of places."""
+    docs = [(i, t.split("\n")) for i, t in sorted(r for r in rows if r[1] is not None)]
+    starts = [(d, k) for d, (_, ls) in enumerate(docs) for k in range(len(ls))]
+    out = {}
+    for at, (d, k) in enumerate(starts):
+        a = docs[d][1]
+        for e, j in starts[:at]:
+            b, n = docs[e][1], 0
+            while k + n < len(a) and j + n < len(b) and a[k + n] == b[j + n]:
+                n += 1
+            if n:
+                out[docs[d][0], k] = max(n, out.get((docs[d][0], k), 0))
     return out
 
 
+def lined(seed, n=50):
+    """Documents of few kinds of lines, runs copied from others, and long repetitions of one line."""
+    r = random.Random(seed)
+    lines = ["", "}", " \t  x\r", "Share this page now", "All rights reserved.", "Read more here", "one line", "another line"]
+    rows = []
+    for i in range(n):
+        ls = [r.choice(lines) if r.random() < 0.5 else f"own line {r.randint(0, 60)}" for _ in range(r.randint(1, 14))]
+        if i % 3 == 1 and rows:
+            other = r.choice(rows)[1].split("\n")
+            at = r.randrange(len(other))
+            ls[r.randint(0, len(ls)) :] = other[at : at + r.randint(1, 12)]
+        rows.append((i * 2 + 1, "\n".join(ls)))
+    return [*rows, (300, "\n".join(["same line"] * 90)), (301, "\n".join(["same line"] * 75 + ["end of it"])), (302, "\n".join(f"p{k} of a passage" for k in range(70))), (303, "x\n" + "\n".join(f"p{k} of a passage" for k in range(3, 69)))]
+
+
+@pytest.mark.parametrize(("seed", "parts"), [(11, 2), (12, 7)])
+def test_maximal_line_runs(spark, seed, parts):
+    rows = lined(seed)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.sid, r.i): r.run for r in line_suffix.earlier_runs(frame(spark, rows)).where("run > 0").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = earlier_runs_expected(rows)
+    assert got == want
+    assert want[303, 1] == 66 and want[300, 1] == 89
+
+
 def test_lines(spark, tmp_path):
-    rows = [*corpus(4), (2000, "a\nb\nc"), (2001, "z\na\nb\nc\ny"), (2002, "a\na\na\na"), (2003, "\n\n\n"), (2004, "b\nc")]
+    rows = [*lined(13, 30), (2000, "a\nb\nc"), (2001, "z\na\nb\nc\ny"), (2002, "a\na\na\na"), (2003, "\n\n\n"), (2004, "b\nc"), (2005, None), (2006, "")]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_suffix.query(spark, str(tmp_path)).collect()}
-    want = lines_expected(rows)
-    assert {i: v for i, v in got.items() if i != 1000} == want
-    assert got[1000][:2] == (0, 0)
-    longest = {r.doc_id: r.longest_run_pow2 for r in line_suffix.query(spark, str(tmp_path)).collect()}
-    assert longest[2001] == 2 and longest[2002] == 2 and longest[2000] == 0
+    got = {r.doc_id: r for r in line_suffix.query(spark, str(tmp_path)).collect()}
+    kept = runs_expected(rows)
+    longest = {}
+    for (i, _), n in earlier_runs_expected(rows).items():
+        longest[i] = max(n, longest.get(i, 0))
+    for i, t in rows:
+        text = kept.get(i, "")
+        n = 0 if t is None else t.count("\n") + 1
+        assert (got[i].n_lines, got[i].kept_sha256, got[i].longest_run) == (n, hashlib.sha256(text.encode()).hexdigest(), longest.get(i, 0))
+        assert got[i].n_removed <= n
+    assert got[2001].longest_run == 3 and got[2002].n_removed == 3
 
 
 def test_line_rows(spark):
