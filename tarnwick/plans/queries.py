@@ -413,7 +413,7 @@ def delete_cascade(spark, d):
 def state_diff(spark, d):
     t = _t(spark, d, "documents")
     found = t.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1.0).otherwise(0.0005)).alias("mtime"))
-    return catalog.state_diff(found, t.where("doc_id % 6 <> 0").select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("mtime")))
+    return catalog.state_diff(found, t.where("doc_id % 6 <> 0").select(F.col("doc_id").alias("path"), F.col("n_chars").cast("double").alias("mtime"))).select("path", "change")
 
 
 @query(f"WITH {_bm25(k=12)} SELECT k.rank, k.chunk_id, '[' || k.rank || '] doc' || c.document_id || '#' || c.position AS citation, substr(content, 1, 200) AS context FROM kw k JOIN chunks c USING (chunk_id)")
