@@ -279,9 +279,9 @@ def classes(sets: list[np.ndarray], label: np.ndarray, ask: np.ndarray) -> np.nd
     label = label.copy()
     if len(sets) < 2:
         return label
-    tree = CountTree(sets) if len(sets) > 2 else None
+    tree = CountTree(sets)
     for i in ask.tolist():
-        near = tree.search(sets[i]) if tree else np.arange(len(sets))
+        near = tree.search(sets[i])
         near = near[label[near] != label[i]]
         step = 4
         while len(near):

@@ -26,6 +26,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered by a worker.
 REMEMBERED = 250_000
+#: Characters of the longest word that is remembered, so that unspaced texts take no room.
+LONGEST = 64
 _RUN = re.compile(" +[^ ]*")
 _CODECS: dict[str, PieceCodec] = {}
 
@@ -191,7 +193,9 @@ class PieceCodec:
         for k in keys:
             got = words.get(k)
             if got is None:
-                got = words[k] = older.get(k) or self._word(k)
+                got = older.get(k) or self._word(k)
+                if len(k) <= LONGEST:
+                    words[k] = got
             out.append(got)
         return out
 
@@ -227,8 +231,9 @@ def _digests(path: str):
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with an array<int> of ids, the end id included."""
+    """docs with an array<int> of ids, the end id included, in out_col; a column of that name is replaced."""
     path = path or model_path()
+    docs = docs.drop(out_col)
 
     def run(batches):
         c = codec(path)
@@ -236,9 +241,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, text_col: str = "text
             ids = pa.array([c.encode(t or "") for t in batch.column(text_col).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
 
-    from pyspark.sql.types import ArrayType, IntegerType
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-    return docs.mapInArrow(run, docs.schema.add(out_col, ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out_col, ArrayType(IntegerType())))
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
