@@ -1,7 +1,7 @@
 """Corpus cleaning pipeline. Each stage takes (spark, docs, sf_dir) and returns the next stage's documents.
 
 1. quality: documents the pairwise-ranked classifier rejects go.
-2. line_dedup: later copies of repeated runs of lines go; a text may become empty, its document stays.
+2. line_dedup: later copies of maximal repeated runs of lines go; a text may become empty, its document stays.
 3. near_duplicates: one document of each class of near-equal texts stays.
 4. substring_dedup: later copies of 50-word windows go.
 5. packing: what is left is tokenised and packed into sequences; one row per piece.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm import bestfit_pack, count_rtree, debruijn_spans, line_suffix, quality_bt
 from tarnwick.llm.common import prepare
+from tarnwick.sources.store import Files
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -53,15 +54,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written as Parquet in the checkpoint folder and read again."""
+    """All stages over documents; each but the last is written as Parquet in the checkpoint folder and read again, and deleted when the next is written.
+
+    The last stage reads its input at once into tables of its own, so nothing is read twice from a table that is gone.
+    """
     import uuid
 
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    at, files = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}", Files(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             schema = docs.schema
             docs.write.parquet(f"{at}/{k}-{name}")
             docs = spark.read.schema(schema).parquet(f"{at}/{k}-{name}")
+        if k:
+            files.delete(f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
