@@ -37,8 +37,8 @@ PARTITION = 40_000
 BIN_BITS, PART_BITS = 24, 30
 #: Words remembered by a worker, and characters of the longest of them, so that unspaced texts take no room.
 REMEMBERED, LONGEST = 300_000, 64
-#: White space in a row may be split across words, and a special token's text is one id: those texts go to the library whole.
-_WHOLE = re.compile(r"\s\s|<\|endoftext\|>")
+#: A space among white space may be split across words, and a special token's text is one id: texts with either go to the library whole.
+_WHOLE = re.compile(r"\s (?:\s|\Z)|<\|endoftext\|>")
 # Fixed value: the byte-level BPE's split of texts into words.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TOKENIZERS: dict = {}
@@ -50,8 +50,33 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Ids of words after one space, encoded when first asked for. Words that may make their text one of `_WHOLE` are never kept, so each of them sets `odd`."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older, self.odd = encode, {}, False
+
+    def __missing__(self, word: str) -> bytes:
+        known = self.older.get(word)
+        if known is None:
+            known = array("I", self.encode(" " + word)).tobytes()
+            if not word or word[0].isspace() or word[-1].isspace() or "<|" in word:
+                self.odd = True
+                return known
+        if len(word) <= LONGEST:
+            self[word] = known
+        return known
+
+    def age(self) -> None:
+        """Two generations of words are kept, so the memory is bounded and frequent words stay."""
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordIds:
-    """Little-endian ids of texts: words after single spaces are encoded once and remembered. Two generations of words are kept, so the memory is bounded and frequent words stay."""
+    """Little-endian ids of texts: words after single spaces are encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,9 +85,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.one = self._ranked(path).encode_ordinary
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = _Words(self._ranked(path).encode_ordinary)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
@@ -80,25 +103,16 @@ class WordIds:
         return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        split = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
-        spaced = {w for s in split if s for w in s[1:]}
-        new, rare = [], {w: b"" for w in spaced if len(w) > LONGEST}
-        for w in rare:
-            rare[w] = array("I", self.one(" " + w)).tobytes()
-        for w in spaced - rare.keys():
-            if w not in words:
-                if (known := older.get(w)) is None:
-                    new.append(w)
-                else:
-                    words[w] = known
-        for w in new:
-            words[w] = array("I", self.one(" " + w)).tobytes()
-        first = iter(self._encode([s[0] for s in split if s is not None]))
-        whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else next(first) + b"".join([words[w] if len(w) <= LONGEST else rare[w] for w in s[1:]]) for s in split]
+        words, starts, tails = self.words, [], []
+        words.age()
+        for t in texts:
+            split = t.split(" ")
+            words.odd = False
+            tail = b"".join(map(words.__getitem__, split[1:]))
+            whole = (words.odd or "<|" in split[0]) and _WHOLE.search(t)
+            starts.append(t if whole else split[0])
+            tails.append(b"" if whole else tail)
+        return [a + b for a, b in zip(self._encode(starts), tails, strict=True)]
 
 
 def _pieces(path: str, capacity: int):

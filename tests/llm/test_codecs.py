@@ -163,3 +163,14 @@ def test_media_rows(spark, tmp_path):
     assert made[4].shape == (media_audio.SLOTS, media_audio.MELS) and made[4].ravel().tolist() == rows[4].tensor
     spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert media_audio.query(spark, str(tmp_path)).count() == 0
+
+
+def test_ids_among_white_space_are_the_librarys():
+    import random
+
+    r, words = random.Random(11), bestfit_pack.WordIds(bestfit_pack.tokenizer_path())
+    alphabets = [[" ", " ", "a"], [" ", "\n", "x", "\t"], [" ", " ", "　", " ", "\x85", "\x1f", "b", "7", "!", "'s", "中", "<|", "<|endoftext|>"]]
+    texts = ["", " ", "   ", "a  b", "a   b", "a  ", "a \n b", " a"] + ["".join(r.choices(r.choice(alphabets), k=r.randint(0, 30))) for _ in range(3000)]
+    for _ in range(2):  # the second time from memory
+        got = [np.frombuffer(b, "<u4").tolist() for b in words.ids(texts)]
+        assert got == [e.ids for e in words.lib.encode_batch(texts, add_special_tokens=False)]
