@@ -36,7 +36,7 @@ PARTITION = 40_000
 #: Bits of a sequence's number in its part, and of its part's number in a round.
 BIN_BITS, PART_BITS = 24, 30
 #: Words remembered by a worker, and characters of the longest of them, so that unspaced texts take no room.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: A space among white space may be split across words, and a special token's text is one id: texts with either go to the library whole.
 _WHOLE = re.compile(r"\s (?:\s|\Z)|<\|endoftext\|>")
 # Fixed value: the byte-level BPE's split of texts into words.
@@ -74,6 +74,11 @@ class _Words(dict):
             self.older = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        """Workers that wait for other stages hold no words."""
+        self.clear()
+        self.older = {}
+
 
 class WordIds:
     """Little-endian ids of texts: words after single spaces are encoded once and remembered."""
@@ -138,6 +143,7 @@ def _pieces(path: str, capacity: int):
                         length.append(e - s)
                         crc.append(zlib.crc32(ids[4 * s : 4 * e]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.words.forget()
 
     return run
 
