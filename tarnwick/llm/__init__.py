@@ -14,6 +14,7 @@ MODULES = {
     "op8_debruijn_spans": "debruijn_spans",
     "op9_bestfit_pack": "bestfit_pack",
     "op10_count_rtree": "count_rtree",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 
