@@ -15,6 +15,7 @@ MODULES = {
     "op9_bestfit_pack": "bestfit_pack",
     "op10_count_rtree": "count_rtree",
     "op11_periodic_runs": "periodic_runs",
+    "op12_hard_negatives": "hard_negatives",
     "op13_dac_output": "dac_output",
 }
 
