@@ -6,8 +6,8 @@ before every 512th. The chunk of a token on the next level is at the rank of its
 tokens, is read from a few bytes of each level and nothing else is decoded. A file also holds its documents' ids
 and starts. `read_tokens` looks up single tokens of all files; format "dac" reads whole documents.
 
-Documents are sorted by id over range partitions, equal ids by number of tokens, then check sum, then a place of their own, so that
-repeated rows spread over tasks. Each task writes files of bounded size. Which files count, and how many tokens come
+Documents are dealt to range partitions and sorted by id, equal ids by a hash of the text, then a place of their own, so that
+repeated rows spread over tasks. Each task encodes its documents and writes files of bounded size. Which files count, and how many tokens come
 before each, is in a manifest that the commit of the write puts in place, so files of lost or repeated tasks are
 never read. Paths are local ones shared by all machines, or of any file system that Arrow knows.
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tarnwick.llm.common import _SAVED, dropped, prepare, saved, table
+from tarnwick.llm.common import _SAVED, prepare, table
 from tarnwick.llm.word_ids import WordIds
 
 TOKENIZER, END = "word_bpe_49k.json", 2
@@ -262,38 +261,37 @@ def _encoded(path: str, end: int):
     def run(batches):
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordIds(path)
-        words, place = _TOKENIZERS[path], TaskContext.get().partitionId() << 40
+        words = _TOKENIZERS[path]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids, counts = words.encode(part.column("text").to_pylist())
-                ends = np.cumsum(counts)
-                with_end = np.insert(ids, ends, end)
+                with_end = np.insert(ids, np.cumsum(counts), end)
+                ends = np.cumsum(counts + 1)
                 kind = "<u2" if with_end.max(initial=0) < 1 << 16 else "<u4"
-                ends += np.arange(1, len(ends) + 1)
-                rows = [with_end[a:b] for a, b in zip((ends - counts - 1).tolist(), ends.tolist(), strict=True)]
-                crc = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts + 1), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary()), pa.array(crc, pa.int64()), pa.array(place + np.arange(part.num_rows))], names=["doc_id", "n_tokens", "ids", "crc", "place"])
-                place += part.num_rows
+                rows = [with_end[a:b].astype(kind).tobytes() for a, b in zip((ends - counts - 1).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts + 1), pa.array(rows, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END) -> DataFrame:
-    """(doc_id, n_tokens, ids, crc, place) of every row: ids with the end id, their CRC-32 as 32-bit integers, and a place to deal rows by."""
+    """(doc_id, n_tokens, ids) of every row in the order of docs: ids with the end id, as little-endian 16-bit integers where they fit, else 32-bit ones."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(_encoded(path or tokenizer_path(), end), "doc_id long, n_tokens long, ids binary, crc long, place long")
+    return src.mapInArrow(_encoded(path or tokenizer_path(), end), "doc_id long, n_tokens long, ids binary")
 
 
-def write_tokens(tokens: DataFrame, path: str) -> None:
-    """Writes rows of token_ids, materialised, as dac files in ascending doc_id order."""
-    spark = tokens.sparkSession
+def write_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end: int = END) -> None:
+    """Writes the ids of every row as dac files in ascending id order. Texts are shuffled once, and nothing else is kept between."""
+    spark = prepare(docs.sparkSession)
     spark.dataSource.register(DacSource)
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * FILE_TOKENS)))
-    keys = [F.col("doc_id").asc_nulls_first(), "n_tokens", "crc", "place"]
-    tokens.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "ids").write.format("dac").mode("append").save(path)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), src.rdd.getNumPartitions())
+    keys = [F.col("doc_id").asc_nulls_first(), "h", "place"]
+    placed = src.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    token_ids(ordered, path=tokenizer, end=end).write.format("dac").mode("append").save(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -331,11 +329,10 @@ def read_tokens(places: DataFrame, path: str, place_col: str = "place") -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = saved(token_ids(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     _SAVED[path] = spark
-    write_tokens(tokens, path)
-    dropped(tokens)
+    write_documents(docs, path)
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

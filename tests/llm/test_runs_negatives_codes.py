@@ -141,17 +141,18 @@ def test_dac_rows(spark, tmp_path, monkeypatch):
     spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("place", "crc", "ids", "n_tokens", "start")}).write.parquet(str(tmp_path / "documents.parquet"))
     lib = word_ids.WordIds(dac_output.tokenizer_path()).lib
     start, want, all_ids = 0, [], []
-    for i, t in sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""))):
+    in_order = spark.createDataFrame(texts, "i long, t string").orderBy(F.col("i").asc_nulls_first(), F.xxhash64("t")).collect()
+    for i, t in in_order:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
         all_ids += ids
     assert sorted(map(tuple, dac_output.query(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
-    tokens = dac_output.token_ids(spark.read.parquet(str(tmp_path / "documents.parquet")))
-    dac_output.write_tokens(tokens, str(tmp_path / "out"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    dac_output.write_documents(docs, str(tmp_path / "out"))
     got = dac_output.read_tokens(spark.range(-3, start + 3, 7), str(tmp_path / "out"), "id").collect()
     assert all(r.token == (all_ids[r.place] if 0 <= r.place < start else None) for r in got) and len(got) == len(range(-3, start + 3, 7))
     with pytest.raises(Exception, match="written already"):
-        dac_output.write_tokens(tokens, str(tmp_path / "out"))
+        dac_output.write_documents(docs, str(tmp_path / "out"))
     spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert dac_output.query(spark, str(tmp_path)).collect() == []
