@@ -8,8 +8,10 @@ several stops the k vectors ahead are scored exactly; a query ends as soon as fe
 that bound, and those are scored exactly. The queries are a stated set and meet all vectors block by block; each vector block
 is read once for all queries as long as these take up to SENT bytes.
 
-Defined results: null vectors and vectors with a null or non-finite component, or one of 2 ** 20 or more in size, whose scores need not
-fit a long, take no part, as query or candidate;
+Scores are exact whatever the components' size: where doubles would round, sums are made of two halves, bounds get room for
+their rounding, and members are scored in longs. A component or a score that fits no long is an error.
+
+Defined results: null vectors and vectors with a null or non-finite component take no part, as query or candidate;
 shorter vectors count as filled up with zeros; a query meets no row of its own id; every other row is a candidate, repeated ones too;
 repeated equal rows are one query; rows of one id with different vectors are queries whose results are ranked together; empty vectors
 score 0; an empty table gives an empty result.
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm.common import prepare, saved, spread, table
+from tarnwick.llm.int_vectors import DOUBLE, LONG, scores, sizes
 
 K, SCALE, EVERY = 5, 256, 50
 BLOCK, QUERIES = 16_384, 1024
@@ -32,8 +35,6 @@ SENT = 32 << 20
 STEP = 8
 #: Shares of the postings after which a query looks whether it can end: when scoring the possible members exactly takes half the products left.
 STOPS = (0.2, 0.3, 0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 1.0)
-#: Largest component, before scaling, of a vector that takes part.
-LARGEST = 1 << 20
 
 
 def _blocks(size: int):
@@ -78,14 +79,15 @@ class ImpactIndex:
         new = np.ones(len(row), bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
         self.at = np.append(np.flatnonzero(new), len(row))
-        self.rows, self.values = row.astype(np.int32), value.astype(np.float64)
+        self.rows, self.values = row.astype(np.int32), value
+        self.largest = float(sizes(x).max(initial=0))
         self.dim, self.down = key[0, new], key[1, new]
         self.size = np.maximum.reduceat(np.abs(value), self.at[:-1]) if len(row) else np.zeros(0, np.int64)
         self.products = self.early = 0
 
     def _plan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Segments by falling weight, and what those from each place on can add to, or take from, a score at most."""
-        weight = np.abs(q[self.dim]) * self.size.astype(np.float64)
+        weight = sizes(q[self.dim]) * self.size.astype(np.float64)
         order = np.argsort(-weight, kind="stable")
         order = order[weight[order] > 0]
         w = weight[order]
@@ -104,40 +106,56 @@ class ImpactIndex:
         rest = []
         for side in (up, ~up):
             start = (w * (first & side)).sum()
-            rest.append(np.append(start, start - np.cumsum(np.where(side, w - after, 0.0))))
+            rest.append(np.append(start, start - np.cumsum(np.where(side, w - after, 0.0))) + start * (len(order) + 8) * 2.0**-51)
         return order, np.maximum(*rest) * (1 + 1e-9) + 1e-6
 
+    def _sums(self, pick: np.ndarray, weights: np.ndarray, exact: bool) -> np.ndarray:
+        """Sum by row of the picked values times weights: in doubles where these are exact, else of two halves of each product."""
+        n = len(self.ids)
+        if exact:
+            return np.bincount(self.rows[pick], weights=self.values[pick] * weights, minlength=n)
+        products = self.values[pick] * weights
+        high, low = (np.bincount(self.rows[pick], weights=h, minlength=n) for h in (products >> 31, products & 0x7FFFFFFF))
+        return (high.astype(np.int64) << 31) + low.astype(np.int64)
+
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(vec ids, scores) of the query's k best rows in this block, ties to the smaller id."""
         n, width = self.x.shape
+        whole = q
         q = np.concatenate([q, np.zeros(max(0, width - len(q)), np.int64)])[:width]
         allowed = self.ids != query_id
         few = max(4 * k, n // 64)
         members = np.flatnonzero(allowed)
-        if len(members) > few:
+        most = self.largest * float(sizes(q).max(initial=0)) * width  # no sum of absolute products is larger
+        if len(members) > few and most < LONG / 4:
             order, rest = self._plan(q)
-            score = np.where(allowed, 0.0, -np.inf)
-            done, ends = 0, np.cumsum((self.at[1:] - self.at[:-1])[order])
+            exact = most < DOUBLE
+            if not exact:
+                rest = rest + most * 2.0**-50  # scores and the bar are rounded when they are compared
+            lengths = self.at[1:] - self.at[:-1]
+            score = np.zeros(n, np.float64 if exact else np.int64)
+            done, ends = 0, np.cumsum(lengths[order])
             for share in STOPS:
                 to = int(np.searchsorted(ends, share * ends[-1])) + 1 if len(ends) else 0
                 to = min(to, len(order))
                 if to > done:
                     some = order[done:to]
-                    pick = spread((self.at[1:] - self.at[:-1])[some]) + np.repeat(self.at[some], (self.at[1:] - self.at[:-1])[some])
-                    score += np.bincount(self.rows[pick], weights=self.values[pick] * np.repeat(q[self.dim[some]], (self.at[1:] - self.at[:-1])[some]), minlength=n)
+                    pick = spread(lengths[some]) + np.repeat(self.at[some], lengths[some])
+                    score += self._sums(pick, np.repeat(q[self.dim[some]], lengths[some]), exact)
                     self.products += len(pick)
                     done = to
-                ahead = np.argpartition(-score, k - 1)[:k]
+                reached = np.where(allowed, score.astype(np.float64), -np.inf)
+                ahead = np.argpartition(-reached, k - 1)[:k]
                 bar = (self.x[ahead[allowed[ahead]]] @ q).min()
                 self.products += k * width
-                if done < len(order) and score.max() + rest[done] < bar:
+                if done < len(order) and reached.max() + rest[done] < bar:
                     raise AssertionError("a bound was broken")
-                members = np.flatnonzero(score + rest[done] >= bar)
+                members = np.flatnonzero(reached + rest[done] >= float(bar))
                 left = int(ends[-1] - ends[done - 1]) if done else 0
                 if len(members) <= few or 2 * len(members) * width <= left or done == len(order):
                     self.early += done < len(order)
                     break
-        exact = self.x[members] @ q
+        exact = scores(self.x[members], whole[None, :])[:, 0] if most >= LONG / 4 else self.x[members] @ q
         self.products += len(members) * width
         if len(members) > 4 * k:  # all ties of the k-th score stay
             bar = np.partition(exact, len(members) - k)[len(members) - k]
@@ -186,7 +204,7 @@ def _search_paired(k: int):
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, e): components floor(scale * x) of the vectors that take part."""
-    fit = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < " + str(LARGEST) + ")"
+    fit = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(fit).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("e"))
 
 

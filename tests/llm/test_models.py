@@ -12,7 +12,7 @@ from tarnwick.llm import html_mincut, impact_topk, quality_bt, toxicity_kn
 def test_top_k(spark, tmp_path):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 16).astype(np.float32)]) for i in range(300)]
-    rows += [(400, None), (450, [0.1, None] * 8), (500, [float("nan")] * 16), (550, [float("inf")] * 16), (600, rows[3][1]), (650, rows[3][1]), (700, []), (750, [0.5, -0.25])]
+    rows += [(400, None), (450, [0.1, None] * 8), (500, [float("nan")] * 16), (550, [float("inf")] * 16), (600, rows[3][1]), (650, rows[3][1]), (700, []), (750, [0.5, -0.25]), (800, [3.0e6] * 16), (801, [2.0**21] + [0.0] * 15)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted((q.query_id, q.rank, q.vec_id, q.score) for q in impact_topk.query(spark, str(tmp_path)).collect())
     fit = {i: [int(np.floor(256 * float(np.float32(x)))) for x in e] for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)}
@@ -267,6 +267,24 @@ def test_impact_order_ends_early():
     assert index.products < 0.9 * 100 * x.size
 
 
+@pytest.mark.parametrize("bits", [21, 28, 29, 58])
+def test_large_components_are_exact(bits):
+    """Near ties of components far beyond doubles' exact sums, and sums that only Python's integers hold on the way."""
+    r = np.random.default_rng(bits)
+    base = r.integers(-(1 << bits), 1 << bits, 16)
+    x = base + r.integers(-2, 3, (900, 16)) * (1 if bits < 58 else 0)
+    x[:, 0] += r.integers(-3, 4, 900)
+    x[::2] *= -1 if bits < 58 else 1
+    q = np.concatenate([[3, -3], r.integers(-2, 3, 14)]) if bits == 58 else base
+    ids = r.permutation(900).astype(np.int64)
+    index = impact_topk.ImpactIndex(ids, x)
+    exact = [sum(a * b for a, b in zip(row, q.tolist(), strict=True)) for row in x.tolist()]
+    got = list(zip(*(a.tolist() for a in index.top(int(ids[0]), q, 5)), strict=True))
+    assert got == [(int(ids[j]), exact[j]) for j in sorted(range(1, 900), key=lambda j: (-exact[j], ids[j]))[:5]]
+    with pytest.raises(OverflowError):
+        impact_topk.ImpactIndex(ids[:9], np.full((9, 2), 1 << 62)).top(-1, np.array([2, 2]), 5)
+
+
 def test_query_blocks_beyond_the_bound(spark, monkeypatch):
     r = np.random.default_rng(4)
     v = spark.createDataFrame([(i, [int(a) for a in r.integers(-99, 99, 8)]) for i in range(200)], "vec_id long, e array<long>").repartition(3)
