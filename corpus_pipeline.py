@@ -15,11 +15,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm import bestfit_pack, count_rtree, debruijn_spans, line_suffix, quality_bt
-from tarnwick.llm.common import prepare
+from tarnwick.llm import bestfit_pack, common, count_rtree, debruijn_spans, line_suffix, quality_bt
 from tarnwick.sources.store import Files
 
 
+#: Bytes of text that Spark hands to a Python worker at a time: what a batch of long texts takes beside the heap stays small.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return common.prepare(spark)
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
