@@ -77,11 +77,17 @@ class Engine:
     def documents(self) -> DataFrame:
         return self._read("documents", "document_id string, dataset_id string, name string, source_path string, content string, size_bytes long, chunk_count long, has_vector boolean, metadata string, created_at string")
 
-    def upload(self, docs: DataFrame, dataset_id: str, hierarchical: str = "false", size: int = chunking.CHUNK, overlap: int = chunking.OVERLAP, skip_embedding: bool = False) -> int:
-        """Put documents (document_id, content, and name, source_path, metadata if there are) in place of those of the same ids; the number of chunks."""
+    def upload(self, docs: DataFrame, dataset_id: str, hierarchical: str = "false", size: int = chunking.CHUNK, overlap: int = chunking.OVERLAP, skip_embedding: bool = False, pipeline: str = "default") -> int:
+        """Put documents (document_id, content, and name, source_path, metadata if there are) in place of those of the same ids; the number of chunks.
+
+        Indexing settings of the pipeline's profile win over the caller's; a profile with knowledge has the triples of the new documents extracted
+        too, where an extractor and an embedder are there. Texts are stored whole.
+        """
+        profile = self.pipeline(pipeline)
+        hierarchical, size, overlap, skip_embedding = ({"hierarchical": hierarchical, "size": size, "overlap": overlap, "skip_embedding": skip_embedding} | profile["indexing"]).values()
         have = docs.columns
         text = lambda c, other: F.col(c).cast("string") if c in have else other
-        rows = docs.select(F.col("document_id").cast("string").alias("document_id"), F.lit(dataset_id).alias("dataset_id"), text("name", F.col("document_id").cast("string")).alias("name"), text("source_path", F.lit("")).alias("source_path"), F.substring(F.coalesce("content", F.lit("")), 1, files.MAX_CHARS).alias("content"), text("metadata", F.lit("{}")).alias("metadata")).dropDuplicates(["document_id"]).checkpoint()
+        rows = docs.select(F.col("document_id").cast("string").alias("document_id"), F.lit(dataset_id).alias("dataset_id"), text("name", F.col("document_id").cast("string")).alias("name"), text("source_path", F.lit("")).alias("source_path"), F.coalesce("content", F.lit("")).alias("content"), text("metadata", F.lit("{}")).alias("metadata")).dropDuplicates(["document_id"]).checkpoint()
         if hierarchical in ("true", "full"):
             chunks = chunking.hierarchical(rows, "full" if hierarchical == "full" else "normal")
         else:
@@ -102,6 +108,8 @@ class Engine:
         self.store.append("documents", table, rows)
         if replaced:
             self.graph.mark_dirty()
+        if profile["knowledge"] and self.extractor is not None and self.embed is not None:
+            self._index_knowledge(chunks)
         return chunks.count()
 
     def upload_files(self, path: str, dataset_id: str, **options) -> DataFrame:
@@ -149,7 +157,8 @@ class Engine:
     # Search -----------------------------------------------------------------------------------------------------------
 
     def search(self, query: str, dataset_ids: list[str] | None = None, pipeline: str = "default", metadata_condition: dict | None = None, top_n: int = 12, top_k: int = 200, rrf_k: int = 60, threshold: float = 0.0, vector_similarity_weight: float | None = None, fusion_name: str = "rrf", alpha: float = 0.5, keyword: bool = True, parent_chunk_replace: bool = True, reranker: str | None = None) -> DataFrame:
-        """Ranked chunks by the pipeline's branches, fused, filtered, reranked where it says so, and cut to top_n.
+        """Ranked chunks by the pipeline's branches, fused, filtered, reranked where it says so, and cut to top_n. Equal scores keep the order of the
+        branches (keyword, semantic, graph) and of the ranks there. With graph and knowledge, associative hits and neighbours are merged into one branch.
 
         (rank, chunk_id, document_id, dataset_id, document_name, position, content, child_content, score, pre_rerank_score)
         """
@@ -158,32 +167,35 @@ class Engine:
         weight = forced.get("vector_similarity_weight", vector_similarity_weight)
         how = forced.get("fusion", fusion_name)
         top_n, top_k, rrf_k = (spec.knob(n, v) for n, v in (("top_n", top_n), ("top_k", top_k), ("rrf_k", rrf_k)))
-        branches = []
-        if keyword:
-            branches.append(self.index.search(query, dataset_ids, top_k))
+        found = {"keyword": self.index.search(query, dataset_ids, top_k)} if keyword else {}
         if self.embed is not None and self.store.has("vectors") and weight != 0.0 and query.strip():
             own = self.store.read("vectors")
             own = own if dataset_ids is None else own.where(F.col("dataset_id").isin(*dataset_ids))
-            branches.append(models.semantic_search(own, models.embed_query(query, self.embed()), top_k))
+            found["semantic"] = models.semantic_search(own, models.embed_query(query, self.embed()), top_k)
         if profile["graph"] and keyword:
-            branches.append(graph.expand_by_position(branches[0], self.index.chunks(), top_k))
-        if not branches:
-            branches = [self.index.search("", [], top_k)]
-        if how == "linear" and len(branches) > 1:
-            scored = fusion.linear(branches[0], branches[1], weight=alpha if weight is None else weight).withColumn("first", F.lit(0))
+            near = graph.expand_by_position(found["keyword"], self.index.chunks(), top_k)
+            if profile["knowledge"] and self.embed is not None and self.store.has("triples") and query.strip():
+                linked = self.knowledge_search(query, dataset_ids, top_k).chunks.select("chunk_id", "score")
+                near = lexical.ranked(fusion.hybrid_merge(linked, near, top_k), "score")
+            found["graph"] = near
+        if not found:
+            found["keyword"] = self.index.search("", [], top_k)
+        # at most top_k rows of each branch; filter and floor come before any further cut
+        if how == "linear":
+            scored = fusion.linear(found.get("keyword"), found.get("semantic"), found.get("graph"), alpha if weight is None else weight, stable=True)
         else:
-            scored = fusion.rrf(branches, rrf_k)
-        hits = self.index.chunks().join(F.broadcast(scored.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(2 * top_k)), "chunk_id")
+            scored = fusion.rrf([found[b] for b in ("keyword", "semantic", "graph") if b in found], rrf_k)
+        hits = self.index.chunks().join(F.broadcast(scored.select("chunk_id", "score", "first")), "chunk_id")
         if metadata_condition:
             hits = hits.where(catalog.metadata_of_row(hits.columns, metadata_condition))
         if threshold > 0:
             hits = fusion.floored(hits, threshold)
-        best = hits.orderBy(F.desc("score"), "chunk_id").limit(top_k)
+        best = hits.orderBy(F.desc("score"), "first").limit(3 * top_k)
         if parent_chunk_replace:
             best = chunking.parent_replace(best)
         else:
             best = best.withColumn("child_content", F.col("content"))
-        placed = lexical.ranked(best, "score")
+        placed = lexical.ranked(best, "score", key="first")
         name = reranker or profile["reranker"]
         out = models.rerank(placed, query, self.rerankers.get(name) if name else None, top_n)
         return out.select("rank", "chunk_id", "document_id", "dataset_id", "document_name", "position", "content", "child_content", "score", "pre_rerank_score")
@@ -210,7 +222,9 @@ class Engine:
             raise RuntimeError("an extractor and an embedder are needed")
         c = self.index.chunks()
         c = c if dataset_id is None else c.where(F.col("dataset_id") == dataset_id)
-        c = c if document_id is None else c.where(F.col("document_id") == document_id)
+        return self._index_knowledge(c if document_id is None else c.where(F.col("document_id") == document_id))
+
+    def _index_knowledge(self, c: DataFrame) -> dict[str, int]:
         ids = c.select("document_id").distinct().checkpoint()
         cache = self.store.read("extractions") if self.store.has("extractions") else None
         raw = knowledge.extract_triples(c, self.extractor, cache).checkpoint()
@@ -302,7 +316,7 @@ class Engine:
 
     def health(self) -> dict:
         rows = {t: self.store.read(t).count() if self.store.has(t) else 0 for t in ("datasets", "documents", "vectors", "triples")}
-        return {"status": "ok", "tables": rows | {"chunks": self.store.notes.get("n", self.index.store.notes.get("n", 0))}, "vectors_configured": self.embed is not None, "graph_dirty": self.graph.dirty}
+        return {"status": "ok", "tables": rows | {"chunks": int(self.index.figures()[0])}, "vectors_configured": self.embed is not None, "graph_dirty": self.graph.dirty}
 
     def benchmark(self, queries: DataFrame, qrels: DataFrame, pipelines: list[str], dataset_ids: list[str] | None = None, k: int = 10) -> DataFrame:
         """Quality of pipelines over a stated set of queries (query_id, text) against qrels (query_id, doc_id, grade), with the mean seconds of a search."""
@@ -355,17 +369,31 @@ class MailBox:
             v = models.embed_documents(chunks.select("chunk_id", "document_id", "content"), self.embed, self.dims)
             self.store.append("vectors", v.select("chunk_id", "document_id", "vector"), m.withColumnRenamed("mail_id", "document_id"))
 
-    def search(self, query: str, top_n: int = 12, only: DataFrame | None = None, **filters) -> DataFrame:
-        """(rank, mail_id, score, …): full-text hits beside their mail, blended with vectors if there are; only: a table of mail_id, filters: those of `mail.candidates`."""
+    def search(self, query: str, top_n: int = 12, only: DataFrame | None = None, mode: str = "hybrid", alpha: float = 0.5, **filters) -> DataFrame:
+        """(rank, mail fields, score, score_keyword, score_semantic, snippet): hits beside their mail.
+
+        only: a table of mail_id, filters: those of `mail.candidates`. They restrict what is searched, before any cut: each branch gives its 4 * top_n best
+        of the mail that passes. mode is hybrid, keyword or semantic; without an embedder only words count, whatever the mode.
+        Hybrid scores are alpha of the words' and the rest of the vectors'. Ties go to the smaller id.
+        """
+        if mode not in ("hybrid", "keyword", "semantic"):
+            raise ValueError(f"unknown mode {mode}")
         kept = M.candidates(self.mail(), **filters)
         kept = kept if only is None else kept.join(only.select("mail_id"), "mail_id", "left_semi")
-        words = self.index.search(query)
-        if self.embed is not None and self.store.has("vectors"):
-            scored = fusion.mail_blend(words, models.semantic_search(self.store.read("vectors"), models.embed_query(query, self.embed())))
+        free = only is None and not any(filters.values())
+        ids = None if free else kept.select(F.col("mail_id").alias("document_id"))
+        embedded = self.embed is not None and self.store.has("vectors")
+        words = self.index.search(query if mode != "semantic" or not embedded else "", None, 4 * top_n, ids)
+        if embedded:
+            own = self.store.read("vectors")
+            near = models.semantic_search(own if free else own.join(ids, "document_id", "left_semi"), models.embed_query(query, self.embed()), 4 * top_n) if mode != "keyword" and query.strip() else words.limit(0)
+            scored = fusion.mail_blend(words, near, alpha, mode)
         else:
-            scored = words.select("chunk_id", "score")
-        hits = kept.join(F.broadcast(scored.select(F.expr("substring(chunk_id, 1, length(chunk_id) - 2)").alias("mail_id"), "score")), "mail_id")
-        return lexical.ranked(hits.orderBy(F.desc("score"), "mail_id").limit(top_n), "score", key="mail_id")
+            scored = words.select("chunk_id", "score", F.col("score").alias("kw"), F.lit(0.0).alias("sem"))
+        named = scored.select(F.expr("substring(chunk_id, 1, length(chunk_id) - 2)").alias("mail_id"), "score", F.col("kw").alias("score_keyword"), F.col("sem").alias("score_semantic"))
+        hits = kept.join(F.broadcast(named), "mail_id").orderBy(F.desc("score"), "mail_id").limit(top_n)
+        marked = lexical.snippet(F.coalesce("body", F.lit("")), T.query_words(query), 12, gap=" \u2026 ")
+        return lexical.ranked(hits, "score", key="mail_id").withColumn("snippet", F.when(F.col("score_keyword") > 0, marked).otherwise(F.lit("")) if embedded else marked)
 
     def list_mails(self, folder: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         m = self.mail() if folder is None else self.mail().where(F.col("folder") == folder)

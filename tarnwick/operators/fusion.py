@@ -31,24 +31,30 @@ def rrf(branches: list[DataFrame], k: int = 60) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.round(F.sum("s"), 6).alias("score"), F.min("first").alias("first"))
 
 
-def linear(keyword: DataFrame, vector: DataFrame, graph: DataFrame | None = None, weight: float = 0.5, bonus: float = 0.2) -> DataFrame:
-    """(chunk_id, kw, sem, graph, score): (1 - w) kw + w sem + bonus graph over the union of branches."""
-    w = min(1.0, max(0.0, weight))
-    rows = normalize_keyword(keyword).select("chunk_id", F.col("norm").alias("kw"), F.lit(0.0).alias("sem"), F.lit(0.0).alias("graph"))
-    rows = rows.unionByName(vector.select("chunk_id", F.lit(0.0).alias("kw"), semantic(F.col("score")).alias("sem"), F.lit(0.0).alias("graph")))
-    if graph is not None:
-        rows = rows.unionByName(graph.select("chunk_id", F.lit(0.0).alias("kw"), F.lit(0.0).alias("sem"), clamped(F.col("score")).alias("graph")))
-    one = rows.groupBy("chunk_id").agg(F.max("kw").alias("kw"), F.max("sem").alias("sem"), F.max("graph").alias("graph"))
+def linear(keyword: DataFrame | None, vector: DataFrame | None, graph: DataFrame | None = None, weight: float = 0.5, bonus: float = 0.2, stable: bool = False) -> DataFrame:
+    """(chunk_id, kw, sem, graph, score): (1 - w) kw + w sem + bonus graph over the union of branches, each of which may be missing.
+
+    stable adds `first`, the first branch (keyword, vector, graph) that has the row and its rank there, for stable ties.
+    """
+    w, rows = min(1.0, max(0.0, weight)), None
+    norm = {"kw": lambda b: normalize_keyword(b), "sem": lambda b: b.withColumn("norm", semantic(F.col("score"))), "graph": lambda b: b.withColumn("norm", clamped(F.col("score")))}
+    for i, (name, branch) in enumerate((("kw", keyword), ("sem", vector), ("graph", graph))):
+        if branch is not None:
+            first = F.struct(F.lit(i).alias("branch"), F.col("rank").alias("rank") if stable else F.lit(0).alias("rank")).alias("first")
+            one = norm[name](branch).select("chunk_id", *[(F.col("norm") if c == name else F.lit(0.0)).alias(c) for c in norm], first)
+            rows = one if rows is None else rows.unionByName(one)
+    one = rows.groupBy("chunk_id").agg(F.max("kw").alias("kw"), F.max("sem").alias("sem"), F.max("graph").alias("graph"), F.min("first").alias("first"))
     total = (1 - w) * F.col("kw") + w * F.col("sem") + bonus * F.col("graph")
-    return one.select("chunk_id", F.round("kw", 6).alias("kw"), F.round("sem", 6).alias("sem"), F.round("graph", 6).alias("graph"), F.round(total, 6).alias("score"))
+    return one.select("chunk_id", F.round("kw", 6).alias("kw"), F.round("sem", 6).alias("sem"), F.round("graph", 6).alias("graph"), F.round(total, 6).alias("score"), *(["first"] if stable else []))
 
 
 def mail_blend(keyword: DataFrame, vector: DataFrame, alpha: float = 0.5, mode: str = "hybrid") -> DataFrame:
-    """(chunk_id, score): alpha kw + (1 - alpha) sem; a lone keyword hit is 0 here. Modes `keyword` and `semantic` set alpha to 1 and 0."""
+    """(chunk_id, score, kw, sem): alpha kw + (1 - alpha) sem; a lone keyword hit is 0 here. Modes `keyword` and `semantic` set alpha to 1 and 0."""
     a = {"keyword": 1.0, "semantic": 0.0}.get(mode, min(1.0, max(0.0, alpha)))
     kw = normalize_keyword(keyword, lone=0.0).select("chunk_id", F.col("norm").alias("kw"), F.lit(0.0).alias("sem"))
     rows = kw.unionByName(vector.select("chunk_id", F.lit(0.0).alias("kw"), semantic(F.col("score")).alias("sem")))
-    return rows.groupBy("chunk_id").agg(F.round(a * F.max("kw") + (1 - a) * F.max("sem"), 6).alias("score"))
+    both = rows.groupBy("chunk_id").agg(F.max("kw").alias("kw"), F.max("sem").alias("sem"))
+    return both.select("chunk_id", F.round(a * F.col("kw") + (1 - a) * F.col("sem"), 6).alias("score"), F.round("kw", 6).alias("kw"), F.round("sem", 6).alias("sem"))
 
 
 def first_wins(branches: list[DataFrame], key: str = "chunk_id") -> DataFrame:

@@ -23,12 +23,16 @@ class Index:
     """chunks (chunk_id, document_id, dataset_id, position, content, ...) and their postings under a folder.
 
     Postings (bucket, term, chunk_id, document_id, dataset_id, tf, dl) lie in a folder for each bucket of terms, sorted by term,
-    so a search reads few row groups of few files, whatever the size of the corpus. Updates append a segment and end
-    the old rows of their documents; the number of chunks and their mean length are kept beside, `compact` merges.
+    so a search reads few row groups of few files, whatever the size of the corpus. An update writes its own rows and what of them ends, and
+    counts from one commit: chunks, postings and figures change together or not at all. The number of chunks and the sum of
+    their lengths are sums over commits: each adds those of its own rows and takes off those of the rows it ends, which it looks up in
+    `lengths` (part, document_id, n, length), in the parts of its documents only. `compact` merges.
     """
 
+    TABLES = ("chunks", "postings", "lengths")
+
     def __init__(self, spark: SparkSession, root: str, analyzer: Callable[[Column], Column] = T.words):
-        self.store = Store(spark, root, {"chunks": "document_id", "postings": "document_id"})
+        self.store = Store(spark, root, dict.fromkeys(self.TABLES, "document_id"))
         self.spark, self.analyzer = spark, analyzer
 
     def exists(self) -> bool:
@@ -41,30 +45,50 @@ class Index:
         # a bucket is a folder; a part of its chunks each keeps a common term's rows in several tasks
         return counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
 
+    def _written(self, chunks: DataFrame, gone: DataFrame | None) -> list[dict]:
+        """Operations that add chunks, their postings and lengths, and end those of the documents in gone."""
+        first = self.store.written("chunks", chunks, gone)
+        mine = self.store.rows_of(first)
+        size = F.greatest(F.size(self.analyzer(F.col("content"))), F.lit(0)).cast("long")
+        lengths = mine.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(size).alias("length")).withColumn("part", bucket_of(F.col("document_id")))
+        second = self.store.written("lengths", lengths.repartition("part"), gone, ("part",))
+        total = self.store.rows_of(second).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
+        second["figures"] = {"n": total.n or 0, "length": total.length or 0}
+        return [first, self.store.written("postings", self._postings(mine), gone, ("bucket",)), second]
+
+    def _without(self, state, gone: DataFrame) -> dict[str, int]:
+        """Figures of the rows that a commit on top of state ends, as what they add: nothing or less. Only their parts of `lengths` are read."""
+        if not state.tables.get("lengths", {}).get("segments"):
+            return {"n": 0, "length": 0}
+        parts = [r.part for r in gone.select(bucket_of(F.col("document_id")).alias("part")).distinct().collect()]  # BUCKETS at most
+        old = self.store.read("lengths", state).where(F.col("part").isin(*parts)).join(gone, "document_id", "left_semi").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
+        return {"n": -(old.n or 0), "length": -(old.length or 0)}
+
     def write(self, chunks: DataFrame) -> None:
         """Start anew with these chunks."""
-        self.store.replace("chunks", chunks)
-        self.store.replace("postings", self._postings(self.store.read("chunks")), ("bucket",))
-        self._measure()
+        made = self._written(chunks, None)
+        figures = made[2].pop("figures")
+        self.store.commit(lambda now: [*[o | {"kind": "replace", "drop": sorted(now.folders(o["table"]))} for o in made], {"kind": "note", "facts": figures}])
 
     def upsert(self, chunks: DataFrame, documents: DataFrame | None = None) -> None:
         """Put the chunks in place of all old ones of their documents, and of the documents named."""
         ids = chunks.select("document_id").distinct()
         ids = ids if documents is None else ids.unionByName(documents.select("document_id")).distinct()
-        if not self.exists():
-            self.write(chunks)
-            return
-        n = self.store.append("chunks", chunks, ids)
-        mine = self.spark.read.schema(chunks.schema).parquet(f"{self.store.root}/chunks/{n}")
-        self.store.append("postings", self._postings(mine), self.spark.read.parquet(f"{self.store.root}/chunks/gone-{n}").withColumnRenamed("key", "document_id"), ("bucket",))
-        self._measure()
+        ids = ids.checkpoint()
+        made = self._written(chunks, ids)
+        own = made[2]["figures"]
+
+        def operations(now):
+            lost = self._without(now, ids)
+            return [*made[:2], made[2] | {"figures": {k: own[k] + lost[k] for k in own}}]
+
+        self.store.commit(operations)
 
     def delete(self, documents: DataFrame) -> None:
         if self.exists():
-            ids = documents.select("document_id").distinct()
-            self.store.end("chunks", ids)
-            self.store.end("postings", ids)
-            self._measure()
+            ids = documents.select("document_id").distinct().checkpoint()
+            made = [self.store.written(t, None, ids) for t in self.TABLES]
+            self.store.commit(lambda now: [*made[:2], made[2] | {"figures": self._without(now, ids)}])
 
     def delete_chunks(self, chunk_ids: list[str]) -> None:
         """End single chunks: what their documents keep is written again."""
@@ -74,12 +98,15 @@ class Index:
         self.upsert(left.checkpoint(), touched.checkpoint())
 
     def compact(self) -> None:
-        self.store.compact("chunks")
-        self.store.compact("postings", ("bucket",))
+        """Merge segments. Updates that others commit meanwhile stay."""
+        make = [self.store.replacing(t, lambda rows: rows, by) for t, by in (("chunks", ()), ("postings", ("bucket",)), ("lengths", ("part",)))]
+        self.store.commit(lambda now: [m(now) for m in make])
 
-    def _measure(self) -> None:
-        r = self.chunks().select(F.size(self.analyzer(F.col("content"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-        self.store.note(n=r.n, avgdl=r.avgdl or 0.0)
+    def figures(self) -> tuple[float, float]:
+        """The number of chunks and their mean length."""
+        notes = self.store.notes
+        n = notes.get("n", 0)
+        return float(n), notes.get("length", 0) / n if n else 0.0
 
     def chunks(self) -> DataFrame:
         return self.store.read("chunks")
@@ -92,20 +119,26 @@ class Index:
         buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()]
         return self.postings().where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
 
-    def search(self, query: str, datasets: list[str] | None = None, top_k: int = 200) -> DataFrame:
-        """(chunk_id, score, rank) of chunks that hold all query words by BM25, best first, ties by id; corpus figures cover all chunks, the dataset filter applies to results."""
+    def search(self, query: str, datasets: list[str] | None = None, top_k: int = 200, only: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, score, rank) of chunks that hold all query words by BM25, best first, ties by id.
+
+        Corpus figures cover all chunks. The dataset filter, and `only`, a table of the document_ids that may be found, restrict the postings before
+        anything is ranked, so the cut at top_k is among what passes.
+        """
         terms = T.query_words(query)
         none = self.spark.createDataFrame([], "chunk_id string, score double, rank int")
         if not terms or datasets == [] or not self.exists():
             return none
-        rows, facts = self.of_terms(terms), self.store.notes
+        rows, (n, mean) = self.of_terms(terms), self.figures()
         tf = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
         seen = rows.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         df = seen.agg(*[F.max(F.when(F.col("term") == t, F.col("df"))).alias(f"df{i}") for i, t in enumerate(terms)])
-        hits = (rows if datasets is None else rows.where(F.col("dataset_id").isin(*datasets))).groupBy("chunk_id").agg(F.max("dl").cast("double").alias("dl"), *tf)
+        passing = rows if datasets is None else rows.where(F.col("dataset_id").isin(*datasets))
+        passing = passing if only is None else passing.join(only.select("document_id"), "document_id", "left_semi")
+        hits = passing.groupBy("chunk_id").agg(F.max("dl").cast("double").alias("dl"), *tf)
         hits = hits.where(" and ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(df))
-        length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(facts["avgdl"]))
-        score = sum((_idf(F.lit(float(facts["n"])), F.col(f"df{i}")) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length) for i in range(len(terms))), F.lit(0.0))
+        length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
+        score = sum((_idf(F.lit(n), F.col(f"df{i}")) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length) for i in range(len(terms))), F.lit(0.0))
         return ranked(hits.select("chunk_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k), "score")
 
     def search_many(self, queries: DataFrame, top_k: int = 10, most: int = 100_000) -> DataFrame:
@@ -120,7 +153,7 @@ class Index:
         small = terms.limit(most + 1).count() <= most
         sent = F.broadcast if small else (lambda x: x)
         used = self.postings().join(sent(terms.select("term").distinct()), "term", "left_semi")
-        n, avgdl = float(self.store.notes["n"]), self.store.notes["avgdl"]
+        n, avgdl = self.figures()
         weight = used.groupBy("term").agg(_idf(F.lit(n), F.count("*").cast("double")).alias("idf"))
         asked = terms.join(weight, "term")
         part = used.join(sent(asked), "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))).alias("s"))

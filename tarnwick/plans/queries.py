@@ -934,27 +934,91 @@ _MAILS = f"""{_MAIL.replace("'Event ' || event_type AS subject,", "'Event ' || e
 tokens AS (SELECT CAST(mail_id AS VARCHAR) || ':0' AS chunk_id, folder AS dataset_id, regexp_extract_all(lower(subject || chr(10) || sender || chr(10) || body), '[\\p{{L}}\\p{{N}}]+') AS w FROM mail)"""
 
 
-@query(f"WITH {_bm25(q='event user7').replace(TOKENS, _MAILS)} SELECT mail_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT CAST(m.mail_id AS VARCHAR) AS mail_id, k.score, row_number() OVER (ORDER BY k.score DESC, CAST(m.mail_id AS VARCHAR)) AS i FROM kw k JOIN mail m ON k.chunk_id = CAST(m.mail_id AS VARCHAR) || ':0' WHERE received >= '2024-01-05') WHERE i <= 12")
+def _mail_hits(keep: str, q: str = "event user7", top: int = 12) -> str:
+    """The filter comes before the limit."""
+    return f"WITH {_bm25(where=f'chunk_id IN (SELECT CAST(mail_id AS VARCHAR) || chr(58) || 0 FROM mail WHERE {keep})', k=top, q=q).replace(TOKENS, _MAILS)} SELECT left(chunk_id, length(chunk_id) - 2) AS mail_id, score, rank FROM kw"
+
+
+def _box(spark, d):
+    from tarnwick.engine import MailBox
+
+    at = f"{_folder(spark)}/mail-{_state(spark, d, 'events')}"
+    box = MailBox(spark, at)
+    if not box.index.exists():
+        m = _mail(spark, d).drop("props")
+        box.ingest(m)
+        box.ingest(m.where("mail_id % 3 = 0"))
+    return box
+
+
+@query(_mail_hits("received >= '2024-01-05'"))
 def mail_index_search(spark, d):
     """Mail is upserted twice, the second time every third one again, then searched with a date bound."""
-    from tarnwick.engine import MailBox
+    return _box(spark, d).search("event User7", received_from="2024-01-05").select("mail_id", "score", "rank")
+
+
+@query(_mail_hits("lower(sender) LIKE '%user43@%' AND lower(sender) NOT LIKE '%user4@%' AND received <= '2024-01-29'", "event", 50))
+def mail_filtered_search(spark, d):
+    """A word that all mail holds, asked of one sender's mail: far fewer than a ranking of all mail would reach."""
+    return _box(spark, d).search("event", 50, like="user43@", unlike="user4@", received_to="2024-01-29").select("mail_id", "score", "rank")
+
+
+@query(_mail_hits("event_id % 97 = 3", "value", 12).replace("'Event ' || event_type AS subject,", "event_id, 'Event ' || event_type AS subject,"))
+def mail_subset_search(spark, d):
+    """A search among the mail of a table of ids."""
+    ids = _t(spark, d, "events").where("event_id % 97 = 3").select(F.col("event_id").cast("string").alias("mail_id"))
+    return _box(spark, d).search("value", only=ids).select("mail_id", "score", "rank")
+
+
+def _engine(spark, d):
+    """All documents uploaded through the engine, three sets as datasets of their own."""
+    from tarnwick.engine import Engine
 
-    box, m = MailBox(spark, _fresh(spark)), _mail(spark, d).drop("props")
-    box.ingest(m)
-    box.ingest(m.where("mail_id % 3 = 0"))
-    return box.search("event User7", received_from="2024-01-05").select("mail_id", "score", "rank")
+    e = Engine(spark, f"{_folder(spark)}/engine-{_state(spark, d, 'documents')}")
+    if e.index.store.notes.get("uploaded") is None:
+        docs = _docs(spark, d)
+        for name in _SETS:
+            e.upload(docs.where(F.col("dataset_id") == name), name)
+        e.upload(docs.where(~F.coalesce(F.col("dataset_id").isin(*_SETS), F.lit(False))).withColumn("metadata", F.concat(F.lit('{"third": '), (F.col("document_id") % 3).cast("string"), F.lit("}"))), "others")
+        e.save_pipeline("linear", {"search_kwargs": {"fusion": "linear"}, "graph": True})
+        e.index.store.note(uploaded=True)
+    return e
 
 
 @query(f"WITH {_bm25(where='dataset_id IN ' + str(tuple(_SETS)))} SELECT rank, chunk_id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM kw WHERE rank <= 12")
 def engine_search(spark, d):
     """Documents uploaded by dataset through the engine, then its search over three datasets."""
-    from tarnwick.engine import Engine
+    return _engine(spark, d).search(QUERY, _SETS).select("rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_NEAR_KW = f"{_NEXT}, w AS (SELECT chunk_id, 1.0::DOUBLE / rank AS w FROM kw WHERE rank <= 20 UNION ALL SELECT dst, 0.75::DOUBLE / rank FROM nxt JOIN kw ON src = chunk_id WHERE rank <= 20 UNION ALL SELECT src, 0.7::DOUBLE / rank FROM nxt JOIN kw ON dst = chunk_id WHERE rank <= 20), m AS (SELECT chunk_id, round(max(w), 6) AS score FROM w GROUP BY chunk_id), g AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM m)"
+
+
+@query(f"""WITH {_bm25()}, {_NEAR_KW}, b AS (SELECT chunk_id, (score - min(score) OVER ()) / (CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE max(score) OVER () - min(score) OVER () END) AS kw, 0.0 AS g, rank AS first FROM kw UNION ALL SELECT chunk_id, 0.0, least(1.0, score), 1000000 + rank FROM g),
+f AS (SELECT chunk_id, round(CAST(0.5 * max(kw) + 0.2 * max(g) AS DOUBLE), 6) AS score, min(first) AS first FROM b GROUP BY chunk_id)
+SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, first) AS INTEGER) AS rank FROM f QUALIFY rank <= 12""")
+def engine_linear_graph(spark, d):
+    """A saved profile with linear fusion and neighbours: the bonus of the graph branch, ties in the order of branches and ranks."""
+    return _engine(spark, d).search(QUERY, pipeline="linear").select("chunk_id", "score", "rank")
+
 
-    at = f"{_folder(spark)}/engine-{_state(spark, d, 'documents')}"
-    e = Engine(spark, at)
-    if not e.index.exists():
-        e.index.write(_chunks(spark, d).select(F.col("document_id").cast("string").alias("document_id"), "dataset_id", "position", "content", "chunk_id", F.col("document_id").cast("string").alias("document_name"), F.lit("{}").alias("metadata"), F.lit(False).alias("is_hierarchical"), F.lit(None).cast("string").alias("parent_content")))
-    return e.search(QUERY, _SETS).select("rank", "chunk_id", F.round("score", 6).alias("score"))
+@query(f"""WITH {_bm25()}, {_NEAR_KW}, f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(first) AS first FROM (SELECT chunk_id, rank, rank AS first FROM kw UNION ALL SELECT chunk_id, rank, 1000000 + rank FROM g) GROUP BY chunk_id)
+SELECT f.chunk_id, f.score, CAST(row_number() OVER (ORDER BY f.score DESC, first) AS INTEGER) AS rank FROM f JOIN chunks c USING (chunk_id) WHERE c.dataset_id NOT IN {tuple(_SETS)} AND c.document_id % 3 = 1 QUALIFY rank <= 30""")
+def engine_metadata_search(spark, d):
+    """Neighbours and keyword hits fused by rank over all datasets; the metadata condition holds before the cut at top_n."""
+    e = _engine(spark, d)
+    return e.search(QUERY, pipeline="hippo2", metadata_condition={"third": 1}, top_n=30).select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_bm25().replace(DOCS, _UPSERTED)} SELECT count(*) AS chunks, sum(CAST(dl AS BIGINT)) AS words, count(DISTINCT chunk_id) FILTER (chunk_id IN (SELECT chunk_id FROM kw)) AS found FROM tf")
+def index_figures(spark, d):
+    """The corpus figures of an index after an upsert and a delete: sums over commits, never measured anew."""
+    docs, ix = _docs(spark, d), Index(spark, _fresh(spark))
+    ix.write(_chunks(spark, d))
+    ix.upsert(chunking.flat(docs.where("document_id % 10 = 0").withColumn("content", F.concat(F.lit("tion thth "), "content"))), docs.where("document_id % 10 = 0"))
+    ix.delete(docs.where("document_id % 7 = 0"))
+    n, mean = ix.figures()
+    return ix.search(QUERY).agg(F.count("*").alias("found")).select(F.lit(int(n)).cast("long").alias("chunks"), F.lit(round(n * mean)).cast("long").alias("words"), "found")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' AND CAST(json_extract(props, '$.k') AS BIGINT) IN (1, 5, 69)")

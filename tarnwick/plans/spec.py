@@ -92,12 +92,12 @@ def knob(name: str, value):
     return clamp(value, low, high, default)
 
 
-#: The built-in profiles. branches of the search, settings that win over the caller's, indexing settings, reranker.
+#: The built-in profiles. Settings that win over the caller's, indexing settings, reranker, whether neighbours are a branch, whether triples are extracted and searched.
 PROFILES = {
     "default": {"search_kwargs": {"fusion": "rrf"}},
     "keyword_only": {"search_kwargs": {"vector_similarity_weight": 0.0, "fusion": "rrf"}, "indexing": {"skip_embedding": True}},
     "email": {"search_kwargs": {"fusion": "rrf"}, "indexing": {"hierarchical": "false"}},
-    "hippo2": {"search_kwargs": {"fusion": "rrf"}, "knowledge": True},
+    "hippo2": {"search_kwargs": {"fusion": "rrf"}, "graph": True, "knowledge": True},
     "rrf_rerank": {"search_kwargs": {"fusion": "rrf"}, "reranker": "cross_encoder"},
     "rrf_llm_rerank": {"search_kwargs": {"fusion": "rrf"}, "reranker": "chat"},
     "rrf_graph_rerank": {"search_kwargs": {"fusion": "rrf"}, "reranker": "cross_encoder", "graph": True},

@@ -147,10 +147,10 @@ def test_graph_store_matrix(spark, tmp_path):
     m = spark.createDataFrame([("c", "a", 1)], "chunk_id string, entity_id string, count long")
     none = spark.createDataFrame([], "a_id string, b_id string, score double")
     first = sorted(g.matrix(t, none, m).collect())
-    segment = g.store._manifest()["tables"]["matrix"]["segments"]
-    assert sorted(g.matrix(t, none, m).collect()) == first and g.store._manifest()["tables"]["matrix"]["segments"] == segment
+    segment = g.store.state().tables["matrix"]["segments"]
+    assert sorted(g.matrix(t, none, m).collect()) == first and g.store.state().tables["matrix"]["segments"] == segment
     g.matrix(t.unionByName(t.withColumn("triple_id", F.lit("t2"))), none, m)
-    assert g.store._manifest()["tables"]["matrix"]["segments"] != segment
+    assert g.store.state().tables["matrix"]["segments"] != segment
 
 
 def test_hubs_are_split(spark):
