@@ -389,11 +389,11 @@ class MailBox:
             near = models.semantic_search(own if free else own.join(ids, "document_id", "left_semi"), models.embed_query(query, self.embed()), 4 * top_n) if mode != "keyword" and query.strip() else words.limit(0)
             scored = fusion.mail_blend(words, near, alpha, mode)
         else:
-            scored = words.select("chunk_id", "score", F.col("score").alias("kw"), F.lit(0.0).alias("sem"))
-        named = scored.select(F.expr("substring(chunk_id, 1, length(chunk_id) - 2)").alias("mail_id"), "score", F.col("kw").alias("score_keyword"), F.col("sem").alias("score_semantic"))
+            scored = words.select("chunk_id", "score", F.col("score").alias("kw"), F.lit(0.0).alias("sem"), F.lit(True).alias("worded"))
+        named = scored.select(F.expr("substring(chunk_id, 1, length(chunk_id) - 2)").alias("mail_id"), "score", F.col("kw").alias("score_keyword"), F.col("sem").alias("score_semantic"), F.col("worded").alias("__worded"))
         hits = kept.join(F.broadcast(named), "mail_id").orderBy(F.desc("score"), "mail_id").limit(top_n)
         marked = lexical.snippet(F.coalesce("body", F.lit("")), T.query_words(query), 12, gap=" \u2026 ")
-        return lexical.ranked(hits, "score", key="mail_id").withColumn("snippet", F.when(F.col("score_keyword") > 0, marked).otherwise(F.lit("")) if embedded else marked)
+        return lexical.ranked(hits, "score", key="mail_id").withColumn("snippet", F.when(F.col("__worded"), marked).otherwise(F.lit(""))).drop("__worded")
 
     def list_mails(self, folder: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         m = self.mail() if folder is None else self.mail().where(F.col("folder") == folder)

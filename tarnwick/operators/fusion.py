@@ -49,12 +49,12 @@ def linear(keyword: DataFrame | None, vector: DataFrame | None, graph: DataFrame
 
 
 def mail_blend(keyword: DataFrame, vector: DataFrame, alpha: float = 0.5, mode: str = "hybrid") -> DataFrame:
-    """(chunk_id, score, kw, sem): alpha kw + (1 - alpha) sem; a lone keyword hit is 0 here. Modes `keyword` and `semantic` set alpha to 1 and 0."""
+    """(chunk_id, score, kw, sem, worded): alpha kw + (1 - alpha) sem; a lone keyword hit is 0 here; worded says whether words found it. Modes `keyword` and `semantic` set alpha to 1 and 0."""
     a = {"keyword": 1.0, "semantic": 0.0}.get(mode, min(1.0, max(0.0, alpha)))
-    kw = normalize_keyword(keyword, lone=0.0).select("chunk_id", F.col("norm").alias("kw"), F.lit(0.0).alias("sem"))
-    rows = kw.unionByName(vector.select("chunk_id", F.lit(0.0).alias("kw"), semantic(F.col("score")).alias("sem")))
-    both = rows.groupBy("chunk_id").agg(F.max("kw").alias("kw"), F.max("sem").alias("sem"))
-    return both.select("chunk_id", F.round(a * F.col("kw") + (1 - a) * F.col("sem"), 6).alias("score"), F.round("kw", 6).alias("kw"), F.round("sem", 6).alias("sem"))
+    kw = normalize_keyword(keyword, lone=0.0).select("chunk_id", F.col("norm").alias("kw"), F.lit(0.0).alias("sem"), F.lit(True).alias("worded"))
+    rows = kw.unionByName(vector.select("chunk_id", F.lit(0.0).alias("kw"), semantic(F.col("score")).alias("sem"), F.lit(False).alias("worded")))
+    both = rows.groupBy("chunk_id").agg(F.max("kw").alias("kw"), F.max("sem").alias("sem"), F.max("worded").alias("worded"))
+    return both.select("chunk_id", F.round(a * F.col("kw") + (1 - a) * F.col("sem"), 6).alias("score"), F.round("kw", 6).alias("kw"), F.round("sem", 6).alias("sem"), "worded")
 
 
 def first_wins(branches: list[DataFrame], key: str = "chunk_id") -> DataFrame:

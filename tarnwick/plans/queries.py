@@ -318,7 +318,7 @@ def linear_fusion(spark, d):
 @query(f"WITH {_SEM} SELECT chunk_id, {_round("0.5::DOUBLE * coalesce(kw, 0) + 0.5::DOUBLE * coalesce(s, 0)")} AS score FROM {_NORM} k FULL JOIN (SELECT chunk_id, greatest(0, least(1, (score + 1) / 2)) AS s FROM sem) USING (chunk_id)")
 def mail_blend(spark, d):
     kw, sem = _branches(spark, d)
-    return fusion.mail_blend(kw, sem)
+    return fusion.mail_blend(kw, sem).select("chunk_id", "score")
 
 
 @query(f"WITH {_SEM} SELECT chunk_id, CASE WHEN k.chunk_id IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS branch FROM kw k FULL JOIN sem USING (chunk_id)")
@@ -335,7 +335,7 @@ def hybrid_graph_merge(spark, d):
 @query(f"WITH {_SEM}, f AS (SELECT chunk_id, {_round("0.5::DOUBLE * coalesce(kw, 0) + 0.5::DOUBLE * coalesce(s, 0)")} AS score FROM {_NORM} k FULL JOIN (SELECT chunk_id, greatest(0, least(1, (score + 1) / 2)) AS s FROM sem) USING (chunk_id)) SELECT chunk_id, score, count(*) OVER () AS total FROM f WHERE score >= 0.25 ORDER BY score DESC, chunk_id LIMIT 12")
 def score_floor_total(spark, d):
     kw, sem = _branches(spark, d)
-    return fusion.floored(fusion.mail_blend(kw, sem), 0.25).orderBy(F.desc("score"), "chunk_id").limit(12)
+    return fusion.floored(fusion.mail_blend(kw, sem).select("chunk_id", "score"), 0.25).orderBy(F.desc("score"), "chunk_id").limit(12)
 
 
 # Filters, lists, counts -----------------------------------------------------------------------------------------------
