@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows up to which the query side is broadcast; beyond it, blocks of queries meet blocks of vectors.
-SMALL = 4096
+#: Bytes of the query side, by the plan's statistics, up to which it is broadcast.
+SENT = 64 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,23 +27,29 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
 
 
-def similar(queries: DataFrame, vectors: DataFrame, top_k: int = 10, threshold: float | None = None, skip_self: bool = False, digits: int | None = 6) -> DataFrame:
-    """(query_id, id, score, rank): best vectors (id, vector) of each query (query_id, vector), ties to the smaller id.
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a plan by Spark's statistics, those that its own broadcasts go by; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Exact search compares each stated query with each vector. Up to SMALL queries are broadcast, so vectors are read once
-    and not shuffled; more queries are dealt to tasks with the vectors, a nested loop of two partitioned sides. The rank
-    filter becomes a group limit before the shuffle.
+
+def similar(queries: DataFrame, vectors: DataFrame, top_k: int | None = 10, threshold: float | None = None, skip_self: bool = False, digits: int | None = 6) -> DataFrame:
+    """(query_id, id, score, rank): best vectors (id, vector) of each query (query_id, vector), ties to the smaller id. With top_k None all that reach the threshold, without ranks.
+
+    Exact search compares each stated query with each vector. A query side of up to SENT bytes is broadcast, so vectors are read once
+    and not shuffled; a larger one is dealt to tasks with the vectors, a nested loop of two partitioned sides. Nothing runs while this
+    is planned. Ranking is by a group limit in each task before the shuffle; a search by threshold alone ranks and shuffles nothing.
     """
-    few = queries.limit(SMALL + 1).count() <= SMALL
     q = queries.select("query_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
     v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"))
-    pairs = v.crossJoin(F.broadcast(q) if few else q)
+    pairs = v.crossJoin(F.broadcast(q) if estimated_bytes(q) <= SENT else q)
     if skip_self:
         pairs = pairs.where("query_id <> id")
     score = cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn"))
     scored = pairs.select("query_id", "id", (score if digits is None else F.round(score, digits)).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
+    if top_k is None:
+        return scored
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", best).where(F.col("rank") <= top_k)
 

@@ -271,7 +271,7 @@ def vector_topk(spark, d):
 def vector_threshold(spark, d):
     v = _vectors(spark, d)
     q = v.join(v.agg(F.min("id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
-    return vectors.similar(q, v, top_k=1 << 30, threshold=0.2).select("query_id", "id", F.round("score", 4).alias("similarity"))
+    return vectors.similar(q, v, None, threshold=0.2).select("query_id", "id", F.round("score", 4).alias("similarity"))
 
 
 @query(f"WITH {SIM}, near AS (SELECT query_id, id, score FROM sim WHERE query_id <> id AND score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 8) SELECT a_id, b_id, max(score) AS score FROM (SELECT query_id AS a_id, id AS b_id, score FROM near UNION ALL SELECT id, query_id, score FROM near) GROUP BY ALL")
@@ -288,7 +288,7 @@ def normalize_keyword(spark, d):
 def normalize_semantic(spark, d):
     v = _vectors(spark, d)
     q = v.join(v.agg(F.min("id").alias("id")), "id").select(F.col("id").alias("query_id"), "vector")
-    return vectors.similar(q, v, top_k=1 << 30, digits=None).select("id", F.round(fusion.semantic(F.col("score")), 6).alias("norm"))
+    return vectors.similar(q, v, None, digits=None).select("id", F.round(fusion.semantic(F.col("score")), 6).alias("norm"))
 
 
 def _branches(spark, d):
@@ -497,6 +497,16 @@ def ppr_fixed_iter(spark, d):
     return _ranks(spark, d)[0].select("node", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH RECURSIVE {_PPR}, it AS (SELECT 0 AS i, node, s AS r, true AS go FROM s UNION ALL
+SELECT i + 1, node, r, sum(abs(r - old)) OVER () >= 1e-6 FROM (SELECT max(i) OVER () AS i, node, r, old FROM (SELECT max(i) AS i, node, sum(m) AS r, sum(old) AS old FROM (
+  SELECT i, dst AS node, weight * r * 0.85::DOUBLE AS m, 0.0::DOUBLE AS old FROM edges JOIN it ON src = node WHERE go UNION ALL SELECT i, s.node, s * 0.15::DOUBLE, 0.0 FROM s, (SELECT DISTINCT i FROM it WHERE go) UNION ALL SELECT i, node, 0.0, r FROM it WHERE go) GROUP BY node)) WHERE i < 50)
+SELECT node, round(r, 6) AS score FROM it WHERE i = (SELECT max(i) FROM it) AND r > 0""")
+def ppr_converged(spark, d):
+    """Until the ranks change by less than 1e-6 in all, or 50 steps."""
+    seeds = _seeds(_raw(spark, d))
+    return graph.pagerank(_edges(spark, d), seeds, tolerance=1e-6).select("node", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {_PPR}, p AS (SELECT substr(node, 9) AS chunk_id, r AS p, 0.0 AS e FROM r3 WHERE node LIKE 'passage:%'), b AS (SELECT * FROM r3 WHERE node NOT LIKE 'passage:%' ORDER BY r DESC, node LIMIT 5000),
 a AS (SELECT * FROM p UNION ALL SELECT chunk_id, 0.0, r * ln(1 + count) FROM mentions JOIN b ON entity_id = node) SELECT chunk_id, round(sum(p) + sum(e), 6) AS score, round(sum(p), 6) AS passage_score, round(sum(e), 6) AS entity_score FROM a GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 12""")
 def chunk_scores(spark, d):
