@@ -31,13 +31,13 @@ def _now() -> str:
 
 
 class Engine:
-    """embed: a factory of embedders, rerankers: name -> factory of scorers, extractor: texts to triples, chat: messages to a JSON object; each is optional."""
+    """embed: a factory of embedders, rerankers: name -> factory of scorers, extractor: texts to triples, chat: messages to a JSON object; each is optional. Kept extractions are those of the extractor's name."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[], models.Embed] | None = None, dims: int = 64, rerankers: dict[str, Callable] | None = None, extractor: Callable | None = None, chat: Callable | None = None, analyzer=T.words):
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[], models.Embed] | None = None, dims: int = 64, rerankers: dict[str, Callable] | None = None, extractor: Callable | None = None, chat: Callable | None = None, analyzer=T.words, extractor_name: str = "rules"):
         self.spark, self.root = spark, root.rstrip("/")
         ready(spark, f"{self.root}/checkpoints")
         self.embed, self.dims, self.extractor, self.chat = embed, dims, extractor, chat
-        self.rerankers = rerankers or {}
+        self.rerankers, self.extractor_name = rerankers or {}, extractor_name
         self.store = Store(spark, f"{self.root}/tables", {"datasets": "dataset_id", "documents": "document_id", "vectors": "document_id", "triples": "document_id", "mentions": "document_id", "fact_vectors": "document_id", "names": "document_id", "entity_vectors": "entity_id", "synonyms": "a_id", "profiles": "name"})
         self.index = index.Index(spark, f"{self.root}/index", analyzer)
         self.graph = GraphStore(spark, f"{self.root}/graph")
@@ -227,8 +227,11 @@ class Engine:
     def _index_knowledge(self, c: DataFrame) -> dict[str, int]:
         ids = c.select("document_id").distinct().checkpoint()
         cache = self.store.read("extractions") if self.store.has("extractions") else None
-        raw = knowledge.extract_triples(c, self.extractor, cache).checkpoint()
-        fresh = raw.groupBy("chunk_hash").agg(F.collect_set(F.struct("subject", "predicate", "object")).alias("triples"))
+        raw = knowledge.extract_triples(c, self.extractor, cache, model=self.extractor_name).checkpoint()
+        some = raw.select("chunk_hash", F.struct("subject", "predicate", "object").alias("t"))
+        # a chunk without triples is kept too, with none
+        asked = c.select(knowledge.chunk_hash(F.col("content"), self.extractor_name).alias("chunk_hash"), F.lit(None).cast(some.schema["t"].dataType).alias("t"))
+        fresh = some.unionByName(asked).groupBy("chunk_hash").agg(F.collect_set("t").alias("triples"))
         fresh = fresh if cache is None else fresh.join(cache.select("chunk_hash"), "chunk_hash", "left_anti")
         self.store.append("extractions", fresh)
         of = lambda df: df.join(c.select("chunk_id", "document_id"), "chunk_id")

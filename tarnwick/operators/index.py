@@ -70,8 +70,15 @@ class Index:
         figures = made[2].pop("figures")
         self.store.commit(lambda now: [*[o | {"kind": "replace", "drop": sorted(now.folders(o["table"]))} for o in made], {"kind": "note", "facts": figures}])
 
-    def upsert(self, chunks: DataFrame, documents: DataFrame | None = None) -> None:
-        """Put the chunks in place of all old ones of their documents, and of the documents named."""
+    def last_batch(self, name: str) -> int:
+        """The last committed batch of a stream, or -1."""
+        return self.store.notes.get(f"batch {name}", -1)
+
+    def upsert(self, chunks: DataFrame, documents: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Put the chunks in place of all old ones of their documents, and of the documents named.
+
+        batch, a stream's name and a number, is committed with them; a batch that is committed already, or a later one, changes nothing.
+        """
         ids = chunks.select("document_id").distinct()
         ids = ids if documents is None else ids.unionByName(documents.select("document_id")).distinct()
         ids = ids.checkpoint()
@@ -79,8 +86,11 @@ class Index:
         own = made[2]["figures"]
 
         def operations(now):
+            if batch and now.notes.get(f"batch {batch[0]}", -1) >= batch[1]:
+                return []
             lost = self._without(now, ids)
-            return [*made[:2], made[2] | {"figures": {k: own[k] + lost[k] for k in own}}]
+            seen = [{"kind": "note", "facts": {f"batch {batch[0]}": batch[1]}}] if batch else []
+            return [*made[:2], made[2] | {"figures": {k: own[k] + lost[k] for k in own}}, *seen]
 
         self.store.commit(operations)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
@@ -74,16 +74,27 @@ def kept_by_filter(candidates: DataFrame, keep: list[str], tested: int = 24, min
     return ranked.crossJoin(F.broadcast(hits)).where(ok).drop("hits", "rank")
 
 
+def chunk_hash(content: Column, model: str = "rules", version: str = "1") -> Column:
+    """Key of a chunk's kept extraction: by its text and what extracts it."""
+    return F.sha2(F.concat_ws("|", F.lit(version), F.lit(model), content), 256)
+
+
+def good_triples(found: list, most: int) -> list[tuple[str, str, str]]:
+    """The first `most` whole triples of text among twice as many, so that bad ones take no good one's place."""
+    good = [tuple(t) for t in found[: 2 * most] if isinstance(t, (list, tuple)) and len(t) == 3 and all(isinstance(x, str) and x.strip() for x in t)]
+    return good[:most]
+
+
 def extract_triples(chunks: DataFrame, extractor: Callable[[list[str]], list[list[tuple[str, str, str]]]], cache: DataFrame | None = None, most: int = 32, model: str = "rules", version: str = "1") -> DataFrame:
     """Raw triples by any extractor of batches of texts, one instance a partition; chunks whose hash is in the cache (chunk_hash, triples) aren't sent."""
     import pyarrow as pa
 
-    keyed = chunks.select("chunk_id", "content", F.sha2(F.concat_ws("|", F.lit(version), F.lit(model), "content"), 256).alias("chunk_hash"))
+    keyed = chunks.select("chunk_id", "content", chunk_hash(F.col("content"), model, version).alias("chunk_hash"))
     schema = "chunk_id string, chunk_hash string, subject string, predicate string, object string, confidence double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, h, *t) for i, h, found in zip(b.column("chunk_id").to_pylist(), b.column("chunk_hash").to_pylist(), extractor(b.column("content").to_pylist()), strict=True) for t in found[:most]]
+            rows = [(i, h, *t) for i, h, found in zip(b.column("chunk_id").to_pylist(), b.column("chunk_hash").to_pylist(), extractor(b.column("content").to_pylist()), strict=True) for t in good_triples(found, most)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array([1.0] * len(rows))], names=["chunk_id", "chunk_hash", "subject", "predicate", "object", "confidence"])
 

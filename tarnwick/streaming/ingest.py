@@ -14,11 +14,30 @@ def arrivals(spark: SparkSession, path: str, schema: StructType, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).parquet(path)
 
 
+def one_per_key(batch: DataFrame, key: str) -> DataFrame:
+    """One row of each key, the same whenever the batch is run again."""
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*batch.columns), F.to_json(F.struct(*batch.columns))))
+    return batch.withColumn("__n", first).where("__n = 1").drop("__n")
+
+
 def ingest(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str, key: str = "document_id"):
-    """Upsert each micro-batch into a versioned table: a batch is written as its own version folder, so a batch that runs again overwrites only itself. Of rows of one key in a batch, one stays."""
+    """Upsert each micro-batch into a versioned table: a batch is written as its own version folder, so a batch that runs again overwrites only itself. Of rows of one key in a batch, one stays, always the same."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        prepare(one_per_key(batch, key)).withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{table_path}/v={version}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def into_index(stream: DataFrame, index, prepare: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "stream", key: str = "document_id"):
+    """Upsert each micro-batch's chunks, made by prepare, into a stored index, exactly once: the commit of a batch holds its number, and a batch that runs again after it changes nothing."""
 
     def write(batch: DataFrame, version: int) -> None:
-        prepare(batch.dropDuplicates([key])).withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{table_path}/v={version}")
+        if index.last_batch(name) < version:
+            docs = one_per_key(batch, key)
+            index.upsert(prepare(docs), docs.select("document_id"), (name, version))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -27,24 +46,32 @@ def current(spark: SparkSession, table_path: str, key: str = "document_id") -> D
     """Rows of each key's last version."""
     rows = spark.read.option("basePath", table_path).parquet(f"{table_path}/v=*").drop("v")
     last = rows.groupBy(key).agg(F.max("version").alias("__last"))
-    return rows.join(last, key).where(F.col("version") == F.col("__last")).drop("__last", "version")
+    # a merge that ended early leaves equal rows in two folders
+    return rows.join(last, key).where(F.col("version") == F.col("__last")).dropDuplicates([key]).drop("__last", "version")
 
 
 def compact(spark: SparkSession, table_path: str, key: str = "document_id") -> int:
-    """Merge all versions into the last one's folder, so reads stay as large as the table; the version kept."""
+    """Merge the versions there are into one folder, so reads stay as large as the table; how many were merged.
+
+    Rows keep their version. The merged folder is whole before the old ones go, and versions that a stream adds meanwhile stay, so an end at any point loses nothing.
+    """
+    import uuid
+
     from tarnwick.sources.store import Files
 
     files = Files(spark)
-    rows = spark.read.option("basePath", table_path).parquet(f"{table_path}/v=*")
-    versions = sorted(r.version for r in rows.select("version").distinct().collect())  # one number a version
-    top = versions[-1]
-    merged = f"{table_path}/_merged"
-    current(spark, table_path, key).withColumn("version", F.lit(top).cast("long")).write.mode("overwrite").parquet(merged)
-    fs, at = files._at(merged)
-    for v in versions:
-        files.delete(f"{table_path}/v={v}")
-    fs.rename(at, files._at(f"{table_path}/v={top}")[1])
-    return top
+    old = [n for n, _ in files.names(table_path) if n.startswith("v=")]
+    rows = spark.read.option("basePath", table_path).parquet(*[f"{table_path}/{n}" for n in old]).drop("v")
+    last = rows.groupBy(key).agg(F.max("version").alias("__last"))
+    kept = rows.join(last, key).where(F.col("version") == F.col("__last")).drop("__last").dropDuplicates([key])
+    beside = f"{table_path}/_merging-{uuid.uuid4().hex}"
+    kept.write.parquet(beside)
+    fs, at = files._at(beside)
+    if not fs.rename(at, files._at(f"{table_path}/v=merged-{uuid.uuid4().hex}")[1]):
+        raise OSError(f"can't write to {table_path}")
+    for n in old:
+        files.delete(f"{table_path}/{n}")
+    return len(old)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -103,3 +103,63 @@ def test_linear_takes_branches_by_name(spark):
     near = spark.createDataFrame([("0:1", 0.75, 1), ("0:0", 0.7, 2)], "chunk_id string, score double, rank int")
     got = {r.chunk_id: (r.score, r.first.branch) for r in fusion.linear(None, None, near, stable=True).collect()}
     assert got == {"0:1": (0.15, 2), "0:0": (0.14, 2)}
+
+
+def test_streamed_documents_are_found_once(spark, tmp_path):
+    from tarnwick.operators import chunking
+    from tarnwick.streaming import ingest
+
+    src, schema = str(tmp_path / "in"), "document_id string, dataset_id string, content string"
+    spark.createDataFrame([("a", "s", "early bird"), ("a", "s", "early bird"), ("b", "s", "late train")], schema).coalesce(1).write.parquet(src)
+    ix, calls = Index(spark, str(tmp_path / "index")), []
+
+    def prepare(batch):
+        calls.append(1)
+        return chunking.flat(batch)
+
+    def run(checkpoint):
+        ingest.into_index(ingest.arrivals(spark, src, spark.read.parquet(src).schema), ix, prepare, str(tmp_path / checkpoint)).awaitTermination()
+
+    run("c1")
+    assert [r.chunk_id for r in ix.search("bird").collect()] == ["a:0"] and ix.figures() == (2.0, 2.0) and ix.last_batch("stream") == 0
+    run("c2")  # the same batch again, as after a crash before the stream's own checkpoint
+    assert len(calls) == 1 and ix.figures() == (2.0, 2.0)
+    before = ix.store.state().tables
+    ix.upsert(chunks(spark, ("a", 0, "other")), batch=("stream", 0))
+    assert ix.store.state().tables == before
+
+
+def test_a_merge_that_ends_early(spark, tmp_path, monkeypatch):
+    from tarnwick.streaming import ingest
+
+    at = str(tmp_path / "t")
+    for v, pairs in enumerate(([("1", "old"), ("2", "two")], [("1", "new")])):
+        spark.createDataFrame(pairs, "document_id string, content string").withColumn("version", F.lit(v).cast("long")).write.parquet(f"{at}/v={v}")
+    want = {"1": "new", "2": "two"}
+    monkeypatch.setattr(Files, "delete", lambda *_: (_ for _ in ()).throw(OSError("power")))
+    with pytest.raises(OSError, match="power"):
+        ingest.compact(spark, at)
+    assert [(r.document_id, r.content) for r in ingest.current(spark, at).orderBy("document_id").collect()] == sorted(want.items())
+    monkeypatch.undo()
+    assert ingest.compact(spark, at) == 3 and {r.document_id: r.content for r in ingest.current(spark, at).collect()} == want
+
+
+def test_kept_extractions(spark, tmp_path):
+    from tarnwick.engine import Engine
+    from tarnwick.operators import knowledge
+
+    assert knowledge.good_triples([("a", "b"), ("", "b", "c"), ("a", "b", "c"), "abc", ("d", "e", "f"), ("g", "h", "i")], 2) == [("a", "b", "c")]
+    log = tmp_path / "asked"
+    log.write_text("")
+
+    def extractor(texts):
+        with log.open("a") as f:
+            f.write("".join(t + "|" for t in texts))
+        return [[tuple(t.split())] if len(t.split()) == 3 else [] for t in texts]
+
+    e = Engine(spark, str(tmp_path / "e"), models.HashedEmbedder, 64, extractor=extractor)
+    docs = spark.createDataFrame([("a", "one likes two"), ("b", "nothing here at all")], "document_id string, content string")
+    e.upload(docs, "s", pipeline="hippo2")
+    assert sorted(log.read_text().strip("|").split("|")) == ["nothing here at all", "one likes two"]
+    assert e.knowledge_index() == {"chunks": 2, "triples": 1} and log.read_text().count("|") == 2
+    assert [e.search("likes", pipeline=p).first().document_id for p in ("hippo2", "hippo2_graph_rrf")] == ["a", "a"]
