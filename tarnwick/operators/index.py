@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
@@ -13,16 +16,87 @@ from tarnwick.sources.store import Store
 
 #: Folders that terms are dealt to by hash: a search reads those of its terms.
 BUCKETS = 64
+#: Words of a bucket that one task writes, on average; a bucket is dealt to as many tasks, by chunk, as a write needs, and at least to four.
+TASK_WORDS = 2_000_000
+#: Postings of a query's rarest term above which some blocks are scored before the others.
+PROBE = 20_000
+#: Classes of term counts and of lengths that make a block.
+COUNTS, LENGTHS = 16, 128
+#: Blocks a term has at most.
+BLOCKS = COUNTS * LENGTHS
+#: Room for rounding: scores are rounded to six digits, and sums of doubles to far more.
+SLACK = 2e-6
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def block_of(tf: Column, dl: Column) -> Column:
+    """The block of a posting: postings of a term with about equal counts and chunk lengths, a quarter of a power of two apart, have about equal scores."""
+    length = F.least(F.floor(4 * F.log2(F.greatest(dl, F.lit(1)).cast("double"))), F.lit(LENGTHS - 1))
+    return (length * COUNTS + F.least(tf, F.lit(COUNTS)) - 1).cast("int")
+
+
+def _impact(tf, dl, mean: float):
+    """A term's share in a score but for its idf: grows with tf, falls with dl. Columns or numbers."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (F.lit(mean) if isinstance(tf, Column) else mean)))
+
+
+def _figures() -> list[Column]:
+    return [F.count("*").alias("n"), F.min("tf").alias("low_tf"), F.max("tf").alias("high_tf"), F.min("dl").alias("low_dl"), F.max("dl").alias("high_dl")]
+
+
+class Blocks:
+    """Figures of the blocks of some terms' postings, at most BLOCKS a term, and the scores of chunks that hold all terms by chosen blocks."""
+
+    def __init__(self, rows: DataFrame, terms: list[str], n: float, mean: float):
+        found = rows.groupBy("term", "block").agg(*_figures()).collect()
+        self.terms, self.n, self.mean = terms, n, mean
+        self.of = [{r.block: r for r in found if r.term == t} for t in terms]
+        self.df = [float(sum(r.n for r in b.values())) for b in self.of]
+        self.complete = all(self.of)
+        self.fewest = min(self.df)
+        idf = [max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) for df in self.df]
+        self.bound = [{k: w * _impact(r.high_tf, r.low_dl, mean) for k, r in b.items()} for w, b in zip(idf, self.of, strict=True)]
+        best: list[dict[int, float]] = []
+        for b in self.bound:
+            best.append({})
+            for k, x in b.items():
+                best[-1][k // COUNTS] = max(x, best[-1].get(k // COUNTS, 0.0))
+        #: a chunk has one length, so a block meets only blocks of its length class in the other terms
+        self.total = [{k: x + sum(o[k // COUNTS] for j, o in enumerate(best) if j != i) for k, x in b.items() if all(k // COUNTS in o for o in best)} for i, b in enumerate(self.bound)]
+
+    def best(self, size: int) -> list[set[int]]:
+        """Blocks of each term to look at first: the best of the rarest term, with size postings or more, and those of their lengths in the others."""
+        rare, taken, count = self.df.index(self.fewest), set(), 0
+        for k in sorted(self.total[rare], key=lambda k: (-self.total[rare][k], k)):
+            if count >= size:
+                break
+            taken.add(k)
+            count += self.of[rare][k].n
+        wide = {k // COUNTS for k in taken}
+        return [taken if i == rare else {k for k in t if k // COUNTS in wide} for i, t in enumerate(self.total)]
+
+    def reaching(self, floor: float) -> list[set[int]]:
+        """Blocks that a chunk with this score or more may be in."""
+        return [{k for k, x in t.items() if x + SLACK >= floor} for t in self.total]
+
+    def scores(self, rows: DataFrame, kept: list[set[int]] | None) -> DataFrame:
+        """(chunk_id, score) of the chunks that hold all terms by postings in the kept blocks, None for all. The blocks are literals in the scan's filter."""
+        if kept is not None:
+            rows = rows.where(reduce(or_, [(F.col("term") == t) & F.col("block").isin(*sorted(b)) for t, b in zip(self.terms, kept, strict=True)]))
+        tf = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, t in enumerate(self.terms)]
+        hits = rows.groupBy("chunk_id").agg(F.max("dl").cast("double").alias("dl"), *tf).where(" and ".join(f"tf{i} > 0" for i in range(len(self.terms))))
+        length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(self.mean))
+        score = sum((_idf(F.lit(self.n), F.lit(df)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length) for i, df in enumerate(self.df)), F.lit(0.0))
+        return hits.select("chunk_id", F.round(score, 6).alias("score"))
+
+
 class Index:
     """chunks (chunk_id, document_id, dataset_id, position, content, ...) and their postings under a folder.
 
-    Postings (bucket, term, chunk_id, document_id, dataset_id, tf, dl) lie in a folder for each bucket of terms, sorted by term,
+    Postings (bucket, term, block, chunk_id, document_id, dataset_id, tf, dl) lie in a folder for each bucket of terms, sorted by term and block,
     so a search reads few row groups of few files, whatever the size of the corpus. An update writes its own rows and what of them ends, and
     counts from one commit: chunks, postings and figures change together or not at all. The number of chunks and the sum of
     their lengths are sums over commits: each adds those of its own rows and takes off those of the rows it ends, which it looks up in
@@ -38,12 +112,18 @@ class Index:
     def exists(self) -> bool:
         return self.store.has("postings")
 
-    def _postings(self, chunks: DataFrame) -> DataFrame:
+    def _postings(self, chunks: DataFrame, words: int) -> DataFrame:
+        """Postings of chunks with so many words together."""
         w = chunks.select("chunk_id", "document_id", "dataset_id", self.analyzer(F.col("content")).alias("w"))
         one = w.select("chunk_id", "document_id", "dataset_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
         counted = one.groupBy("chunk_id", "document_id", "dataset_id", "dl", "term").agg(F.count("*").alias("tf"))
-        # a bucket is a folder; a part of its chunks each keeps a common term's rows in several tasks
-        return counted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
+        return self._placed(counted.withColumns({"bucket": bucket_of(F.col("term")), "block": block_of(F.col("tf"), F.col("dl"))}), words)
+
+    @staticmethod
+    def _placed(postings: DataFrame, words: int) -> DataFrame:
+        """A bucket is a folder; a part of its chunks each keeps a common term's rows in several tasks."""
+        parts = max(4, -(-words // (BUCKETS * TASK_WORDS)))
+        return postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "block")
 
     def _written(self, chunks: DataFrame, gone: DataFrame | None) -> list[dict]:
         """Operations that add chunks, their postings and lengths, and end those of the documents in gone."""
@@ -54,7 +134,7 @@ class Index:
         second = self.store.written("lengths", lengths.repartition("part"), gone, ("part",))
         total = self.store.rows_of(second).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
         second["figures"] = {"n": total.n or 0, "length": total.length or 0}
-        return [first, self.store.written("postings", self._postings(mine), gone, ("bucket",)), second]
+        return [first, self.store.written("postings", self._postings(mine, total.length or 0), gone, ("bucket",)), second]
 
     def _without(self, state, gone: DataFrame) -> dict[str, int]:
         """Figures of the rows that a commit on top of state ends, as what they add: nothing or less. Only their parts of `lengths` are read."""
@@ -109,7 +189,9 @@ class Index:
 
     def compact(self) -> None:
         """Merge segments. Updates that others commit meanwhile stay."""
-        make = [self.store.replacing(t, lambda rows: rows, by) for t, by in (("chunks", ()), ("postings", ("bucket",)), ("lengths", ("part",)))]
+        words = int(self.store.notes.get("length", 0))
+        same = lambda rows: rows
+        make = [self.store.replacing(t, to, by) for t, to, by in (("chunks", same, ()), ("postings", lambda rows: rows if rows is None else self._placed(rows, words), ("bucket",)), ("lengths", same, ("part",)))]
         self.store.commit(lambda now: [m(now) for m in make])
 
     def figures(self) -> tuple[float, float]:
@@ -129,43 +211,75 @@ class Index:
         buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t")).alias("b")).distinct().collect()]
         return self.postings().where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
 
-    def search(self, query: str, datasets: list[str] | None = None, top_k: int = 200, only: DataFrame | None = None) -> DataFrame:
+    def search(self, query: str, datasets: list[str] | None = None, top_k: int = 200, only: DataFrame | None = None, probe: int = PROBE) -> DataFrame:
         """(chunk_id, score, rank) of chunks that hold all query words by BM25, best first, ties by id.
 
         Corpus figures cover all chunks. The dataset filter, and `only`, a table of the document_ids that may be found, restrict the postings before
         anything is ranked, so the cut at top_k is among what passes.
+
+        Blocks that can't reach the top_k are never aggregated. One pass over the terms' postings gives each block's figures (BLOCKS a term at most).
+        If the rarest term has over `probe` postings, its best blocks are scored first; the top_k-th score found there is a floor, and only
+        blocks whose bound, with the best that the other terms have at such lengths, reaches it are read again. A probe that finds fewer than top_k
+        takes sixteen times as much, in the end all.
         """
         terms = T.query_words(query)
         none = self.spark.createDataFrame([], "chunk_id string, score double, rank int")
         if not terms or datasets == [] or not self.exists():
             return none
         rows, (n, mean) = self.of_terms(terms), self.figures()
-        tf = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)]
-        seen = rows.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-        df = seen.agg(*[F.max(F.when(F.col("term") == t, F.col("df"))).alias(f"df{i}") for i, t in enumerate(terms)])
+        blocks = Blocks(rows, terms, n, mean)
+        if not blocks.complete:
+            return none
         passing = rows if datasets is None else rows.where(F.col("dataset_id").isin(*datasets))
         passing = passing if only is None else passing.join(only.select("document_id"), "document_id", "left_semi")
-        hits = passing.groupBy("chunk_id").agg(F.max("dl").cast("double").alias("dl"), *tf)
-        hits = hits.where(" and ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(df))
-        length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
-        score = sum((_idf(F.lit(n), F.col(f"df{i}")) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length) for i in range(len(terms))), F.lit(0.0))
-        return ranked(hits.select("chunk_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k), "score")
+        kept, size = None, probe
+        while top_k > 0 and size < blocks.fewest:
+            tried = blocks.scores(passing, blocks.best(size)).orderBy(F.desc("score")).limit(top_k).agg(F.count("*").alias("n"), F.min("score").alias("floor")).first()
+            if tried.n == top_k:
+                kept = blocks.reaching(tried.floor)
+                break
+            size *= 16
+        return ranked(blocks.scores(passing, kept).orderBy(F.desc("score"), "chunk_id").limit(top_k), "score")
 
     def search_many(self, queries: DataFrame, top_k: int = 10, most: int = 100_000) -> DataFrame:
         """(query_id, chunk_id, score, rank) for (query_id, term) rows; any term counts.
 
-        Up to most rows the queries are broadcast, so postings are read once and shuffled by (query, chunk) only, after
+        The blocks of each term bound its scores from both sides: top_k postings of one term reach a known score, which is a floor for the query. Its weakest
+        terms, whose greatest scores together stay under the floor, bring no chunk in by themselves. So only the other terms' postings are
+        summed by (query, chunk), which raises the floor, and the weak terms are looked up for the chunks that can still reach it.
+
+        Up to most rows the queries are broadcast, so postings are read without a shuffle and shuffled by (query, chunk) after
         partial sums: a common term is spread as its files are. Beyond it they are joined on terms.
         """
-        from pyspark.sql import Window
-
-        terms = queries.distinct()
+        terms = queries.select("query_id", "term").distinct()
         small = terms.limit(most + 1).count() <= most
         sent = F.broadcast if small else (lambda x: x)
         used = self.postings().join(sent(terms.select("term").distinct()), "term", "left_semi")
-        n, avgdl = self.figures()
-        weight = used.groupBy("term").agg(_idf(F.lit(n), F.count("*").cast("double")).alias("idf"))
-        asked = terms.join(weight, "term")
-        part = used.join(sent(asked), "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))).alias("s"))
-        scored = part.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score"))
+        n, mean = self.figures()
+        asked = self._weighed(terms, used, n, top_k).checkpoint()
+        impact = F.col("idf") * _impact(F.col("tf"), F.col("dl"), mean)
+        strong, weak = asked.where("strong").select("query_id", "term", "idf"), asked.where("not strong").select("query_id", "term", "idf")
+        part = self.postings().join(sent(strong), "term").select("query_id", "chunk_id", impact.alias("s")).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
+        first = part.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).where(F.col("k") <= top_k)
+        floor = first.groupBy("query_id").agg(F.when(F.count("*") == top_k, F.min("s")).otherwise(0.0).alias("floor"))
+        rest = asked.groupBy("query_id").agg(F.sum(F.when(F.col("strong"), 0.0).otherwise(F.col("most"))).alias("rest"))
+        limits = floor.join(rest, "query_id").select("query_id", (F.col("floor") - F.col("rest") - SLACK).alias("least"))
+        chances = part.join(sent(limits), "query_id").where("s >= least").select("query_id", "chunk_id", "s")
+        wanted = chances.select("query_id", "chunk_id").join(sent(weak), "query_id")
+        more = self.postings().join(sent(weak.select("term").distinct()), "term", "left_semi").select("term", "chunk_id", "tf", "dl").join(wanted, ["term", "chunk_id"])
+        scored = chances.unionByName(more.select("query_id", "chunk_id", impact.alias("s"))).groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score"))
         return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= top_k)
+
+    def _weighed(self, terms: DataFrame, used: DataFrame, n: float, top_k: int) -> DataFrame:
+        """(query_id, term, idf, most, strong) of the terms that occur: most bounds a posting's score; a term is strong unless it and all with smaller bounds stay under the query's floor together."""
+        mean = self.figures()[1]
+        block = used.groupBy("term", "block").agg(*_figures())
+        every = Window.partitionBy("term")
+        block = block.withColumn("idf", _idf(F.lit(n), F.sum("n").over(every).cast("double")))
+        low, high = F.col("idf") * _impact(F.col("low_tf"), F.col("high_dl"), mean), F.col("idf") * _impact(F.col("high_tf"), F.col("low_dl"), mean)
+        block = block.select("term", "n", "idf", low.alias("low"), high.alias("high"))
+        block = block.withColumn("reached", F.sum("n").over(every.orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        term = block.groupBy("term").agg(F.first("idf").alias("idf"), F.max("high").alias("most"), F.coalesce(F.max(F.when(F.col("reached") >= top_k, F.col("low"))), F.lit(0.0)).alias("sure"))
+        of = Window.partitionBy("query_id")
+        up = F.sum("most").over(of.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return terms.join(term, "term").select("query_id", "term", "idf", "most", (up + SLACK >= F.max("sure").over(of)).alias("strong"))

@@ -163,3 +163,35 @@ def test_kept_extractions(spark, tmp_path):
     assert sorted(log.read_text().strip("|").split("|")) == ["nothing here at all", "one likes two"]
     assert e.knowledge_index() == {"chunks": 2, "triples": 1} and log.read_text().count("|") == 2
     assert [e.search("likes", pipeline=p).first().document_id for p in ("hippo2", "hippo2_graph_rrf")] == ["a", "a"]
+
+
+def test_blocks_skip_without_loss(spark, tmp_path):
+    """Ranks equal the plain definition at every probe size, while blocks under the floor aren't read; ties go to the smaller id."""
+    import random
+
+    from tarnwick.operators import lexical
+    from tarnwick.operators.index import COUNTS, Blocks, Index
+
+    rng = random.Random(5)
+    words = ["red", "blue", "green", "grey", *(f"w{k}" for k in range(60))]
+    rows = [(f"{i}:0", str(i), f"d{i % 3}", 0, " ".join(rng.choices(words, [30, 20, 9, 3, *[1] * 60], k=rng.choice([1, 3, 8, 20, 60, 200])))) for i in range(400)]
+    rows += [(f"{i}:0", str(i), "d0", 0, "red blue " + "w1 " * 5) for i in range(400, 420)]  # equal scores
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, dataset_id string, position int, content string").cache()
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.write(chunks)
+    for q, sets in (("red", None), ("red blue", None), ("blue green grey", ["d1"]), ("red none", None)):
+        for k, probe in ((7, 1), (7, 60), (25, 20_000)):
+            want = [tuple(r) for r in lexical.bm25(chunks, q, sets, k).select("chunk_id", "score", "rank").collect()]
+            assert [tuple(r) for r in ix.search(q, sets, k, probe=probe).orderBy("rank").collect()] == want, (q, sets, k, probe)
+    n, mean = ix.figures()
+    b = Blocks(ix.of_terms(["grey", "w1"]), ["grey", "w1"], n, mean)
+    floor = ix.search("grey w1", top_k=1).first().score
+    left = b.reaching(floor)
+    assert sum(map(len, left)) < sum(map(len, b.of)) and all(k // COUNTS < 128 for t in b.of for k in t)
+    many = spark.createDataFrame([("a", "red"), ("a", "grey"), ("a", "w3"), ("b", "blue"), ("b", "w9"), ("b", "w9"), ("c", "none"), ("d", "w5")], "query_id string, term string")
+    post, length = lexical.postings(chunks), lexical.lengths(chunks)
+    for k in (1, 5, 500):
+        got = {(r.query_id, r.chunk_id, r.score, r.rank) for r in ix.search_many(many, k).collect()}
+        assert got == {(r.query_id, r.chunk_id, r.score, r.rank) for r in lexical.bm25_index(post, length, many, k).collect()}
+    ix.compact()
+    assert ix.search("red", top_k=5, probe=1).count() == 5
