@@ -290,6 +290,11 @@ class Engine:
         self.graph_sync()
         return graph.ask(self.spark, statement, {"edges": self.graph.edges(), "nodes": self.graph.nodes()}, limit)
 
+    def graph_paths(self, steps: list[tuple[str, str]], start: DataFrame | None = None, end: DataFrame | None = None) -> DataFrame:
+        """(src, dst, paths, weight): nodes that a pattern of hops links, after a sync; see `graph.reached`."""
+        self.graph_sync()
+        return graph.reached(self.graph.edges(), steps, start, end)
+
     # Jobs and health --------------------------------------------------------------------------------------------------
 
     def start(self, work: Callable[[], object], kind: str = "job") -> str:

@@ -49,6 +49,32 @@ def expand_by_position(hits: DataFrame, chunks: DataFrame, top_k: int = 200, mos
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
+def reached(edges: DataFrame, steps: list[tuple[str, str]], start: DataFrame | None = None, end: DataFrame | None = None) -> DataFrame:
+    """(src, dst, paths, weight): the pairs of nodes that a pattern of hops links, how many paths do, and the sum of their weights' products.
+
+    steps: (relation, "out" or "in") for each hop over edges (src, dst, rel, weight), from start to end, tables of node ids (id) or None for
+    any. A hop is a join on the node reached, summed by pair at once, so what goes on are pairs, never single paths; nodes that start no
+    path go before the first join and the last hop keeps only targets. A hub is a skewed join key, which adaptive execution splits. Null ends link nothing;
+    parallel edges are paths of their own; a path may come back to its start.
+    """
+    if not steps or any(way not in ("out", "in") for _, way in steps):
+        raise ValueError("steps are (relation, 'out' or 'in')")
+    found = None
+    for k, (rel, way) in enumerate(steps):
+        a, b = ("src", "dst") if way == "out" else ("dst", "src")
+        hop = edges.where((F.col("rel") == rel) & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col(a).alias("at"), F.col(b).alias("to"), F.coalesce("weight", F.lit(0.0)).alias("w"))
+        if k == 0 and start is not None:
+            hop = hop.join(start.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
+        if k == len(steps) - 1 and end is not None:
+            hop = hop.join(end.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
+        if found is None:
+            moved = hop.select(F.col("at").alias("src"), F.col("to").alias("dst"), F.lit(1).cast("long").alias("paths"), F.col("w").alias("weight"))
+        else:
+            moved = found.withColumnRenamed("dst", "at").join(hop, "at").select("src", F.col("to").alias("dst"), "paths", (F.col("weight") * F.col("w")).alias("weight"))
+        found = moved.groupBy("src", "dst").agg(F.sum("paths").alias("paths"), F.sum("weight").alias("weight"))
+    return found
+
+
 def transition(triples: DataFrame, synonyms: DataFrame, mentions: DataFrame) -> DataFrame:
     """(src, dst, weight): relations both ways by confidence (0 counts as 1), synonyms as stored, mentions both ways by
     log(1 + count); no self loops, doubles summed, rows sum to 1. Passage nodes are `passage:` + chunk id."""

@@ -78,11 +78,15 @@ def bm25_index(posted: DataFrame, length: DataFrame, queries: DataFrame, top_k:
 
 
 def snippet(content: Column, terms: list[str], width: int = 24, left: str = "<<", right: str = ">>", gap: str = " ... ") -> Column:
-    """Window of words with the most query terms, earliest first, terms marked."""
+    """Window of words with the most query terms, earliest first, terms marked.
+
+    The earliest best window is the first, or ends with a term: only those are counted, from the terms' places, however long the text.
+    """
     toks = F.split(F.regexp_replace(F.trim(content), r"\s+", " "), " ")
     hit = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").isin(*terms)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - width + 1, F.lit(1)))
-    scored = F.transform(starts, lambda s: F.struct((-F.size(F.filter(F.slice(toks, s, width), hit))).alias("n"), s.alias("s")))
+    places = F.filter(F.transform(toks, lambda w, i: F.when(hit(w), i + 1)), lambda p: p.isNotNull())
+    starts = F.array_distinct(F.concat(F.array(F.lit(1)), F.transform(places, lambda p: F.greatest(p - (width - 1), F.lit(1)))))
+    scored = F.transform(starts, lambda s: F.struct((-F.size(F.filter(places, lambda p: (p >= s) & (p < s + width)))).alias("n"), s.alias("s")))
     at = F.array_min(scored)["s"]
     body = F.array_join(F.transform(F.slice(toks, at, width), lambda w: F.when(hit(w), F.concat(F.lit(left), w, F.lit(right))).otherwise(w)), " ")
     return F.concat(F.when(at > 1, F.lit(gap)).otherwise(F.lit("")), body, F.when(at + width <= F.size(toks), F.lit(gap)).otherwise(F.lit("")))

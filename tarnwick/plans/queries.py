@@ -205,7 +205,21 @@ def parent_replace(spark, d):
     return r.select("document_id", "parent_id", "child_id", F.md5("content").alias("content"), F.md5("child_content").alias("child_content"))
 
 
-@query()
+def _last(x: str) -> str:
+    """Characters of w before the last x."""
+    return f"CASE WHEN contains(w, {x}) THEN length(regexp_extract(w, '(?s)^(.*)' || {x}, 1)) ELSE -1 END"
+
+
+def _lines(src: str, key: str) -> str:
+    """Line-aware chunks of a table: a window starts an overlap before the last one's end."""
+    cut = lambda s: f"CASE WHEN {s} + 800 >= length(t) THEN length(t) WHEN {_last('chr(10) || chr(10)')} > 400 THEN {s} + {_last('chr(10) || chr(10)')} WHEN {_last('chr(10)')} > 400 THEN {s} + {_last('chr(10)')} ELSE {s} + 800 END"
+    return f"""whole AS (SELECT {key}, {_strip("coalesce(content, '')")} AS t FROM {src}), cuts AS (
+  SELECT {key}, t, CAST(0 AS BIGINT) AS s, CAST({cut('0')} AS BIGINT) AS e FROM (SELECT *, substr(t, 1, 800) AS w FROM whole WHERE t <> '') UNION ALL
+  SELECT {key}, t, s, CAST({cut('s')} AS BIGINT) FROM (SELECT {key}, t, e - 100 AS s, substr(t, e - 99, 800) AS w FROM cuts WHERE e < length(t))),
+lines AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY s) - 1 AS INTEGER) AS position, piece AS content FROM (SELECT {key}, s, {_strip('substr(t, s + 1, e - s)')} AS piece FROM cuts) WHERE length(piece) >= 50)"""
+
+
+@query(f"WITH RECURSIVE {DOCS}, {_lines('docs', 'document_id')} SELECT document_id, dataset_id, position, lines.content, document_id || ':' || position AS chunk_id FROM lines JOIN docs USING (document_id)")
 def newline_chunks(spark, d):
     return chunking.by_lines(_docs(spark, d))
 
@@ -252,7 +266,10 @@ def bm25_benchmark(spark, d):
     return _index(spark, d).search_many(q)
 
 
-@query()
+@query(f"""WITH {_bm25(k=50)}, x AS (SELECT chunk_id, string_split(regexp_replace(trim(content, ' '), '[ \\t\\n\\f\\r\\v]+', ' ', 'g'), ' ') AS w FROM kw JOIN chunks USING (chunk_id)),
+h AS (SELECT *, list_transform(w, lambda t: regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]', '', 'g') IN {tuple(T.query_words(QUERY))}) AS h FROM x), sp AS (SELECT *, unnest(range(1, greatest(len(w) - 23, 1) + 1)) AS s FROM h),
+best AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY len(list_filter(h[s:s + 23], lambda y: y)) DESC, s) = 1)
+SELECT chunk_id, CASE WHEN s > 1 THEN ' ... ' ELSE '' END || array_to_string(list_transform(range(s, least(s + 24, len(w) + 1)), lambda i: CASE WHEN h[i] THEN '<<' || w[i] || '>>' ELSE w[i] END), ' ') || CASE WHEN s + 24 <= len(w) THEN ' ... ' ELSE '' END AS snippet FROM best""")
 def snippet(spark, d):
     hits = _index(spark, d).search(QUERY, top_k=50)
     return _index(spark, d).chunks().join(F.broadcast(hits), "chunk_id").select("chunk_id", lexical.snippet(F.col("content"), T.query_words(QUERY)).alias("snippet"))
@@ -445,6 +462,16 @@ def neighbor_expand(spark, d):
     return graph.expand_by_position(_index(spark, d).search(QUERY, top_k=20), _index(spark, d).chunks())
 
 
+@query(f"""WITH {MENTIONS} SELECT a.entity_id AS src, b.entity_id AS dst, count(*) AS paths, round(CAST(sum(a.count * b.count) AS DOUBLE), 6) AS weight FROM mentions a JOIN mentions b USING (chunk_id)
+WHERE a.entity_id IN (SELECT subj_id FROM ent) AND b.entity_id IN (SELECT obj_id FROM ent) GROUP BY ALL""")
+def graph_two_hops(spark, d):
+    """Customers and parts that orders link: back from an entity to what mentions it, on to other entities."""
+    m, t = _mentions(spark, d), _triples(spark, d)
+    edges = m.select(F.col("chunk_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("MENTIONS").alias("rel"), F.col("count").cast("double").alias("weight"))
+    out = graph.reached(edges, [("MENTIONS", "in"), ("MENTIONS", "out")], t.select(F.col("subj_id").alias("id")), t.select(F.col("obj_id").alias("id")))
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 @query(f"WITH {MENTIONS} SELECT chunk_id, entity_id, count FROM mentions")
 def entity_mentions(spark, d):
     return _mentions(spark, d)
@@ -755,7 +782,23 @@ def wing_tunnels(spark, d):
     return routing.shared_rooms(_t(spark, d, "documents").select(F.col("lang").alias("room"), F.col("source").alias("wing")))
 
 
-@query()
+def _lines_halls() -> str:
+    """Classes of line-aware chunks, and the most frequent of each path with its headings' bonus."""
+    bonus = " UNION ALL ".join(f"SELECT path, {(1 << 40) + k} AS p, 2 AS n, '{hall}' AS hall FROM hd WHERE regexp_matches(lower(array_to_string(hs, ' ')), '{body}')" for k, (hall, body) in enumerate(_BONUS))
+    return f"""halls AS (SELECT path, position AS p, 1 AS n, {_classes('c', T.CHUNK_CLASSES)} AS hall FROM (SELECT path, position, content AS c, lower(content) AS low FROM lines) UNION ALL {bonus}),
+best AS (SELECT path, arg_max(hall, (n, -p)) AS hall FROM (SELECT path, hall, sum(n) AS n, min(p) AS p FROM halls GROUP BY path, hall) GROUP BY path)"""
+
+
+_WORDS3 = f"({_topic('x')})[1:3]"
+
+
+@query(rf"""WITH RECURSIVE {_ABOUT}, {_ACR}, {_lines('files', 'path')}, {_lines_halls()},
+ab8 AS (SELECT path, list(token ORDER BY k) AS a FROM ab GROUP BY path), ac6 AS (SELECT path, string_agg(token, ',' ORDER BY k) AS entities FROM ac WHERE k <= 6 GROUP BY path),
+pr AS (SELECT path, split_part(path, '/', 1) AS wing, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(path, '([^/])\.[^./]*$', '\1')), '[ _/]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS room, hs, coalesce(a, []) AS a, coalesce(entities, '') AS entities, lower(coalesce(content, '')) AS low FROM hd LEFT JOIN ab8 USING (path) LEFT JOIN ac6 USING (path))
+SELECT pr.path, wing, room, coalesce(hall, 'reference') AS dominant_hall, coalesce(n, 0) AS chunk_count, array_to_string(a[1:6], ',') AS about, entities, array_to_string(list_transform(list_reverse_sort(list_filter({_QT}, lambda x: x.s > 0))[1:5], lambda x: x.n), ',') AS qtypes,
+  CAST(CASE WHEN len(hs) > 0 THEN to_json(list_transform(hs[1:6], lambda x, i: {{'id': 'S' || i, 'label': substr(x, 1, 80), 'keywords': CASE WHEN len({_WORDS3}) > 0 THEN {_WORDS3} ELSE a[1:3] END}}))
+    ELSE to_json(list_transform(['core', 'details', 'exceptions'][1:least(3, len(a) // 2 + 1)], lambda x, i: {{'id': 'S' || i, 'label': x, 'keywords': a[2 * i - 1:2 * i + 1]}})) END AS VARCHAR) AS sections
+FROM pr LEFT JOIN best ON best.path = pr.path LEFT JOIN (SELECT path, count(*) AS n FROM lines GROUP BY path) ln ON ln.path = pr.path""")
 def doc_profiles(spark, d):
     p = routing.profiles(_files(spark, d).select("path", "content"))
     return p.select("path", "wing", "room", "dominant_hall", "chunk_count", *[F.concat_ws(",", c).alias(c) for c in ("about", "entities", "qtypes")], F.to_json("sections").alias("sections"))

@@ -231,3 +231,50 @@ def test_registry_names():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_snippet_equals_every_window(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for n in (0, 1, 5, 24, 25, 60, 300):
+        rows.append(" ".join(rng.choice(["pie", "Pie!", "tart", "plain", "x"]) for _ in range(n)))
+    for text in rows:
+        words, width = text.split(" "), 8
+        hit = [w.strip("!").lower() in ("pie", "tart") for w in words]
+        at = max(range(max(len(words) - width, 0) + 1), key=lambda s: (sum(hit[s : s + width]), -s))
+        body = " ".join(f"<<{w}>>" if h else w for w, h in zip(words[at : at + width], hit[at : at + width], strict=True))
+        want = (" ... " if at else "") + body + (" ... " if at + width < len(words) else "")
+        assert one(spark, lexical.snippet(F.col("c"), ["pie", "tart"], width), c=text) == want
+    assert spark.createDataFrame([(None,)], "c string").select(lexical.snippet(F.col("c"), ["pie"])).first()[0] is None
+
+
+def test_reached_counts_every_path(spark):
+    """Patterns of hops equal walks counted one by one; parallel edges, null ends, missing starts and an empty table."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    edges = [(rng.choice("abcdef"), rng.choice("abcdef"), rng.choice(["R", "S"]), float(rng.randint(1, 3))) for _ in range(40)]
+    df = spark.createDataFrame([*edges, (None, "a", "R", 1.0), ("a", None, "R", 1.0)], "src string, dst string, rel string, weight double")
+    ids = lambda x: spark.createDataFrame([(c,) for c in x], "id string")
+    for steps, start, end in (([("R", "out")], None, None), ([("R", "in"), ("S", "out")], "abz", None), ([("S", "out"), ("S", "in"), ("R", "out")], "aa", "bcd")):
+        paths, weight = Counter(), Counter()
+        walks = [(None, None, 1.0)]
+        for k, (rel, way) in enumerate(steps):
+            more = []
+            for first, last, w in walks:
+                for s, t, r, x in edges:
+                    a, b = (s, t) if way == "out" else (t, s)
+                    if r == rel and (k == 0 and (start is None or a in start) or k and a == last):
+                        more.append((first or a, b, w * x))
+            walks = more
+        for first, last, w in walks:
+            if end is None or last in end:
+                paths[first, last] += 1
+                weight[first, last] += w
+        got = graph.reached(df, steps, start and ids(start), end and ids(end)).collect()
+        assert {(r.src, r.dst): (r.paths, r.weight) for r in got} == {k: (n, weight[k]) for k, n in paths.items()}
+    assert graph.reached(df.limit(0), [("R", "out"), ("R", "out")]).count() == 0
+    with pytest.raises(ValueError):
+        graph.reached(df, [("R", "both")])
