@@ -278,3 +278,25 @@ def test_reached_counts_every_path(spark):
     assert graph.reached(df.limit(0), [("R", "out"), ("R", "out")]).count() == 0
     with pytest.raises(ValueError):
         graph.reached(df, [("R", "both")])
+
+
+def test_neighbours_equal_all_pairs(spark):
+    """Clustered vectors, copies, ties, rows that take no part: the same as comparing all, with few of the pairs scored."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in centre[i % 12] + 0.15 * rng.normal(size=8)]) for i in range(360)]
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]
+    odd = [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [float("inf")] + [0.0] * 7), (None, rows[1][1])]
+    schema = "id long, vector array<float>"
+    df, plain = spark.createDataFrame(rows + odd, schema), spark.createDataFrame(rows, schema)
+    want = vectors.similar(plain.select(F.col("id").alias("query_id"), "vector"), plain, 5, 0.8, skip_self=True)
+    for pivots, tile in ((16, 20), (1, 1000), (64, 7)):
+        got = vectors.neighbours(df, 5, 0.8, pivots, tile)
+        assert sorted(map(tuple, got.select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "id", "score", "rank").collect()))
+    sides = vectors._tiles(df, 0.8, 32, 20).groupBy("a", "b").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
+    assert sides.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("x") * F.col("x")).otherwise(F.col("x") * F.col("y")))).first()[0] < len(rows) ** 2 / 4
+    assert vectors.neighbours(df.limit(0)).count() == 0
+    named = plain.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "vector")
+    assert vectors.synonyms(named, 3, 0.9).where("a_id = 'n0'").count() >= 3
