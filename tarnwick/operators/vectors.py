@@ -129,7 +129,7 @@ def neighbours(vectors: DataFrame, top_k: int = 8, threshold: float = 0.85, pivo
     if tiles is None:
         return vectors.sparkSession.createDataFrame([], f"{out}, rank int")
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def score(key, pdf):
         left = pdf[pdf["side"] == 0]
         right = left if key[0] == key[1] else pdf[pdf["side"] == 1]
         if not len(left) or not len(right):
