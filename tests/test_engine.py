@@ -240,3 +240,12 @@ def test_topology_file(spark, tmp_path):
     nodes = spec.read({"nodes": [{"name": "a", "module": "m"}, {"name": "b", "module": "m", "inputs": [{"port": "x", "from": "a.out"}]}]})
     spec.save(nodes, spark, str(tmp_path / "t.json"))
     assert spec.load(spark, str(tmp_path / "t.json")) == nodes
+
+
+def test_mail_ties_in_the_order_of_the_cut(spark, tmp_path):
+    """Ids of one another's beginning: the last cut orders ties as the index does, by chunk id."""
+    box = MailBox(spark, str(tmp_path))
+    schema = "mail_id string, subject string, sender string, recipients string, received string, folder string, body string"
+    box.ingest(spark.createDataFrame([(i, "Event", "a@x", "b@x", "2024-01-02", "in", "same") for i in ("10", "100", "101", "9")], schema))
+    assert [(r.mail_id, r.rank) for r in box.search("event").orderBy("rank").collect()] == [("100", 1), ("101", 2), ("10", 3), ("9", 4)]
+    assert [r.mail_id for r in box.search("event", top_n=2, like="a@").orderBy("rank").collect()] == ["100", "101"]
