@@ -300,3 +300,51 @@ def test_neighbours_equal_all_pairs(spark):
     assert vectors.neighbours(df.limit(0)).count() == 0
     named = plain.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "vector")
     assert vectors.synonyms(named, 3, 0.9).where("a_id = 'n0'").count() >= 3
+
+
+def test_long_texts_cut_in_time_of_their_length(spark):
+    import time
+
+    text = "word " * 400_000
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "c string").select(T.windows(F.col("c"), 512, 50).alias("w")).first().w
+    assert time.time() - began < 30  # each window used to strip and count the whole text anew
+    assert got == [x for k in range(0, len(text.strip()) - 512 + 461 + 1, 462) if (x := text.strip()[k : k + 512].strip())]
+
+
+def test_windows_of_any_overlap(spark):
+    text = "  a\U0001f600b é " + "xy z\n" * 30 + "  "
+    for size, overlap in ((16, 0), (16, 3), (16, 8), (16, 12), (5, 2), (300, 10)):
+        step, whole = size - overlap, text.strip(" \t\n\r\f\v")
+        want = [x for k in range(0, max(len(whole) - size + step - 1, 0) + 1, step) if (x := whole[k : k + size].strip(" \t\n\r\f\v"))]
+        assert spark.createDataFrame([(text,)], "c string").select(T.windows(F.col("c"), size, overlap).alias("w")).first().w == want
+
+
+def test_phrases_need_their_beginnings():
+    assert T._needed("requirements?") == ["requirement"] and T._needed("5[0-9][0-9]") == ["5"] and T._needed("step|workflow") == ["step", "workflow"]
+    assert T._needed("(?:bug|error)") is None and T._needed("let'?s (?:use|try)") == ["let"]
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    from tarnwick.operators.index import Index
+
+    c = spark.createDataFrame([("a:0", "a", "s", 0, "b a b c B"), ("b:0", "b", "s", 0, None), ("c:0", "c", "s", 0, " ")], "chunk_id string, document_id string, dataset_id string, position int, content string")
+    made = Index(spark, str(tmp_path))._postings(c, 5)
+    assert made._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 0
+    assert sorted((r.chunk_id, r.term, r.tf, r.dl) for r in made.collect()) == [("a:0", "a", 1, 5), ("a:0", "b", 3, 5), ("a:0", "c", 1, 5)]
+
+
+def test_pagerank_leaves_nothing_cached(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 0.5), ("b", "c", 0.5), ("c", "b", 1.0)], "src string, dst string, weight double")
+    s = spark.createDataFrame([("a", 1.0), ("x", 2.0)], "node string, weight double")
+    r = {"a": 1.0}
+    for _ in range(50):
+        new = {"a": 0.15}
+        for x, y, w in e.collect():
+            new[y] = new.get(y, 0.0) + 0.85 * w * r.get(x, 0.0)
+        r = new
+    for hub in (50_000, 1):
+        got = {x.node: x.score for x in graph.pagerank(e, s, tolerance=1e-6, hub=hub).collect()}
+        assert got.keys() == r.keys() and all(abs(got[k] - r[k]) < 1e-5 for k in r)
+        assert len(graph.pagerank(e, s, iterations=3, tolerance=0.0, hub=hub).collect()) == 3
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
