@@ -348,3 +348,12 @@ def test_pagerank_leaves_nothing_cached(spark):
         assert got.keys() == r.keys() and all(abs(got[k] - r[k]) < 1e-5 for k in r)
         assert len(graph.pagerank(e, s, iterations=3, tolerance=0.0, hub=hub).collect()) == 3
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_similar_by_batches(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(20)] + [(20, None), (21, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = vectors.similar(v.where("id = 0").select(F.col("id").alias("query_id"), "vector"), v, None).collect()
+    assert len(got) == 22 and {r.score for r in got if r.id == 20} == {0.0}  # a null vector had no score
+    top = vectors.similar(v.where("id = 0").select(F.col("id").alias("query_id"), "vector"), v, 4, skip_self=True).orderBy("rank").collect()
+    assert [r.id for r in top] == [21, 3, 6, 9]
