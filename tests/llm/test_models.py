@@ -336,3 +336,27 @@ def test_null_ids_and_clashing_names(spark, tmp_path, mod):
     out, name = mod.score(df, model)
     assert out.columns == [*df.columns, name] and out.first()[2:4] == (7, 8)
     assert mod.score(df.limit(0), model)[0].count() == 0
+
+
+def test_quality_learns_from_all_pairs(spark):
+    """Weights are those of the loss of all pairs of good and bad documents, the threshold lies between the scores that the share of bad ones sets."""
+    r = np.random.default_rng(12)
+    y = (r.random(500) < 0.7).astype(int)
+    x = np.column_stack([y + r.normal(0, 1.5, 500), r.normal(3, 2, 500), 0.3 * y + r.normal(0, 1, 500)])
+    model = quality_bt.fit(spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x, strict=True)], "y int, x array<double>").repartition(3))
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    diff, w = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(diff @ w)))
+        w -= np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-3 * np.eye(3), diff.T @ (p - 1) / len(diff) + 1e-3 * w)
+    assert np.abs(model["w"] - w).max() < 1e-3
+    s = np.sort((x - model["mean"]) / model["sd"] @ model["w"])
+    assert model["at"] == pytest.approx((s[(y == 0).sum() - 1] + s[(y == 0).sum()]) / 2, abs=1e-12)
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    rows, n = [], 13_000
+    monkeypatch.setattr(quality_bt, "fit", lambda x: rows.append(x.groupBy("y").count().collect()))
+    docs = spark.range(n + 50).selectExpr("id as doc_id", "'some words' as text")
+    quality_bt.train(docs, spark.range(n).selectExpr("id as doc_id", "cast(id % 2 as int) as quality"))
+    assert {r.y: r["count"] for r in rows[0]} == {0: n // 2, 1: n // 2}
