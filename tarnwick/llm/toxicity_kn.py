@@ -11,8 +11,8 @@ remark in a long text is lost in the whole, but not in its passage; as the great
 the number of words goes beside them. A logistic curve, fitted on labelled documents the models haven't seen, turns these comparisons into
 a score.
 
-Only labels of documents whose crc32 modulo 4 is not 2 are learned from, at most about SAMPLE of each class, chosen by
-a hash of the id: six tenths make the models, the rest the curve. Labels, language, source and id are no features. All n-grams of
+All labels of documents whose crc32 modulo 4 is not 2 are learned from: six tenths, by a hash of the id, make the models, the rest the
+curve. Labels, language, source and id are no features. All n-grams of
 all words of the documents learned from are counted, without a limit on the vocabulary.
 
 Defined results: null and empty texts have differences of 0 and get their score; null labels and labels of null ids are not learned
@@ -31,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwick.llm.common import table, unused
-from tarnwick.llm.quality_bt import crc_of, sampled
+from tarnwick.llm.common import bit_of, bit_set, dropped, packed, saved, table, unpacked, unused
+from tarnwick.llm.quality_bt import _lists, _matrix, crc_of, known
 
-#: Labelled documents learned from, for each class, about.
-SAMPLE = 3000
 ORDER, SHARED = 5, 2
 DISCOUNT = 0.75
 THRESHOLD = 0.3
 WINDOWS = (1, 3, 10)
 #: Words remembered by a worker, and characters of the longest of them.
 REMEMBERED, LONGEST = 300_000, 64
+#: Different words that a task counts before it hands them on.
+COUNTED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -152,13 +152,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _count(batches):
-    for batch in batches:
-        by = (Counter(), Counter())
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            by[y].update(words_of(text))
+    by = (Counter(), Counter())
+
+    def counted():
         for y in (0, 1):
             if by[y]:
                 yield pa.RecordBatch.from_arrays([pa.array([y] * len(by[y]), pa.int32()), pa.array(list(by[y]), pa.string()), pa.array(list(by[y].values()), pa.int64())], names=["y", "word", "c"])
+                by[y].clear()
+
+    for batch in unpacked(batches):
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            by[y].update(words_of(text))
+        if len(by[0]) + len(by[1]) > COUNTED:
+            yield from counted()
+    yield from counted()
 
 
 def _grams(batches):
@@ -175,35 +182,61 @@ def _grams(batches):
 def _features(model):
     def run(batches):
         m = model.value["kn"]
+        for batch in unpacked(batches):
+            f = np.array([m.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(WINDOWS) + 2)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), _lists(f)], names=["y", "f"])
+
+    return run
+
+
+def _slopes(w: np.ndarray):
+    """A task's sums for a Newton step of the logistic curve: count, label 1, gradient, second derivatives."""
+
+    def run(batches):
+        total = np.zeros(2 + len(w) + len(w) ** 2)
         for batch in batches:
-            f = [m.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(f, pa.list_(pa.float64()))], names=["doc_id", "y", "f"])
+            if batch.num_rows:
+                x, y = np.column_stack([_matrix(batch, "f"), np.ones(batch.num_rows)]), np.asarray(batch.column("y"))
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total += np.concatenate([[len(y), y.sum()], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).reshape(-1)])
+        yield pa.RecordBatch.from_arrays([_lists(total[None])], names=["v"])
 
     return run
 
 
-def _curve(f: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by damped Newton steps, intercept last."""
-    x = np.column_stack([f, np.ones(len(f))])
-    w = np.zeros(x.shape[1])
+def _curve(rows: DataFrame, size: int, ridge: float = 1e-3) -> tuple[np.ndarray, float, float]:
+    """Logistic regression of a stored table (y, f) by damped Newton steps, intercept last; and the rows and those of label 1. A step's sums are Spark's."""
+    w = np.zeros(size + 1)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + ridge * w * np.append(np.ones(len(w) - 1), 0)
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + (ridge + 1e-9) * np.eye(len(w))
+        found = rows.mapInArrow(_slopes(w), "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+        total = np.zeros(2 + len(w) + len(w) ** 2)
+        for r in found:
+            total[r.i] = r.x
+        n, ones = total[:2]
+        if not n:
+            break
+        grad = total[2 : 2 + len(w)] / n + ridge * w * np.append(np.ones(size), 0)
+        hess = total[2 + len(w) :].reshape(len(w), -1) / n + (ridge + 1e-9) * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-7:
             break
-    return w
+    return np.round(w, 9), float(n), float(ones)  # rounded, so that the order in which tasks end changes nothing
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, y): texts of the labelled documents, packed; others end where they are read."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("bit", bit_of("doc_id"))
+    return packed(keyed, "text", bit_set(labels, "doc_id"), "bit").join(labels, "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict:
-    """Models and curve. Counts of the n-grams of all words of the sampled documents, and these documents' features, reach the driver: they are bounded as the sample is."""
-    some, counts = sampled(labels, "toxic", per_class)
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """Models and curve from all the labels given. The counts of the different n-grams reach the driver, as the models hold them; the curve's features stay on Spark."""
+    some = known(labels, "toxic").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)))
+    counts = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return {"kn": None, "w": None}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)))
-    words = rows.where("part < 6").select("text", "y").mapInArrow(_count, "y int, word string, c long").groupBy("y", "word").agg(F.sum("c").alias("c"))
+    words = _labelled(docs, some.where("part < 6")).select("text", "y").mapInArrow(_count, "y int, word string, c long").groupBy("y", "word").agg(F.sum("c").alias("c"))
     found = words.mapInArrow(_grams, "y int, gram string, c long").groupBy("y", "gram").agg(F.sum("c").alias("c")).toArrow()
     by: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for y, g, c in sorted(zip(*(found.column(k).to_pylist() for k in ("y", "gram", "c")), strict=True)):
@@ -212,12 +245,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict:
         return {"kn": None, "w": None}
     kn = KneserNey(grams=[*by])
     model = docs.sparkSession.sparkContext.broadcast({"kn": kn})
-    got = rows.where("part >= 6").select("doc_id", "text", "y").mapInArrow(_features(model), "doc_id long, y int, f array<double>").orderBy("doc_id").collect()
+    rows = saved(_labelled(docs, some.where("part >= 6")).select("text", "y").mapInArrow(_features(model), "y int, f array<double>"))
+    w, n, ones = _curve(rows, len(WINDOWS) + 2)
+    dropped(rows)
     # the curve sees the classes as often as the labels have them
-    y = np.array([r.y for r in got], float)
-    w = _curve(np.array([r.f for r in got]).reshape(-1, len(WINDOWS) + 2), y)
     share = counts[1] / (counts[0] + counts[1])
-    seen = y.mean() if len(y) else share
+    seen = ones / n if n else share
     w[-1] += math.log(share / (1 - share)) - math.log(max(seen, 1e-6) / max(1 - seen, 1e-6))
     return {"kn": kn, "w": w}
 

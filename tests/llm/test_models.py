@@ -360,3 +360,18 @@ def test_quality_learns_from_every_label(spark, monkeypatch):
     docs = spark.range(n + 50).selectExpr("id as doc_id", "'some words' as text")
     quality_bt.train(docs, spark.range(n).selectExpr("id as doc_id", "cast(id % 2 as int) as quality"))
     assert {r.y: r["count"] for r in rows[0]} == {0: n // 2, 1: n // 2}
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """Each document has a word of its own, so one that is not learned from is missed in the counts."""
+    from pyspark.sql import functions as F
+
+    n = 8000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), F.translate(F.lpad(F.col("id").cast("string"), 5, "0"), "0123456789", "abcdefghij")).alias("text"))
+    model = toxicity_kn.train(docs, spark.range(n).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic"))
+    learned = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)) < 6).collect()
+    words = tuple(toxicity_kn.Counter(w for r in learned if r.doc_id % 2 == y for w in r.text.split()) for y in (0, 1))
+    want = toxicity_kn.KneserNey(words)
+    assert sum(words[0].values()) > 4000
+    for r in learned[::50]:
+        assert model["kn"].ratio(r.text[7:]) == pytest.approx(want.ratio(r.text[7:]), abs=1e-6)
