@@ -357,3 +357,22 @@ def test_similar_by_batches(spark):
     assert len(got) == 22 and {r.score for r in got if r.id == 20} == {0.0}  # a null vector had no score
     top = vectors.similar(v.where("id = 0").select(F.col("id").alias("query_id"), "vector"), v, 4, skip_self=True).orderBy("rank").collect()
     assert [r.id for r in top] == [21, 3, 6, 9]
+
+
+def test_transition_shuffles_its_edges_once(spark):
+    trip = spark.createDataFrame([("t", "c1", "a", "p", "b", 0.0), ("u", "c2", "a", "p", "b", 0.5), ("v", "c2", "a", "p", "a", 1.0)], "triple_id string, chunk_id string, subj_id string, pred string, obj_id string, confidence double")
+    men = spark.createDataFrame([("c1", "a", 1), ("c2", "b", 0)], "chunk_id string, entity_id string, count long")
+    syn = spark.createDataFrame([("a", "b", 0.25)], "a_id string, b_id string, score double")
+    out = graph.transition(trip, syn, men)
+    got = {(r.src, r.dst): r.weight for r in out.collect()}
+    e = 0.6931471805599453
+    assert got == pytest.approx({("a", "b"): 1.75 / (1.75 + e), ("a", "passage:c1"): e / (1.75 + e), ("b", "a"): 1.5 / (1.5 + e), ("b", "passage:c2"): e / (1.5 + e), ("passage:c1", "a"): 1.0, ("passage:c2", "b"): 1.0})
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_ids_of_names_are_made_once(spark):
+    raw = spark.createDataFrame([("c", "Ann", "Likes", "(Bob)", 1.0, "x1", "y1"), ("c", "Ann", "Likes", "...", 1.0, "x1", knowledge.BLANK)], "chunk_id string, subject string, predicate string, object string, confidence double, subj_id string, obj_id string")
+    assert [tuple(r) for r in knowledge.triples(raw).select("chunk_id", "subj_id", "pred", "obj_id").collect()] == [("c", "x1", "likes", "y1")]
+    assert sorted(map(tuple, knowledge.names(raw).collect())) == [("x1", "ann"), ("y1", "bob")]
+    plain = raw.drop("subj_id", "obj_id")
+    assert knowledge.triples(plain).count() == 1 and {r.canonical for r in knowledge.names(plain).collect()} == {"ann", "bob"}
