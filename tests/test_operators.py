@@ -376,3 +376,12 @@ def test_ids_of_names_are_made_once(spark):
     assert sorted(map(tuple, knowledge.names(raw).collect())) == [("x1", "ann"), ("y1", "bob")]
     plain = raw.drop("subj_id", "obj_id")
     assert knowledge.triples(plain).count() == 1 and {r.canonical for r in knowledge.names(plain).collect()} == {"ann", "bob"}
+
+
+def test_rooms_keep_entities_of_documents_without_topics(spark, tmp_path):
+    from tarnwick.plans import queries
+
+    rows = [(1, "AB 12 AB", "en", "web", 8), (2, "the the", "en", "web", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.room: (r.doc_count, r.about, r.entities) for r in queries.room_index(spark, str(tmp_path)).collect()}
+    assert got == {"web-en-notes-1": (1, "", "AB"), "web-en-notes-2": (1, "", "")}
