@@ -195,3 +195,18 @@ def test_blocks_skip_without_loss(spark, tmp_path):
         assert got == {(r.query_id, r.chunk_id, r.score, r.rank) for r in lexical.bm25_index(post, length, many, k).collect()}
     ix.compact()
     assert ix.search("red", top_k=5, probe=1).count() == 5
+
+
+def test_new_documents_end_nothing(spark, tmp_path):
+    """Uploads of documents that are new leave reads plain scans; those of documents that are there still end the old rows."""
+    from tarnwick.operators import chunking
+    from tarnwick.operators.index import Index
+
+    ix = Index(spark, str(tmp_path / "ix"))
+    chunks = lambda rows: chunking.flat(spark.createDataFrame(rows, "document_id long, dataset_id string, content string"))
+    ix.upsert(chunks([(1, "a", "red fox"), (2, "a", "red hen")]))
+    ix.upsert(chunks([(3, "b", "blue fox")]))
+    assert all("Join" not in t._jdf.queryExecution().optimizedPlan().toString() for t in (ix.chunks(), ix.postings()))
+    assert ix.figures() == (3.0, 2.0) and ix.search("fox").count() == 2
+    ix.upsert(chunks([(1, "a", "red cat dog"), (4, "b", "blue cat")]))
+    assert ix.figures() == (4.0, 9 / 4) and [r.chunk_id for r in ix.search("fox").collect()] == ["3:0"] and ix.search("cat").count() == 2
