@@ -16,34 +16,56 @@ def _top(items: DataFrame, group: list[str], value: str, weight: str, first: str
     return best.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", value))), lambda x: x[value]).alias(out))
 
 
+def _topic_words(content: Column, headings: Column) -> Column:
+    """Topic words of a document, those of headings first and three times each."""
+    head = F.flatten(F.transform(headings, T.topic_words))
+    return F.concat(F.flatten(F.transform(head, lambda w: F.array_repeat(w, 3))), T.topic_words(content))
+
+
 def topics(docs: DataFrame, most: int = 8) -> DataFrame:
-    """(path, about): most frequent topic words, those of headings counting three times and coming first in ties."""
-    head = F.flatten(F.transform(T.headings(F.col("content")), T.topic_words))
-    words = F.concat(F.transform(head, lambda w: F.struct(w.alias("w"), F.lit(3).alias("n"))), F.transform(T.topic_words(F.col("content")), lambda w: F.struct(w.alias("w"), F.lit(1).alias("n"))))
-    rows = docs.select("path", F.posexplode(words).alias("p", "x")).select("path", "p", F.col("x.w").alias("token"), F.col("x.n").alias("n"))
-    return _top(rows, ["path"], "token", "n", "p", most, "about")
+    """(path, about): most frequent topic words, those of headings counting three times and coming first in ties. A document is counted in its row; nothing is shuffled."""
+    rows = docs.select("path", "content", T.headings(F.col("content")).alias("headings"))
+    return rows.select("path", T.most_frequent(_topic_words(F.col("content"), F.col("headings")), most).alias("about")).where("size(about) > 0")
 
 
 def acronym_list(docs: DataFrame, most: int = 8) -> DataFrame:
     """(path, entities): capital words seen twice or more, most frequent first."""
-    rows = docs.select("path", F.posexplode(T.acronyms(F.col("content"))).alias("p", "token")).withColumn("n", F.lit(1))
-    often = rows.groupBy("path", "token").agg(F.count("*").alias("c"), F.min("p").alias("p")).where("c >= 2")
-    return _top(often, ["path"], "token", "c", "p", most, "entities")
+    return docs.select("path", T.most_frequent(T.acronyms(F.col("content")), most, 2).alias("entities")).where("size(entities) > 0")
+
+
+_BONUS = (("decisions", r"(?:^|[^\p{L}\p{N}_])decision|trade-?off|chosen(?:$|[^\p{L}\p{N}_])"), ("problems", r"(?:^|[^\p{L}\p{N}_])error|troubleshoot|debug|incident(?:$|[^\p{L}\p{N}_])"), ("reference", r"(?:^|[^\p{L}\p{N}_])reference|matrix|lookup(?:$|[^\p{L}\p{N}_])"))
+_LATE = 1 << 40
+
+
+def _bonus(headings: Column) -> Column:
+    """Classes (hall, p, n) that a document's headings speak for."""
+    heads = F.lower(F.array_join(headings, " "))
+    found = [F.when(heads.rlike(body), F.struct(F.lit(hall).alias("hall"), F.lit(_LATE + k).alias("p"), F.lit(2).alias("n"))) for k, (hall, body) in enumerate(_BONUS)]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def dominant_class(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """(path, dominant_hall): class of most chunks (document_id is the path), heading words adding two; ties by first appearance; `reference` without chunks."""
     c = chunks.select(F.col("document_id").alias("path"), T.chunk_class(F.col("content")).alias("hall"), F.col("position").cast("long").alias("p"), F.lit(1).alias("n"))
-    heads = F.lower(F.array_join(T.headings(F.col("content")), " "))
-    late = F.lit(1 << 40)
-    rule = lambda body, hall, k: F.when(heads.rlike(body), F.struct(F.lit(hall).alias("hall"), (late + k).alias("p"), F.lit(2).alias("n")))
-    bonus = F.array(rule(r"(?:^|[^\p{L}\p{N}_])decision|trade-?off|chosen(?:$|[^\p{L}\p{N}_])", "decisions", 0), rule(r"(?:^|[^\p{L}\p{N}_])error|troubleshoot|debug|incident(?:$|[^\p{L}\p{N}_])", "problems", 1), rule(r"(?:^|[^\p{L}\p{N}_])reference|matrix|lookup(?:$|[^\p{L}\p{N}_])", "reference", 2))
-    extra = docs.select("path", F.explode(F.filter(bonus, lambda x: x.isNotNull())).alias("x")).select("path", "x.hall", "x.p", "x.n")
+    extra = docs.select("path", F.explode(_bonus(T.headings(F.col("content")))).alias("x")).select("path", "x.hall", "x.p", "x.n")
     score = c.unionByName(extra).groupBy("path", "hall").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
     best = score.groupBy("path").agg(F.max_by("hall", F.struct("n", -F.col("p"))).alias("dominant_hall"))
     return docs.select("path").join(best, "path", "left").select("path", F.coalesce("dominant_hall", F.lit("reference")).alias("dominant_hall"))
 
 
+def _dominant(halls: Column, bonus: Column) -> Column:
+    """`dominant_class` of the classes of a document's chunks, in order, and what its headings speak for."""
+    last = F.lit(2 * _LATE)
+
+    def score(hall: str) -> Column:
+        own = F.filter(bonus, lambda x: x["hall"] == hall)
+        first = F.when(F.array_contains(halls, hall), F.array_position(halls, F.lit(hall)) - 1).otherwise(F.coalesce(F.get(own, 0)["p"], last))
+        return F.struct((F.size(F.filter(halls, lambda x: x == hall)) + 2 * F.size(own)).alias("n"), (-first).alias("p"), F.lit(hall).alias("hall"))
+
+    best = F.array_max(F.array(*[score(hall) for hall in T.CLASS_ORDER]))
+    return F.transform(F.array(best), lambda x: F.when(x["n"] > 0, x["hall"]).otherwise("reference"))[0]
+
+
 def sections(headings: Column, about: Column) -> Column:
     """Up to six sections of the headings with keywords, or core / details / exceptions out of the topics."""
     words = lambda h: F.slice(T.topic_words(h), 1, 3)
@@ -54,15 +76,15 @@ def sections(headings: Column, about: Column) -> Column:
 
 
 def profiles(docs: DataFrame, root: str = "root") -> DataFrame:
-    """One row per document (path, content): wing, room, class, topics, question types, entities, sections."""
-    ids = docs.select(F.col("path").alias("document_id"), F.lit("").alias("dataset_id"), "content")
-    chunks = chunking.by_lines(ids).select("document_id", "position", "content")
-    base = docs.select("path", T.wing(F.col("path"), root).alias("wing"), T.room(F.col("path")).alias("room"), T.headings(F.col("content")).alias("headings"), T.question_types(F.col("content")).alias("qtypes"))
-    n = chunks.groupBy(F.col("document_id").alias("path")).agg(F.count("*").alias("chunk_count"))
-    out = base.join(dominant_class(chunks, docs), "path", "left").join(n, "path", "left").join(topics(docs), "path", "left").join(acronym_list(docs), "path", "left")
-    none = F.array().cast("array<string>")
-    out = out.withColumns({"about": F.coalesce("about", none), "entities": F.slice(F.coalesce("entities", none), 1, 6), "chunk_count": F.coalesce("chunk_count", F.lit(0))})
-    return out.withColumn("sections", sections(F.col("headings"), F.col("about"))).withColumn("about", F.slice("about", 1, 6))
+    """One row per document (path, content): wing, room, class, topics, question types, entities, sections.
+
+    All of a document is found in its row, in one pass over the texts without joins or shuffles, so the work grows as the texts do."""
+    text = F.col("content")
+    rows = docs.select("path", "content", T.headings(text).alias("headings"), T.question_types(text).alias("qtypes"))
+    found = rows.select("path", "headings", "qtypes", chunking.lines(text).alias("chunks"), T.most_frequent(_topic_words(text, F.col("headings")), 8).alias("topics"), T.most_frequent(T.acronyms(text), 6, 2).alias("entities"))
+    classed = found.select("path", "headings", "qtypes", "topics", "entities", F.transform("chunks", T.chunk_class).alias("halls"), _bonus(F.col("headings")).alias("bonus"))
+    path, topic = F.col("path"), F.col("topics")
+    return classed.select("path", T.wing(path, root).alias("wing"), T.room(path).alias("room"), "headings", "qtypes", _dominant(F.col("halls"), F.col("bonus")).alias("dominant_hall"), F.size("halls").cast("long").alias("chunk_count"), F.slice(topic, 1, 6).alias("about"), "entities", sections(F.col("headings"), topic).alias("sections"))
 
 
 def rooms(profile: DataFrame) -> DataFrame:

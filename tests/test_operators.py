@@ -385,3 +385,26 @@ def test_rooms_keep_entities_of_documents_without_topics(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.room: (r.doc_count, r.about, r.entities) for r in queries.room_index(spark, str(tmp_path)).collect()}
     assert got == {"web-en-notes-1": (1, "", "AB"), "web-en-notes-2": (1, "", "")}
+
+
+def test_profiles_are_found_in_their_rows(spark):
+    text = "# Decision log\nalpha beta-beta_gamma 9ab/delta alpha API API \U0001d400API XML XML THE THE zz_9 ABCDEF éAPI gamma\n" + "the chosen error " * 60
+    p = routing.profiles(spark.createDataFrame([("w/a.md", text), ("b.md", None), ("w/c.md", "")], "path string, content string"))
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = {r.path: r for r in p.collect()}
+    a, b = rows["w/a.md"], rows["b.md"]
+    assert a.entities == ["API", "XML"] and a.headings == ["Decision log"] and a.chunk_count == 2
+    assert a.about == ["chosen", "error", "decision", "log", "api", "alpha"]  # 60 times; four, by first place; two
+    assert (b.wing, b.dominant_hall, b.chunk_count, b.about, b.entities, b.qtypes) == ("root", "reference", 0, [], [], []) and rows["w/c.md"].about == []
+    # in its row as by tables of chunks
+    d = spark.createDataFrame([("w/a.md", text), ("b.md", None), ("w/c.md", "# Chosen\n" + "a bug " * 20), ("d", "# Lookup\n" + "api " * 500)], "path string, content string")
+    chunks = chunking.by_lines(d.select(F.col("path").alias("document_id"), F.lit("").alias("dataset_id"), "content"))
+    want = {r.path: r.dominant_hall for r in routing.dominant_class(chunks, d).collect()}
+    assert {r.path: r.dominant_hall for r in routing.profiles(d).collect()} == want
+
+
+def test_most_frequent(spark):
+    words = "b a c a b d".split()
+    assert one(spark, T.most_frequent(F.col("w"), 3), w=words) == ["b", "a", "c"] and one(spark, T.most_frequent(F.col("w"), 9, 2), w=words) == ["b", "a"]
+    assert one(spark, T.topic_words(F.col("c")), c="1abc-de/Fgh_x9y 12ab_c ab_cdef The a-b-c") == ["abc", "fgh", "x9y", "cdef"]
