@@ -210,3 +210,35 @@ def test_new_documents_end_nothing(spark, tmp_path):
     assert ix.figures() == (3.0, 2.0) and ix.search("fox").count() == 2
     ix.upsert(chunks([(1, "a", "red cat dog"), (4, "b", "blue cat")]))
     assert ix.figures() == (4.0, 9 / 4) and [r.chunk_id for r in ix.search("fox").collect()] == ["3:0"] and ix.search("cat").count() == 2
+
+
+def test_reads_are_narrowed_before_ended_keys(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "narrow"), {"t": "k"})
+    table = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    s.append("t", table((1, "a"), (2, "b"), (3, "c")))
+    s.append("t", table((2, "d")), table((2, "")))
+    s.append("t", table((4, "e")))
+    assert sorted(map(tuple, s.read("t").collect())) == [(1, "a"), (2, "d"), (3, "c"), (4, "e")]
+    got = s.read("t", narrow=lambda rows: rows.where("k <> 3"))
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "d"), (4, "e")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")  # only the segment that the keys can end is joined
+
+
+def test_search_sends_the_rarest_terms_chunks(spark, tmp_path, monkeypatch):
+    from tarnwick.operators import chunking, index
+
+    docs = lambda rows: chunking.flat(spark.createDataFrame([(str(i), "ds", t) for i, t in rows], "document_id string, dataset_id string, content string"))
+    ix = index.Index(spark, str(tmp_path / "sent"))
+    ix.write(docs([(i, "common " * (i % 4 + 1) + ("rare" if i % 5 == 0 else "x")) for i in range(40)]))
+    ix.upsert(docs([(i, "common common rare y") for i in range(0, 40, 4)]))
+    ix.delete(docs([(5, "z")]))
+    plans, kept = [], {}
+    for sent in (0, index.SENT):
+        monkeypatch.setattr(index, "SENT", sent)
+        found = ix.search("common rare", top_k=30)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        kept[sent] = [tuple(r) for r in found.collect()]
+    first, second = kept.values()
+    assert first == second and len(first) == 15 and "5:0" not in {r[0] for r in first}
+    assert "LeftSemi" in plans[1] and "LeftSemi" not in plans[0]
