@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwick.llm import count_rtree, debruijn_spans, line_suffix
+from tarnwick.llm import common, count_rtree, debruijn_spans, line_suffix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -258,3 +258,31 @@ def test_large_counts_are_kept():
 
     tree = count_rtree.CountTree([np.arange(40, dtype=np.uint64)] * 3)
     assert tree.point(np.zeros((1 << 20) + 5, np.uint64))[0] == (1 << 20) + 5
+
+
+def _chained(df) -> int:
+    """The most Python evaluations that one task of df holds at a time."""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        at = re.search("[A-Za-z]", line)
+        if not at:
+            break
+        above = [(d, n) for d, n in above if d < at.start()]
+        depth = 0 if line[at.start() :].startswith("Exchange") else (above[-1][1] if above else 0) + ("MapInArrow" in line)
+        above.append((at.start(), depth))
+        most = max(most, depth)
+    return most
+
+
+def test_tasks_hold_one_python_worker(spark):
+    """A worker takes over 100 MB beside the heap, and each Python evaluation of a stage has one of its own in every task."""
+    docs = frame(spark, corpus()).repartition(3)
+    for made in (line_suffix.dedup_lines(docs), debruijn_spans.dedup_substrings(docs), count_rtree.drop_near_duplicates(docs)):
+        assert _chained(made) == 1
+
+
+def test_few_rows_need_no_python_worker(spark):
+    for n in (0, 2):
+        made = common.few(spark, {"p": list(range(n)), "x": [[{"m": 1, "at": {"sid": -(1 << 62)}}]] * n}, "p int, x array<struct<m: int, at: struct<sid: bigint>>>")
+        assert "RDD" not in made._jdf.queryExecution().executedPlan().toString()
+        assert [(r.p, r.x[0].m, r.x[0].at.sid) for r in made.collect()] == [(k, 1, -(1 << 62)) for k in range(n)]
