@@ -408,3 +408,33 @@ def test_most_frequent(spark):
     words = "b a c a b d".split()
     assert one(spark, T.most_frequent(F.col("w"), 3), w=words) == ["b", "a", "c"] and one(spark, T.most_frequent(F.col("w"), 9, 2), w=words) == ["b", "a"]
     assert one(spark, T.topic_words(F.col("c")), c="1abc-de/Fgh_x9y 12ab_c ab_cdef The a-b-c") == ["abc", "fgh", "x9y", "cdef"]
+
+
+def test_pagerank_steps_shuffle_nothing(spark):
+    """Blocks and segments of any size give the ranks of the plain loop, and a step is one stage."""
+    rows = [(f"n{i}", f"n{j}", 1.0 / (1 + (i * j) % 5)) for i in range(12) for j in range(12) if (i * 7 + j) % 4 == 0] + [("n1", "hub", 0.5), ("n1", "hub", 0.25), (None, "n1", 1.0), ("hub", "n2", None)]
+    e = spark.createDataFrame(rows, "src string, dst string, weight double")
+    s = spark.createDataFrame([("n0", 3.0), ("n1", 1.0), ("zz", 1.0)], "node string, weight double")
+    start = {"n0": 0.75, "n1": 0.25}
+    r = start
+    for _ in range(4):
+        new = {n: 0.15 * w for n, w in start.items()}
+        for x, y, w in rows:
+            new[y] = new.get(y, 0.0) + 0.85 * (w or 0.0) * r.get(x, 0.0)
+        r = new
+    want = {n: x for n, x in r.items() if x > 0}
+    assert {x.node: x.score for x in graph.pagerank(e, s, iterations=4, tolerance=0.0, hub=5).collect()} == pytest.approx(want)
+    g = graph.Graph(e, spark.sparkContext.getCheckpointDir(), block=9, segment=1)
+    g.start(spark.createDataFrame(list(start.items()), "node string, s double"), "s")
+    assert g.blocks > 1 and g.step("s", "r", "s", 0.85) > 0
+    once = {x.node: x.score for x in graph.pagerank(e, s, iterations=1, tolerance=0.0).collect()}
+    assert {x.node: x.score for x in g.ranks("r").collect()} == pytest.approx(once)
+    sc = spark.sparkContext
+
+    def stages(n):
+        sc.setJobGroup(f"steps {n}", "")
+        graph.pagerank(e, s, iterations=n, tolerance=0.0).collect()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup(f"steps {n}"))
+
+    assert stages(6) - stages(2) == 4
