@@ -438,3 +438,10 @@ def test_pagerank_steps_shuffle_nothing(spark):
         return sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup(f"steps {n}"))
 
     assert stages(6) - stages(2) == 4
+
+
+def test_scores_of_chunks_take_all_entities(spark):
+    ranks = spark.range(6000).select(F.concat(F.lit("e"), "id").alias("node"), (1 / (F.col("id") + 1)).alias("score"))
+    men = spark.range(6000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("e"), "id").alias("entity_id"), F.lit(1).alias("count"))
+    got = graph.chunk_scores(ranks, men, men, top=7000)
+    assert got.count() == 6000 and got.where("chunk_id = 'c5999'").count() == 1
