@@ -445,3 +445,16 @@ def test_scores_of_chunks_take_all_entities(spark):
     men = spark.range(6000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("e"), "id").alias("entity_id"), F.lit(1).alias("count"))
     got = graph.chunk_scores(ranks, men, men, top=7000)
     assert got.count() == 6000 and got.where("chunk_id = 'c5999'").count() == 1
+
+
+def test_pipeline_search_uses_its_chunks(spark, monkeypatch):
+    """Keyword hits are among the chunks that the stage before hands on."""
+    from tarnwick.plans import queries
+
+    d, flat = "/root/testdata/sf0.001", chunking.flat
+    few = lambda c: c.where("position = 0")
+    found = {r.chunk_id for r in queries.pipeline_search(spark, d).collect()}
+    want = {r.chunk_id for r in lexical.bm25(few(queries._chunks(spark, d)), queries.QUERY).collect()}
+    monkeypatch.setattr(chunking, "flat", lambda docs: few(flat(docs)))
+    got = {r.chunk_id for r in queries.pipeline_search(spark, d).collect()}
+    assert all(c.endswith(":0") for c in got) and want & got and got != found
