@@ -458,3 +458,14 @@ def test_pipeline_search_uses_its_chunks(spark, monkeypatch):
     monkeypatch.setattr(chunking, "flat", lambda docs: few(flat(docs)))
     got = {r.chunk_id for r in queries.pipeline_search(spark, d).collect()}
     assert all(c.endswith(":0") for c in got) and want & got and got != found
+
+
+def test_knowledge_search_does_the_whole_job(spark):
+    """Facts and entities near the question are seeds, and ranks stand still: another step changes next to nothing."""
+    from tarnwick.plans import queries
+
+    found = queries._associative(spark, "/root/testdata/sf0.001", whole=True)
+    seeds = found.seeds.collect()
+    assert found.triples.count() == 5 and {r.triple_id for r in found.triples.collect()} and sum(not r.node.startswith("passage:") for r in seeds) > 5
+    more = graph.pagerank(queries._edges(spark, "/root/testdata/sf0.001"), found.seeds, iterations=60, tolerance=0.0).orderBy(F.desc("score"), "node").where("not node like 'passage:%'").limit(20)
+    assert [r.score for r in found.entities.collect()] == pytest.approx([r.score for r in more.collect()], abs=1e-6)
