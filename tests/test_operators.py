@@ -469,3 +469,17 @@ def test_knowledge_search_does_the_whole_job(spark):
     assert found.triples.count() == 5 and {r.triple_id for r in found.triples.collect()} and sum(not r.node.startswith("passage:") for r in seeds) > 5
     more = graph.pagerank(queries._edges(spark, "/root/testdata/sf0.001"), found.seeds, iterations=60, tolerance=0.0).orderBy(F.desc("score"), "node").where("not node like 'passage:%'").limit(20)
     assert [r.score for r in found.entities.collect()] == pytest.approx([r.score for r in more.collect()], abs=1e-6)
+
+
+def test_many_queries_make_no_postings(spark, tmp_path, monkeypatch):
+    """Chunks are scored in their tasks, with the rows of the plain definition, and no index is made."""
+    from tarnwick.plans import queries
+
+    c = spark.createDataFrame([(f"c{i}:0", " ".join(f"w{(i * k) % 11}" for k in range(1, 3 + i % 9))) for i in range(90)] + [("e:0", ""), ("n:0", None)], "chunk_id string, content string").where("content is not null")
+    q = spark.createDataFrame([("a", "w1"), ("a", "w2"), ("a", "w1"), ("b", "w0"), ("c", "none"), ("d", "w3"), ("d", "w4")], "query_id string, term string")
+    for held, k in ((4_000_000, 5), (40, 3), (4_000_000, 500)):
+        monkeypatch.setattr(lexical, "HELD", held)
+        got = {tuple(r) for r in lexical.bm25_many(c, q, k).select("query_id", "chunk_id", "score", "rank").collect()}
+        assert got == {tuple(r) for r in lexical.bm25_index(lexical.postings(c), lexical.lengths(c), q, k).select("query_id", "chunk_id", "score", "rank").collect()}
+    monkeypatch.setattr(queries, "_index", None)
+    assert queries.bm25_benchmark(spark, "/root/testdata/sf0.001").count() > 0
